@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op6_fingerprints
+from .packing import op3_packing
 from .sharding import op5_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op6_fingerprints)}
+    return {f.__name__: f for f in (op3_packing, op5_sharding, op6_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
