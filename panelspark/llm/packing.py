@@ -244,7 +244,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
             at += n
         base += count
     table = {n: np.array(s, dtype=np.int64).T for n, s in slots.items()}
-    ranked = rank_within(pieces, ["length"], order, "__rank", seed=11)
+    ranked = rank_within(pieces, ["length"], order, "__rank", seed=11).select(*pieces.columns, "__rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
