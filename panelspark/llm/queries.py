@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op6_fingerprints
+from .language_id import op10_language_id
+from .near_dedup import op1_near_dedup
 from .packing import op3_packing
 from .sharding import op5_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_sharding, op6_fingerprints)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op5_sharding, op6_fingerprints, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
