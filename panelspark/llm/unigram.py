@@ -35,18 +35,21 @@ def double_array(keys: dict[bytes, int]) -> tuple[list[int], list[int], list[int
         if not groups:
             continue
         codes, b = list(groups), max(1, free - min(groups))
+        tried = 0
         while True:
             if b + 256 >= len(check):
                 for a, fill in ((base, 0), (check, -1), (value, -1)):
                     a.extend([fill] * len(a))
             if all(check[b + c] < 0 for c in codes):
                 break
-            b += 1
+            b, tried = b + 1, tried + 1
         base[node] = b
         for c in codes:
             check[b + c] = node
         while free < len(check) and check[free] >= 0:
             free += 1
+        if tried > 50:  # too full here: later nodes are placed from here on
+            free = max(free, b)
         todo += [(b + c, groups[c], depth + 1) for c in codes]
     return base, check, value
 
