@@ -220,8 +220,12 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: in
 
 
 def best_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """The plan with the fewest sequences of several group counts; the last has each length as its own group."""
-    return min((plan_packing(histogram, capacity, g) for g in (24, 96, None)), key=Plan.sequences)
+    """The plan with the fewest sequences of several group counts and bounds between large and small.
+
+    The last group count has each length as its own group.
+    """
+    plans = (plan_packing(histogram, capacity, g, capacity // part) for g in (24, 96, None) for part in (8, 3, 2))
+    return min(plans, key=Plan.sequences)
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
