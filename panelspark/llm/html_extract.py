@@ -149,7 +149,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def fitted_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most ``sample`` pages with html, drawn by a hash of their ids."""
-    rows = pages.where(F.col("html").isNotNull()).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    whole = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    ids = whole.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    rows = whole.join(F.broadcast(ids), "page_id", "left_semi").select("page_id", "html").dropDuplicates(["page_id"])
     return learn_weights([r[1] for r in rows.collect()])
 
 
