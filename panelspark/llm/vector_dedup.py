@@ -113,7 +113,8 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
             out[i, : len(x)] = x
         return out
 
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()
+    drawn = classes.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE)
+    sample = classes.join(F.broadcast(drawn), "rep", "left_semi").orderBy("rep").select("vec").limit(SAMPLE).collect()
     index = Index(matrix([bytes(r[0]) for r in sample]), n_lists or int(min(1024, max(8, math.sqrt(n) / 2))))
 
     def indexed(batches):
