@@ -14,6 +14,8 @@ from .common import connected_components, load, materialise
 
 #: Vectors that codebooks are fitted on at most, subspaces, codes in each, and rows of one block of a list.
 SAMPLE, SUBSPACES, CODES, BLOCK = 12_000, 8, 64, 2048
+#: Rows that a list of one label should have: a query is sent to each list that it probes, so lists are few and full.
+CELL = 512
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -100,7 +102,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
     whole = rows.where("vec is not null and label is not null")
     classes = whole.groupBy("label", "dim", "set_hash").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min_by("vec", "vec_id").alias("vec"))
     classes = materialise(classes)
-    n, widest = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    n, widest, n_labels = classes.agg(F.count(F.lit(1)), F.max("dim"), F.count_distinct("label")).first()
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not n:
         return alone
@@ -115,7 +117,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
 
     drawn = classes.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE)
     sample = classes.join(F.broadcast(drawn), "rep", "left_semi").orderBy("rep").select("vec").limit(SAMPLE).collect()
-    index = Index(matrix([bytes(r[0]) for r in sample]), n_lists or int(min(1024, max(8, math.sqrt(n) / 2))))
+    index = Index(matrix([bytes(r[0]) for r in sample]), n_lists or int(min(1024, max(4, n / n_labels / CELL))))
 
     def indexed(batches):
         for batch in batches:
