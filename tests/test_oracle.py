@@ -1,6 +1,7 @@
 """Every panel query with SQL gives DuckDB's rows on the smallest tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from panelspark import queries as panels
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 def rows(cursor_rows, names):
