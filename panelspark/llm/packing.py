@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,7 +17,7 @@ from .common import load, materialise, rank_within
 
 CAPACITY, END_ID = 1024, 2
 #: Words kept with their ids by one Python worker; beyond it the store starts anew. Bounds memory, not results.
-WORD_STORE = 400_000
+WORD_STORE = 1_500_000
 
 # A space between two other non-white characters: byte-level BPE always starts a token there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -33,7 +35,8 @@ class IdStore:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # what a text begins with
+        self.led: dict[str, bytes] = {}  # what follows a space, without it
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -41,19 +44,26 @@ class IdStore:
     def ids(self, text: str) -> bytes:
         if "<|" in text:
             return self._encode([text])[0]
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        if not text:
-            return b""
-        parts[1:] = [" " + p for p in parts[1:]]
-        if text[0] == " " and parts[0] == "":
-            del parts[0]
-        words = self.words
-        if missing := [p for p in dict.fromkeys(parts) if p not in words]:
-            if len(words) > WORD_STORE:
-                words.clear()
-                missing = list(dict.fromkeys(parts))
-            words.update(zip(missing, self._encode(missing), strict=True))
-        return b"".join([words[p] for p in parts])
+        start, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        if start not in self.first:
+            if len(self.first) > WORD_STORE // 8:
+                self.first.clear()
+            self.first[start] = self._encode([start])[0]
+        try:
+            return self.first[start] + b"".join(map(self.led.__getitem__, rest))
+        except KeyError:
+            if len(self.led) > WORD_STORE:
+                self.led.clear()
+            new = [p for p in set(rest) if p not in self.led]
+            self.led.update(zip(new, self._encode([" " + p for p in new]), strict=True))
+            return self.first[start] + b"".join(map(self.led.__getitem__, rest))
+
+
+@functools.lru_cache(1)
+def id_store(path: str) -> IdStore:
+    """The store of this Python worker, which tasks that run in it one after another share."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
+    return IdStore(path)
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -65,7 +75,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = IdStore(tokenizer_path)
+        store = id_store(tokenizer_path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
