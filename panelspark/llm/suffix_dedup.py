@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, materialise
 
-#: Bytes of an anchor; bytes of text that one task holds as a batch; contexts of one anchor in one suffix array.
-GRAM, BATCH_BYTES, LARGE = 20, 8_000_000, 20_000
+#: Bytes of an anchor; bytes and rows of texts that make one blob; contexts of one anchor in one suffix array.
+GRAM, BATCH_BYTES, BATCH_ROWS, LARGE = 20, 4_000_000, 50_000, 5_000
 _TABLE = np.random.default_rng(99).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -49,18 +53,64 @@ def anchors(b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _batch(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a batch of texts, and where each text begins and the last ends."""
-    raw = [(t.as_py() or "").encode() for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed blobs of about ``BATCH_BYTES``: one row of a batch number, ids, sizes and text hashes each."""
+    packer, task, made = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32, 0
+    ids: list[int] = []
+    raw: list[bytes] = []
 
+    def row() -> pa.RecordBatch:
+        columns = [[task + made], [ids], [[len(r) for r in raw]], [[xxhash.xxh128_digest(r) for r in raw]], [packer.compress(b"".join(raw))]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHUNK.values(), strict=True)], list(_CHUNK))
 
-def _anchored(texts: pa.ChunkedArray, length: int):
-    b, starts = _batch(texts)
-    at, h = anchors(b, length)
-    doc = np.searchsorted(starts, at, side="right") - 1
-    inside = at + GRAM <= starts[doc + 1] if len(at) else np.zeros(0, bool)
-    return b, starts, at[inside], h[inside], doc[inside]
+    held = 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw.append((text.as_py() or "").encode())
+            ids.append(doc_id)
+            held += len(raw[-1])
+            if held >= BATCH_BYTES or len(raw) >= BATCH_ROWS:
+                yield row()
+                ids, raw, held, made = [], [], 0, made + 1
+    if raw:
+        yield row()
+
+
+_CHUNK = {"batch": pa.int64(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "hashes": pa.list_(pa.binary()), "blob": pa.binary()}
+_CHUNK_SCHEMA = "batch long, ids array<long>, sizes array<int>, hashes array<binary>, blob binary"
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """The documents that have an id, packed into blobs in a table of the shared folder; no shuffle."""
+    return materialise(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(_pack, _CHUNK_SCHEMA))
+
+
+class _Texts:
+    """One blob, open: its bytes, where each text begins and the last ends, and the anchors of the texts not ``left_out``."""
+
+    def __init__(self, t: pa.Table):
+        self.ids = np.array(t.column("ids")[0].as_py(), np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(t.column("sizes")[0].as_py())]).astype(np.int64)
+        self.data = zstandard.ZstdDecompressor().decompress(t.column("blob")[0].as_py(), max_output_size=max(1, int(self.starts[-1])))
+        self.batch = t.column("batch")[0].as_py()
+
+    def anchors(self, length: int, left_out: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, h = anchors(np.frombuffer(self.data, np.uint8), length)
+        row = np.searchsorted(self.starts, at, side="right") - 1
+        kept = np.ones(len(self.ids), bool)
+        kept[left_out] = False
+        inside = (at + GRAM <= self.starts[row + 1]) & kept[row] if len(at) else np.zeros(0, bool)
+        return at[inside], h[inside], row[inside]
+
+
+def _split(key: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The values of each key, as bytes."""
+    if not len(key):
+        return [], []
+    order = np.argsort(key, kind="stable")
+    key, values = key[order], values[order]
+    cuts = np.nonzero(np.diff(key))[0] + 1
+    return key[np.concatenate([[0], cuts])].tolist(), [v.tobytes() for v in np.split(values, cuts)]
 
 
 def interval_scan(contexts: list[bytes], at: list[int], low: list[int], length: int) -> list[tuple[int, int, int, int]]:
@@ -85,11 +135,8 @@ def interval_scan(contexts: list[bytes], at: list[int], low: list[int], length:
         common = 0
         if k < len(suffixes):
             x, y = suffixes[k - 1][0], suffixes[k][0]
-            n = min(len(x), len(y))
             if x[:length] == y[:length]:
-                a, b = np.frombuffer(x[:n], np.uint8), np.frombuffer(y[:n], np.uint8)
-                differ = np.nonzero(a != b)[0]
-                common = int(differ[0]) if len(differ) else n
+                common = len(os.path.commonprefix((x, y)))
         first = k - 1
         while stack and stack[-1][0] > common:
             prefix, first = stack.pop()
@@ -100,91 +147,113 @@ def interval_scan(contexts: list[bytes], at: list[int], low: list[int], length:
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
-    """``(batched, spans)``: the documents with a ``batch`` number, and ``batch, doc_id, begin, end`` byte spans.
-
-    A span is covered by ``length``-byte strings that also start in a document of a smaller ``doc_id``. Each window
-    of ``length`` bytes has an anchor, so only anchors that two documents share are looked at: batches of texts send
-    their distinct anchor hashes, get back those that repeat, and cut the contexts around them. Equal contexts are
-    one row with their least document; the contexts of an anchor make one suffix array. An anchor with more than
-    ``LARGE`` contexts has its windows grouped by value instead, which pre-aggregates, so no task holds them all.
+    """``(packed, spans)``: the texts as blobs, and ``b, row, begin, end`` byte spans of the rows of each blob.
+
+    A span is covered by ``length``-byte strings that also start in a document of a smaller ``doc_id``. Of equal
+    texts only the first takes part; the others go whole. Each window of ``length`` bytes has an anchor, so only
+    anchors that two documents share are looked at: blobs send 32 bits of their distinct anchor hashes, get back those
+    that repeat, and name the contexts around them by hash. Equal contexts are one row with their least document.
+    Bytes are fetched, once a context, where an anchor has several; these contexts make one suffix array. An anchor
+    with more than ``LARGE`` contexts has its windows grouped by value instead, which pre-aggregates, so no task holds
+    them all.
     """
-    bytes_of = F.octet_length(F.coalesce("text", F.lit("")))
-    total = docs.agg(F.sum(bytes_of.cast("long"))).first()[0] or 0
-    n_batches = max(1, -(-total // BATCH_BYTES))
-    batched = docs.select(F.col("doc_id").cast("long"), "text").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int"))
-    n_buckets = 4 * n_batches
-
-    def send(t: pa.Table) -> pa.Table:
-        *_, h, doc = _anchored(t.column("text"), length)
-        ids = t.column("doc_id").to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
-        order = np.lexsort((ids, h))
-        h, ids = h[order], ids[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (ids[1:] != ids[:-1])
-        sent = np.sort(np.concatenate([h[new], np.unique(h[again])]))  # twice if two documents here have it
-        bucket = (sent >> np.uint64(40)) % np.uint64(n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        sent, bucket = sent[order], bucket[order]
-        cuts = np.nonzero(np.diff(bucket))[0] + 1
-        blobs = np.split(sent, cuts) if len(sent) else []
-        return pa.table({"bucket": pa.array([int(x) for x in bucket[np.concatenate([[0], cuts])]] if len(sent) else [], pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * len(blobs), pa.int32()), "hashes": pa.array([x.tobytes() for x in blobs], pa.binary())})
+    packed = chunks(docs)
+    total = packed.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
+    n_buckets = 4 * max(1, -(-total // BATCH_BYTES))
+
+    texts = packed.select("batch", F.posexplode(F.arrays_zip("ids", "sizes", "hashes")).alias("row", "t")).select("batch", "row", "t.*")
+    first = texts.where(F.col("sizes") >= length).groupBy("hashes").agg(F.min("ids").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = materialise(texts.join(first.drop("n"), "hashes").where("ids > least").select(F.col("batch").alias("b"), "row", F.col("sizes").alias("size")))
+
+    def send(t: pa.Table, left_out: pa.Table) -> pa.Table:
+        bucket, blobs, batch = [], [], 0
+        if t.num_rows:
+            own = _Texts(t)
+            _, h, row = own.anchors(length, left_out.column("row").to_pylist())
+            ids, batch = own.ids[row], own.batch
+            order = np.lexsort((ids, h))
+            h, ids = h[order], ids[order]
+            again = (h[1:] == h[:-1]) & (ids[1:] != ids[:-1])
+            sent = np.concatenate([np.unique(h), np.unique(h[1:][again])])  # twice if two documents here have it
+            bucket, blobs = _split((sent >> np.uint64(32)) % np.uint64(n_buckets), sent.astype(np.uint32))
+        return pa.table({"bucket": pa.array(bucket, pa.int64()), "b": pa.array([batch] * len(blobs), pa.int64()), "found": pa.array(blobs, pa.binary())})
 
     def shared(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
+        parts = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("found")]
         everything = np.sort(np.concatenate(parts))
         twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
-        own = [np.unique(p[np.isin(p, twice, kind="sort")]) if len(twice) else p[:0] for p in parts]
-        return pa.table({"batch": t.column("batch"), "hashes": pa.array([x.tobytes() for x in own], pa.binary())}).filter(pa.array([len(x) > 0 for x in own], pa.bool_()))
-
-    def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        if texts.num_rows and found.num_rows:
-            b, starts, at, h, doc = _anchored(texts.column("text"), length)
-            wanted = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in found.column("hashes")])
-            own = np.isin(h, wanted)
-            at, h, doc = at[own], h[own], doc[own]
-            begin, end = np.maximum(starts[doc], at - (length - GRAM)), np.minimum(starts[doc + 1], at + length)
-            data = b.tobytes()
-            ids = texts.column("doc_id").to_numpy()[doc]
-            rows = (ids, begin - starts[doc], at - begin, h.view(np.int64), [data[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)])
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "begin", "at", "anchor", "context"), rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)})
-
-    hashes = batched.groupBy("batch").applyInArrow(send, "bucket int, batch int, hashes binary")
-    back = hashes.groupBy("bucket").applyInArrow(shared, "batch int, hashes binary")
-    back = back.select(F.col("batch").alias("b2"), "hashes")
-    places = materialise(batched.groupBy("batch").cogroup(back.groupBy("b2")).applyInArrow(cut, "doc_id long, begin long, at int, anchor long, context binary"))
-
-    contexts = places.groupBy("anchor", "at", "context").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    contexts = materialise(contexts)
-    sizes = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > LARGE).select("anchor")
-    several = sizes.where((F.col("n") > 1) & (F.col("n") <= LARGE)).select("anchor")
+        own = [np.unique(p[np.isin(p, twice)]).tobytes() for p in parts]
+        return pa.table({"bucket": t.column("bucket"), "b": t.column("b"), "found": pa.array(own, pa.binary())}).filter(pa.array([len(x) > 0 for x in own], pa.bool_()))
+
+    def name(t: pa.Table, found: pa.Table) -> pa.Table:
+        rows: tuple = ([],) * len(place)
+        if t.num_rows and found.num_rows:
+            own, hits, left_out = _Texts(t), [], []
+            for bucket, blob, row in zip(*(found.column(c).to_pylist() for c in ("bucket", "found", "row")), strict=True):
+                if row is not None:
+                    left_out.append(row)
+                else:
+                    hits.append(np.frombuffer(blob, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+            at, h, row = own.anchors(length, left_out)
+            wanted = np.concatenate([*hits, np.zeros(0, np.uint64)])
+            hit = np.isin((h >> np.uint64(32)) % np.uint64(n_buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF), wanted)
+            at, h, row = at[hit], h[hit], row[hit]
+            begin, end = np.maximum(own.starts[row], at - (length - GRAM)), np.minimum(own.starts[row + 1], at + length)
+            data, named = own.data, xxhash.xxh3_64_intdigest
+            context = np.fromiter((named(data[s:e], e - a) for s, a, e in zip(begin.tolist(), at.tolist(), end.tolist(), strict=True)), np.uint64, len(at))
+            rows = (np.full(len(at), own.batch), row, own.ids[row], begin - own.starts[row], at - begin, end - begin, h.view(np.int64), context.view(np.int64))
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(place.items(), rows, strict=True)})
+
+    def fetch(t: pa.Table, asked: pa.Table) -> pa.Table:
+        data: list[bytes] = []
+        if t.num_rows:
+            own = _Texts(t)
+            begin = own.starts[asked.column("row").to_numpy()] + asked.column("begin").to_numpy() if asked.num_rows else np.zeros(0, np.int64)
+            data = [own.data[s : s + n] for s, n in zip(begin.tolist(), asked.column("size").to_pylist(), strict=True)]
+        return asked.slice(0, len(data)).select(["anchor", "name", "at", "low", "n"]).append_column("context", pa.array(data, pa.binary()))
+
+    place = {"b": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "begin": pa.int32(), "at": pa.int32(), "size": pa.int32(), "anchor": pa.int64(), "name": pa.int64()}
+    hashes = packed.groupBy("batch").cogroup(copies.groupBy("b")).applyInArrow(send, "bucket long, b long, found binary")
+    back = hashes.groupBy("bucket").applyInArrow(shared, "bucket long, b long, found binary").withColumn("row", F.lit(None).cast("int"))
+    back = back.unionByName(copies.select(F.lit(None).cast("long").alias("bucket"), "b", F.lit(None).cast("binary").alias("found"), "row"))
+    schema = "b long, row int, doc_id long, begin int, at int, size int, anchor long, name long"
+    places = materialise(packed.groupBy("batch").cogroup(back.groupBy("b")).applyInArrow(name, schema))
+
+    source = F.min(F.struct("doc_id", "b", "row", "begin", "at", "size"))
+    contexts = places.groupBy("anchor", "name").agg(source.alias("s"), F.max("doc_id").alias("high"))
+    contexts = materialise(contexts.select("anchor", "name", "s.*", "high").withColumnRenamed("doc_id", "low"))
+    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("least"), F.max("high").alias("most"))
+    several = several.where("n > 1 and least < most").select("anchor", "n")
+    asked = contexts.where(F.col("size") >= length).join(several, "anchor").select("b", "row", "begin", "size", "at", "anchor", "name", "low", "n")
+    fetched = packed.groupBy("batch").cogroup(asked.groupBy("b")).applyInArrow(fetch, "anchor long, name long, at int, low long, n long, context binary")
+    fetched = materialise(fetched)
 
     def scan(t: pa.Table) -> pa.Table:
-        anchor, at, context, low = (t.column(c).to_pylist() for c in ("anchor", "at", "context", "low"))
-        found = list(dict.fromkeys(interval_scan(context, at, low, length)))
-        columns = {"anchor": [anchor[0]] * len(found), "at": [at[i] for i, *_ in found], "context": [context[i] for i, *_ in found]}
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64())
-        columns |= {"s": [f[1] for f in found], "e": [f[2] for f in found], "least": [f[3] for f in found]}
+        anchor, named, at, context, low = (t.column(c).to_pylist() for c in ("anchor", "name", "at", "context", "low"))
+        own: dict[int, list] = {}
+        for i, s, e, least in interval_scan(context, at, low, length):
+            if least < low[i]:
+                own.setdefault(i, []).append((s, e))
+        merged = [_merged(x) for x in own.values()]
+        columns = {"anchor": [anchor[0]] * len(own), "name": [named[i] for i in own]}
+        columns |= {"s": [[s for s, _ in m] for m in merged], "e": [[e for _, e in m] for m in merged]}
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(columns.items(), kinds, strict=True)})
 
-    schema = "anchor long, at int, context binary, s int, e int, least long"
-    scanned = contexts.join(several, "anchor", "left_semi").groupBy("anchor").applyInArrow(scan, schema)
-    size = F.octet_length("context")
-    copies = contexts.where((F.col("low") < F.col("high")) & (size >= length)).select("anchor", "at", "context", F.lit(0).alias("s"), size.alias("e"), F.col("low").alias("least"))
-    last = F.least(F.col("at"), size - length)
-    windows = contexts.join(large, "anchor", "left_semi").where(last >= 0)
-    windows = windows.select("anchor", "at", "context", "low", F.explode(F.sequence(F.lit(0), last)).alias("s"))
-    windows = windows.withColumn("window", F.substring(F.col("context"), F.col("s") + 1, F.lit(length)))
-    equal = windows.groupBy(F.col("window").alias("w")).agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    grouped = windows.join(equal, windows.window == equal.w).select("anchor", "at", "context", "s", (F.col("s") + length).alias("e"), "least")
-    found = scanned.unionByName(copies).unionByName(grouped)
-    spans = places.join(found, ["anchor", "at", "context"]).where("doc_id > least")
-    spans = spans.select("doc_id", (F.col("begin") + F.col("s")).alias("begin"), (F.col("begin") + F.col("e")).alias("end"))
-    spans = spans.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int"))
-    return batched, materialise(spans.distinct())
+    scanned = fetched.where(F.col("n") <= LARGE).groupBy("anchor").applyInArrow(scan, "anchor long, name long, s array<int>, e array<int>")
+    last = F.least(F.col("at"), F.octet_length("context") - length)
+    windows = fetched.where(F.col("n") > LARGE).select("anchor", "name", "context", "low", F.explode(F.sequence(F.lit(0), last)).alias("at_s"))
+    windows = windows.withColumn("window", F.substring(F.col("context"), F.col("at_s") + 1, F.lit(length)))
+    equal = windows.groupBy(F.col("window").alias("w")).agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    grouped = windows.join(equal, (windows.window == equal.w) & (windows.low > equal.least)).groupBy("anchor", "name").agg(F.collect_list("at_s").alias("s"))
+    grouped = grouped.withColumn("e", F.transform("s", lambda x: x + length))
+    known = contexts.select("anchor", "name", "low", "high").join(scanned.unionByName(grouped), ["anchor", "name"], "left").where("low < high or s is not null")
+    hit = places.join(known, ["anchor", "name"]).where(F.col("size") >= length)
+    whole = F.col("doc_id") > F.col("low")
+    starts, ends = F.when(whole, F.array(F.lit(0))).otherwise(F.col("s")), F.when(whole, F.array("size")).otherwise(F.col("e"))
+    hit = hit.select("b", "row", "begin", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("x"))
+    spans = hit.select("b", "row", (F.col("begin") + F.col("x.s")).alias("begin"), (F.col("begin") + F.col("x.e")).alias("end"))
+    return packed, spans.unionByName(copies.select("b", "row", F.lit(0).alias("begin"), F.col("size").alias("end")))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -197,21 +266,23 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _by_document(docs: DataFrame, length: int, each, schema: str, names: list[str]) -> DataFrame:
-    """Apply ``each(doc_id, bytes, merged spans)`` to all documents, a batch at a time."""
-    batched, spans = repeated_spans(docs, length)
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    types = [kinds[x.split()[1]] for x in schema.split(", ")]
-
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        by: dict[int, list] = {}
-        for d, s, e in zip(*(found.column(c).to_pylist() for c in ("d", "begin", "end")), strict=True):
-            by.setdefault(d, []).append((s, e))
-        rows = [each(d, (t.as_py() or "").encode(), _merged(by.get(d, []))) for d, t in zip(texts.column("doc_id").to_pylist(), texts.column("text"), strict=True)]
+def _by_document(docs: DataFrame, length: int, each, schema: str) -> DataFrame:
+    """Apply ``each(doc_id, bytes, merged spans)`` to all documents that have an id, a blob at a time."""
+    packed, spans = repeated_spans(docs, length)
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds]
+
+    def run(t: pa.Table, found: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if t.num_rows:
+            own, by = _Texts(t), {}
+            for d, s, e in zip(*(found.column(c).to_pylist() for c in ("row", "begin", "end")), strict=True):
+                by.setdefault(d, []).append((s, e))
+            for i, (doc_id, s, e) in enumerate(zip(own.ids.tolist(), own.starts[:-1].tolist(), own.starts[1:].tolist(), strict=True)):
+                rows.append(each(doc_id, own.data[s:e], _merged(by.get(i, []))))
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
 
-    spans = spans.select(F.col("batch").alias("b3"), F.col("doc_id").alias("d"), "begin", "end")
-    return batched.groupBy("batch").cogroup(spans.groupBy("b3")).applyInArrow(run, schema)
+    return packed.groupBy("batch").cogroup(spans.groupBy("b")).applyInArrow(run, schema)
 
 
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -225,24 +296,27 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with each text less the bytes that repeat an earlier document's; ``n_chars`` follows, other columns stay.
 
-    Cut characters go whole. A null text stays null; a text that repeats in full becomes empty. ``doc_id`` must be
-    unique.
+    Cut characters go whole. A null text stays null; a text that repeats in full becomes empty. Rows of one ``doc_id``
+    count as one document; a row without ``doc_id`` stays as it is and others are not held against it.
     """
-    texts = _by_document(docs, length, lambda d, raw, spans: (d, _kept(raw, spans).decode("utf-8", "ignore")), "doc_id long, text string", ["doc_id", "text"])
-    texts = texts.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    out = docs.join(texts, F.col("doc_id") == F.col("__id"), "left")
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("__text")))
+    names = ["__id", "__hash", "__text"]
+    texts = _by_document(docs, length, lambda d, raw, spans: (d, hashlib.md5(raw).hexdigest(), _kept(raw, spans).decode("utf-8", "ignore")), "doc_id long, hash string, text string").toDF(*names)
+    texts = texts.dropDuplicates(names[:2])
+    out = docs.join(texts, (F.col("doc_id").cast("long") == F.col("__id")) & (F.md5(F.col("text").cast("binary")) == F.col("__hash")), "left")
+    out = out.withColumn("text", F.coalesce("__text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeats an earlier document in runs of 50 bytes, for all documents."""
+    """What repeats an earlier document in runs of 50 bytes, for all documents; rows without ``doc_id`` keep all."""
 
     def each(doc_id: int, raw: bytes, spans: list[tuple[int, int]]):
         return doc_id, len(raw), sum(e - s for s, e in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _by_document(load(spark, sf_dir, "documents"), 50, each, schema, names)
+    docs = load(spark, sf_dir, "documents")
+    out = _by_document(docs, 50, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    rest = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.octet_length(raw).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2(raw, 256))
+    return out.union(rest)
