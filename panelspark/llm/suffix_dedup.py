@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,7 +135,9 @@ def interval_scan(contexts: list[bytes], at: list[int], low: list[int], length:
         if k < len(suffixes):
             x, y = suffixes[k - 1][0], suffixes[k][0]
             if x[:length] == y[:length]:
-                common = len(os.path.commonprefix((x, y)))
+                n = min(len(x), len(y))
+                differ = int.from_bytes(x[:n]) ^ int.from_bytes(y[:n])
+                common = n - (differ.bit_length() + 7) // 8
         first = k - 1
         while stack and stack[-1][0] > common:
             prefix, first = stack.pop()
@@ -229,18 +230,24 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
     fetched = materialise(fetched)
 
     def scan(t: pa.Table) -> pa.Table:
-        anchor, named, at, context, low = (t.column(c).to_pylist() for c in ("anchor", "name", "at", "context", "low"))
-        own: dict[int, list] = {}
-        for i, s, e, least in interval_scan(context, at, low, length):
-            if least < low[i]:
-                own.setdefault(i, []).append((s, e))
-        merged = [_merged(x) for x in own.values()]
-        columns = {"anchor": [anchor[0]] * len(own), "name": [named[i] for i in own]}
-        columns |= {"s": [[s for s, _ in m] for m in merged], "e": [[e for _, e in m] for m in merged]}
+        of: dict[int, list] = {}
+        for anchor, *context in zip(*(t.column(c).to_pylist() for c in ("anchor", "name", "at", "context", "low")), strict=True):
+            of.setdefault(anchor, []).append(context)
+        rows: list[tuple] = []
+        for anchor, group in of.items():
+            named, at, context, low = zip(*group, strict=True)
+            own: dict[int, list] = {}
+            for i, s, e, least in interval_scan(context, at, low, length):
+                if least < low[i]:
+                    own.setdefault(i, []).append((s, e))
+            for i, found in own.items():
+                found = _merged(found)
+                rows.append((anchor, named[i], [s for s, _ in found], [e for _, e in found]))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(columns.items(), kinds, strict=True)})
+        return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(zip(("anchor", "name", "s", "e"), kinds, strict=True))})
 
-    scanned = fetched.where(F.col("n") <= LARGE).groupBy("anchor").applyInArrow(scan, "anchor long, name long, s array<int>, e array<int>")
+    # several anchors a call, as many on average whatever the input's size
+    scanned = fetched.where(F.col("n") <= LARGE).groupBy(F.pmod("anchor", F.lit(n_buckets)).alias("some")).applyInArrow(scan, "anchor long, name long, s array<int>, e array<int>")
     last = F.least(F.col("at"), F.octet_length("context") - length)
     windows = fetched.where(F.col("n") > LARGE).select("anchor", "name", "context", "low", F.explode(F.sequence(F.lit(0), last)).alias("at_s"))
     windows = windows.withColumn("window", F.substring(F.col("context"), F.col("at_s") + 1, F.lit(length)))
