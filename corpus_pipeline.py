@@ -17,10 +17,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each component: five-word shingles, similarity of at least 0.8."""
-    groups = near_dedup.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    """Keep one row of each component: five-word shingles, similarity of at least 0.8.
+
+    Each row is a document of its own, whatever its ``doc_id``: rows without one are grouped and kept like others, and
+    of repeated rows of one ``doc_id`` those that are alike leave one. The row with the least ``doc_id`` stays, one
+    without ``doc_id`` only where no other is there, then the least by a hash of all columns; rows equal in all are
+    interchangeable.
+    """
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
+    ordered = rows.select("__row", order.alias("__order")).join(groups, "__row")
+    kept = ordered.groupBy("component_id").agg(F.min("__order").getField("__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,15 @@ def test_stages(spark):
     for r in packed:
         by[r.sequence_id] = by.get(r.sequence_id, 0) + r.length
     assert max(by.values()) <= 1024
+
+
+def test_near_duplicates_of_missing_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    a, b, c, d, e = (" ".join(rng.choice(words, 40)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (5, b), (5, c), (5, c), (6, c), (7, d), (None, d), (5, e), (None, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "")
+    assert got.columns == docs.columns
+    expected = [(None, a), (5, b), (5, c), (7, d), (5, e), (None, None), (8, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, expected))
