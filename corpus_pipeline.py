@@ -10,8 +10,14 @@ from panelspark.llm.common import load, materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null text, no letters, or a calibrated score under the model's bound."""
+    """Drop documents without a language: null text, no letters, or a calibrated score under the model's bound.
+
+    The bound is set on held-back documents (``LanguageModel.fit``). A table with rows but none to learn a language
+    from is an error.
+    """
     model = language_id.train(docs)
+    if model.langs == [language_id.UNKNOWN] and not docs.isEmpty():
+        raise ValueError("no document to learn a language from: none outside the held-out fold has both text and lang")
     found = language_id.identify(docs, model)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= model.reject)).select(*docs.columns)
 

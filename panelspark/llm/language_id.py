@@ -14,6 +14,8 @@ from .common import load
 BUCKETS, DIM, ORDERS = 1 << 15, 12, (1, 2, 3, 4)
 #: Bound on the labelled rows that are fitted on, for each language. Everything else reads all rows.
 SAMPLE_PER_LANG = 600
+#: Share of the documents in a learned language that the rejection bound may cost.
+REJECT_SHARE = 0.01
 UNKNOWN = "und"
 
 
@@ -46,8 +48,15 @@ def _letters(a: np.ndarray) -> np.ndarray:
     return out
 
 
+def has_letters(text: str | None) -> bool:
+    return bool(text) and bool(_letters(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).any())
+
+
 class LanguageModel:
-    """Embeddings ``E``, weights ``W`` and bias ``b`` of a softmax over ``langs``, and the fitted ``temperature``."""
+    """Embeddings ``E``, weights ``W`` and bias ``b`` of a softmax over ``langs``; ``temperature`` and ``reject`` calibrate it.
+
+    Scores under ``reject`` are of no learned language.
+    """
 
     def __init__(self, langs: list[str], seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -56,22 +65,28 @@ class LanguageModel:
         self.W, self.b = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
 
     def fit(self, texts: list[str], labels: list[str], epochs: int = 6, rate: float = 2.0, window: int = 400, seed: int = 1) -> None:
-        """SGD over windows of the texts' n-grams, then one temperature fitted on a tenth held back.
+        """SGD over windows of the texts' n-grams; temperature and rejection bound from whole documents held back.
 
+        A tenth of each language's documents, but 25 or half where that is too few, is not learned from but scored whole.
         Whole texts are learned, a window of n-grams at a time, so that short texts are seen too.
         """
         rng, index = np.random.default_rng(seed), {lang: i for i, lang in enumerate(self.langs)}
+        docs = [(_grams(text), index[label]) for text, label in zip(texts, labels, strict=True)]
+        spelled = np.array([has_letters(text) for text in texts], bool)
+        of, held = np.array([y for _, y in docs], int), np.zeros(len(docs), bool)
+        for y in range(len(self.langs)):
+            own = rng.permutation(np.nonzero((of == y) & spelled)[0])
+            held[own[: max(len(own) // 10, min(25, len(own) // 2))]] = True
         rows = []
-        for text, label in zip(texts, labels, strict=True):
-            g = _grams(text)
+        for (g, y), h in zip(docs, held, strict=True):
+            if h:
+                continue
             cuts = [c for c in np.split(rng.permutation(g), range(window, len(g), window))] if len(g) > 2 * window else [g]
-            rows += [(c, index[label]) for c in cuts[:8]]
-        held = rng.random(len(rows)) < 0.1
-        train = [r for r, h in zip(rows, held, strict=True) if not h]
+            rows += [(c, y) for c in cuts[:8]]
         for epoch in range(epochs):
             step = np.float32(rate * (1 - epoch / epochs))
-            for i in rng.permutation(len(train)):
-                g, y = train[i]
+            for i in rng.permutation(len(rows)):
+                g, y = rows[i]
                 v = self.E[g].mean(axis=0)
                 z = v @ self.W + self.b
                 p = np.exp(z - z.max())
@@ -81,15 +96,39 @@ class LanguageModel:
                 self.W -= step * 0.2 * np.outer(v, p)
                 self.b -= step * 0.02 * p
                 np.subtract.at(self.E, g, (step / len(g)) * back)
-        check = [r for r, h in zip(rows, held, strict=True) if h] or train
-        logits, y = np.array([self.E[g].mean(axis=0) @ self.W + self.b for g, _ in check]), np.array([y for _, y in check])
+        check = [d for d, h in zip(docs, held, strict=True) if h]
+        if check:
+            self._calibrate(np.array([self.E[g].mean(axis=0) @ self.W + self.b for g, _ in check], float), np.array([y for _, y in check]))
+
+    def _calibrate(self, logits: np.ndarray, y: np.ndarray) -> None:
+        """Temperature and rejection bound from the logits and languages of held-back documents.
+
+        The temperature has the least log loss against targets smoothed by ``1 / (n + 2)``, so it stays finite where
+        all are right. Of ``n`` scores the bound is the ``floor(REJECT_SHARE * (n + 1))``-th least: a further document
+        like these scores less with probability of at most ``REJECT_SHARE``. Where that rank is 0, as for ``n`` under
+        99, the bound is the least score moved down by its distance from the median, both as log odds. Under 10 scores
+        say too little: then the bound is 0.
+        """
+        n, k = logits.shape
+        if k < 2:
+            return
+        smooth = np.full((n, k), 1 / (n + 2) / (k - 1))
+        smooth[np.arange(n), y] = 1 - 1 / (n + 2)
+
         def loss(t: float) -> float:
             z = logits / t
             z = z - z.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
-        if len(y):
-            self.temperature = min(np.geomspace(0.25, 8, 41), key=loss)
-            self.reject = min(0.5, 1.0 / max(2, len(self.langs)) + 0.05)
+            return float((np.log(np.exp(z).sum(axis=1)) - (smooth * z).sum(axis=1)).mean())
+
+        self.temperature = float(min(np.geomspace(0.25, 32, 57), key=loss))
+        z = np.sort(logits / self.temperature, axis=1)
+        odds = np.sort(-np.log(np.exp(z[:, :-1] - z[:, -1:]).sum(axis=1)))
+        rank = int(REJECT_SHARE * (n + 1))
+        if n < 10:
+            return
+        bound = odds[rank - 1] if rank else 2 * odds[0] - np.median(odds)
+        #: A little less than the score itself, which is computed in another order.
+        self.reject = float(1 / (1 + np.exp(-bound))) - 1e-6
 
     def table(self) -> np.ndarray:
         """What each bucket adds to the logits: embedding and softmax weights in one lookup."""
@@ -99,7 +138,7 @@ class LanguageModel:
         table, langs, b, t = self.table(), self.langs, self.b, self.temperature
 
         def predict(text: str | None) -> tuple[str, float]:
-            if not text or not _letters(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).any():
+            if not has_letters(text):
                 return UNKNOWN, 0.0
             z = (table[_grams(text)].mean(axis=0, dtype=np.float64) + b) / t
             p = np.exp(z - z.max())
@@ -118,7 +157,8 @@ def _fold() -> Column:
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Fit on at most about ``per_lang`` rows of each language, drawn by a hash of their ids from the labelled folds.
 
-    Only rows with text, a language and a remainder of 1 to 4 are learned from; ``source`` is never read.
+    Only rows with text, a language and a remainder of 1 to 4 are learned from; ``source`` is never read. Without such
+    rows the model knows no language and gives ``und`` for all.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() != 0)).select("doc_id", "text", "lang")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}

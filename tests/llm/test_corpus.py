@@ -184,6 +184,24 @@ def test_language(docs):
     assert len(got) == len(DOCS) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_rejection():
+    rng = np.random.default_rng(0)
+    vocabulary = {"en": ["the", "and", "house", "water", "north", "with"], "de": ["der", "und", "häuser", "wasser", "norden", "mit"]}
+    make = lambda lang: " ".join(rng.choice(vocabulary[lang], rng.integers(20, 60)))
+    langs = [lang for lang in vocabulary for _ in range(300)]
+    model = language_id.LanguageModel(sorted(vocabulary))
+    model.fit([make(lang) for lang in langs], langs)
+    predict = model.predictor()
+    own = [predict(make(lang))[1] >= model.reject for lang in vocabulary for _ in range(200)]
+    assert sum(own) >= 0.97 * len(own)
+    other = " ".join(["het", "en", "huizen", "water", "noorden", "met"] * 6)  # unlearned, with n-grams of both
+    assert predict(other)[1] < model.reject
+    few = language_id.LanguageModel(sorted(vocabulary))
+    few.fit([make(lang) for lang in langs[::20]], langs[::20])
+    own = [few.predictor()(make(lang))[1] >= few.reject for lang in vocabulary for _ in range(50)]
+    assert few.reject > 0 and sum(own) >= 0.97 * len(own)
+
+
 def test_sentencepiece():
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁ab", "bab", *[f"<0x{i:02X}>" for i in range(256)]]
     scores = [0, -2.0, -1.5, -1.5, -2.5, -3.0, -2.2, *[0.0] * 256]

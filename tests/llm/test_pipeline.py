@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 
 def test_stages(spark):
@@ -53,3 +54,11 @@ def test_near_duplicates_of_missing_and_repeated_ids(spark):
     assert got.columns == docs.columns
     expected = [(None, a), (5, b), (5, c), (7, d), (5, e), (None, None), (8, None)]
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, expected))
+
+
+def test_unlabelled_table_fails_loudly(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, f"text {i}", None, "s", 0) for i in range(9)], schema)
+    with pytest.raises(ValueError, match="learn a language"):
+        corpus_pipeline.identify_language(spark, docs, "")
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), "").count() == 0
