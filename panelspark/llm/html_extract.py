@@ -29,6 +29,7 @@ BLOCKS = frozenset(
     "header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 BOILERPLATE = frozenset("nav aside footer form button select menu dialog head".split())
+WORDLESS = frozenset("script style noscript template svg iframe object".split())
 MAIN = frozenset(("article", "main"))
 #: Words in a class, id or role that mark an element as no part of the article.
 MARKS = re.compile(
@@ -103,12 +104,21 @@ def learn_weights(pages: list[str]) -> dict[str, float]:
     return {k: max(0.2, w) if k == "word" else min(-0.5, w) for k, w in odds.items()}
 
 
+def _passed(token: tuple[str, str, bool, int, bool]) -> bool:
+    """Whether a run on a page without main element is extended over a token: a wanted one, or an element without words."""
+    kind, value, unwanted, *_ = token
+    return not unwanted or kind == "tag" and value in WORDLESS
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The article's blocks, one a line.
 
     One scan finds the contiguous run of tokens with the greatest sum: its words count for it, tags and the words of
-    unwanted elements against it; where a page marks a main element, words outside count against it too. The run is
-    widened to the main element it lies in, so that short blocks at its ends stay.
+    unwanted elements against it; where a page marks main elements, words outside count against it too. The run is then
+    widened, so that short blocks at its ends stay whatever their weights: to the whole main elements it touches, where
+    there are any, else both ways up to the next unwanted element (scripts and the like have no words and do not stop
+    it). So with one main element the result is that element less what is unwanted in it; the scores decide which of
+    several main elements stay, and on other pages which parts between unwanted elements.
     """
     if not page:
         return ""
@@ -132,6 +142,11 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     if mains:
         own = [i for i, t in enumerate(found) if t[3] in mains]
         first, last = min(first, own[0]), max(last, own[-1])
+    elif last >= 0:
+        while first > 0 and _passed(found[first - 1]):
+            first -= 1
+        while last + 1 < len(found) and _passed(found[last + 1]):
+            last += 1
     blocks, now = [], []
     for i in range(first, last + 1):
         kind, value, unwanted, main, block = found[i]

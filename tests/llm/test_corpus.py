@@ -243,6 +243,16 @@ def test_html():
     assert html_extract.extract(None, weights) == "" == html_extract.extract("<p></p>", weights)
 
 
+def test_html_short_blocks_without_main_element():
+    weights = {"word": 0.9, "div": -2.0, "p": -2.0}
+    page = """<html><head><title>T</title></head><body><nav><a>Home</a> and a menu</nav><div>Title</div><div><p>By me</p></div>
+    <script>x = 1</script><div>""" + "word " * 30 + """</div><div class="share">share this</div><div>between</div><div>""" + "more " * 30 + """</div>
+    <style>y</style><div><div><p>The end.</p></div></div><footer>foot</footer><div>after</div></body></html>"""
+    words, more = ("word " * 30).strip(), ("more " * 30).strip()
+    assert html_extract.extract(page, weights) == "\n".join(["Title", "By me", words, "between", more, "The end."])
+    assert html_extract.extract("<div>a</div>" * 2, weights) == "a\na"
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 20))
