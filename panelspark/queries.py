@@ -414,7 +414,7 @@ def r3_one_way_fe(spark: SparkSession, d: str) -> DataFrame:
 def r1_two_way_fe(spark: SparkSession, d: str) -> DataFrame:
     """Two-way within transform and cluster-robust errors."""
     t = regress.standardise(_t(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), "l_extendedprice", "l_quantity"), "l_quantity")
-    t = regress.residualise(t, ["l_extendedprice", "l_quantity"], ["l_suppkey"], ["year"], max_rounds=6)
+    t = regress.residualise(t, ["l_extendedprice", "l_quantity"], ["l_suppkey"], ["year"])
     rows = regress.cluster_ols(t, "l_extendedprice", ["l_quantity"], "l_suppkey", constant=False)
     return regress.result_table(spark, rows).select("term", *(r(c).alias(c) for c in ("coef", "se", "low", "high", "r2")), "n", "clusters")
 

@@ -32,22 +32,34 @@ def demean(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFram
 def residualise(df: DataFrame, columns: Sequence[str], fe1: Sequence[str], fe2: Sequence[str], max_rounds: int = 30, tol: float = 1e-8, every: int = 5) -> DataFrame:
     """Two-way within transform: demean by ``fe1`` then ``fe2`` until the root mean squares stand still.
 
-    Each ``every`` rounds the table is checkpointed, which cuts the plan, and the stop test runs.
+    Each ``every`` rounds and after the last the stop test runs: no root mean square has moved by ``tol`` since the
+    test before; 1e-12 of its own size counts as rounding. Where the checkpoint folder is set the table is
+    written there first, which cuts the plan; else it is cached. Raises ``RuntimeError`` where ``max_rounds`` rounds
+    do not reach ``tol``.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    before = None
+    before, cached, moved = None, None, math.inf
     for i in range(1, max_rounds + 1):
         df = demean(demean(df, columns, fe1), columns, fe2)
-        if i % every == 0 and i < max_rounds and shared:
+        if i % every and i < max_rounds:
+            continue
+        if shared:
             path = f"{shared.rstrip('/')}/fe-{uuid.uuid4().hex}"
             df.write.parquet(path)
             df = spark.read.schema(df.schema).parquet(path)
-            now = df.agg(*(F.sqrt(F.avg(F.col(c) * F.col(c))) for c in columns)).first()
-            if before and max(abs(a - b) for a, b in zip(now, before, strict=True)) < tol:
-                break
-            before = now
-    return df
+        else:
+            df = df.persist()
+        now = df.agg(*(F.sqrt(F.avg(F.col(c) * F.col(c))) for c in columns)).first()
+        if cached:
+            cached.unpersist()
+        cached = None if shared else df
+        if before is not None:
+            moved = max((d for a, b in zip(now, before, strict=True) if a is not None and (d := abs(a - b)) > 1e-12 * a), default=0.0)
+            if moved < tol:
+                return df
+        before = now
+    raise RuntimeError(f"two-way demeaning moved by {moved:.2e} in its last rounds, over {tol:.2e} after {max_rounds}")
 
 
 def cluster_ols(df: DataFrame, y: str, x: Sequence[str], cluster: str, constant: bool = True, extra_k: int = 0) -> list[dict]:

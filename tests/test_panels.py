@@ -80,6 +80,18 @@ def test_two_way(spark):
     assert np.allclose(got, [-0.15, 0.15, -1.65, 1.65, 1.8, 1.1, -2.9], atol=1e-6)
 
 
+def test_two_way_converges_or_raises(spark):
+    rows = [(f, g, float((7 * f + 3 * g * g) % 11)) for f in range(12) for g in (f // 2, f // 2 + 1)]  # few years a firm
+    df = spark.createDataFrame(rows, "f int, g int, v double")
+    with pytest.raises(RuntimeError, match="over 1.00e-08 after 6"):
+        regress.residualise(df, ["v"], ["f"], ["g"], max_rounds=6)
+    got = {(r.f, r.g): r.v for r in regress.residualise(df, ["v"], ["f"], ["g"], max_rounds=1000).collect()}
+    x = np.array([[float(f == i) for i in range(12)] + [float(g == i) for i in range(7)] for f, g, _ in rows])
+    y = np.array([v for *_, v in rows])
+    expected = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert np.abs(np.array([got[f, g] for f, g, _ in rows]) - expected).max() < 1e-3
+
+
 def test_winsorise(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 100)], "x double")
     got = sorted(r.x for r in regress.winsorise(df, "x").collect())
