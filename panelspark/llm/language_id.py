@@ -16,6 +16,8 @@ BUCKETS, DIM, ORDERS = 1 << 15, 12, (1, 2, 3, 4)
 SAMPLE_PER_LANG = 600
 #: Share of the documents in a learned language that the rejection bound may cost.
 REJECT_SHARE = 0.01
+#: Windows that the n-grams of a learned text are dealt to at most; none is left out.
+WINDOWS = 8
 UNKNOWN = "und"
 
 
@@ -68,7 +70,8 @@ class LanguageModel:
         """SGD over windows of the texts' n-grams; temperature and rejection bound from whole documents held back.
 
         A tenth of each language's documents, but 25 or half where that is too few, is not learned from but scored whole.
-        Whole texts are learned, a window of n-grams at a time, so that short texts are seen too.
+        Whole texts are learned: all n-grams of a text, dealt to windows of about ``window`` so that short texts are seen
+        too. A text has at most ``WINDOWS``, so that long ones do not dominate; beyond that its windows are larger.
         """
         rng, index = np.random.default_rng(seed), {lang: i for i, lang in enumerate(self.langs)}
         docs = [(_grams(text), index[label]) for text, label in zip(texts, labels, strict=True)]
@@ -81,13 +84,14 @@ class LanguageModel:
         for (g, y), h in zip(docs, held, strict=True):
             if h:
                 continue
-            cuts = [c for c in np.split(rng.permutation(g), range(window, len(g), window))] if len(g) > 2 * window else [g]
-            rows += [(c, y) for c in cuts[:8]]
+            cuts = np.array_split(rng.permutation(g), min(WINDOWS, -(-len(g) // window))) if len(g) > 2 * window else [g]
+            rows += [(*np.unique(c, return_counts=True), y) for c in cuts]
         for epoch in range(epochs):
             step = np.float32(rate * (1 - epoch / epochs))
             for i in rng.permutation(len(rows)):
-                g, y = rows[i]
-                v = self.E[g].mean(axis=0)
+                g, n, y = rows[i]
+                share = (n / n.sum()).astype(np.float32)
+                v = share @ self.E[g]
                 z = v @ self.W + self.b
                 p = np.exp(z - z.max())
                 p /= p.sum()
@@ -95,7 +99,7 @@ class LanguageModel:
                 back = self.W @ p
                 self.W -= step * 0.2 * np.outer(v, p)
                 self.b -= step * 0.02 * p
-                np.subtract.at(self.E, g, (step / len(g)) * back)
+                self.E[g] -= np.outer(step * share, back)
         check = [d for d, h in zip(docs, held, strict=True) if h]
         if check:
             self._calibrate(np.array([self.E[g].mean(axis=0) @ self.W + self.b for g, _ in check], float), np.array([y for _, y in check]))

@@ -184,6 +184,15 @@ def test_language(docs):
     assert len(got) == len(DOCS) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_learns_all_of_long_texts():
+    text = " ".join(f"{a}{b}{c}q" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop")
+    model, seen = language_id.LanguageModel(["de", "en"]), language_id._grams(text)
+    before = model.E.copy()
+    model.fit([text, "der und"], ["en", "de"])
+    moved = (model.E != before).any(axis=1)
+    assert moved[np.unique(seen)].mean() > 0.99
+
+
 def test_language_rejection():
     rng = np.random.default_rng(0)
     vocabulary = {"en": ["the", "and", "house", "water", "north", "with"], "de": ["der", "und", "häuser", "wasser", "norden", "mit"]}
