@@ -48,7 +48,7 @@ def parameter_table(spark: SparkSession, rows: Sequence[tuple], schema: str) ->
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``n_files, total_bytes`` of the Parquet files below ``path``, and whether the writer's success mark stands."""
+    """``n_files, total_bytes`` of the Parquet files below ``path``; marks of finished and unfinished writes are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     return files.agg(
         F.count_if(F.col("path").endswith(".parquet")).alias("n_files"),

@@ -101,7 +101,7 @@ def a12_parent_year(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH {_SPELLS} SELECT parent, role, year, sum(w) AS workers, count(DISTINCT user_id) AS n_users, round(ln(1 + count(DISTINCT user_id)), 4) AS log_users, round(avg(x), 4) AS x_mean FROM yearly GROUP BY ALL""")
 def a16_parent_occ_year(spark: SparkSession, d: str) -> DataFrame:
-    """Parent x occupation x year cells."""
+    """A16 without hire and exit rates, P23: parent x occupation x year cells of position spells."""
     years = panel.expand_to_years(_spells(spark, d))
     out = years.groupBy("parent", "role", "year").agg(F.sum("w").alias("workers"), F.count_distinct("user_id").alias("n_users"), F.avg("x").alias("m"))
     return out.select("parent", "role", "year", "workers", "n_users", r(clean.log1p_filled(F.col("n_users"))).alias("log_users"), r("m").alias("x_mean"))
@@ -161,7 +161,7 @@ def w1_primary_position(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id, year ORDER BY w DESC, n DESC, firm) AS rn, count(*) OVER (PARTITION BY user_id, year) AS firms FROM a)
 SELECT user_id, year, firm AS primary_firm, w, CAST(firms > 1 AS INT) AS multi_firm FROM k WHERE rn = 1""")
 def w2_primary_firm(spark: SparkSession, d: str) -> DataFrame:
-    """The primary firm of each user and year, and whether there were several."""
+    """The primary firm of each user and year, and whether there were several."""
     a = panel.expand_to_years(_spells(spark, d)).groupBy("user_id", "year", "firm").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
     a = a.withColumn("firms", F.count(F.lit(1)).over(Window.partitionBy("user_id", "year")))
     out = panel.primary_record(a, ["user_id", "year"], [F.desc("w"), F.desc("n"), F.col("firm")])
@@ -325,7 +325,7 @@ def a11_horizon(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT o_custkey AS user_id, CAST(count(*) AS BIGINT) AS n, max(CASE WHEN o_orderpriority LIKE '1%' THEN 5 WHEN o_orderpriority LIKE '2%' THEN 4 END) AS best, min(o_totalprice) AS least, CAST(max(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS INT) AS any_first, count(DISTINCT o_orderstatus) AS n_status FROM orders GROUP BY 1")
 def a8_user_features(spark: SparkSession, d: str) -> DataFrame:
-    """Ordinal scores and flags of a user's rows."""
+    """Ordinal scores and flags of a user's rows."""
     p = F.col("o_orderpriority")
     score = F.when(p.startswith("1"), 5).when(p.startswith("2"), 4)
     return _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.max(score).alias("best"), F.min("o_totalprice").alias("least"), F.max(clean.flag(p.startswith("1"))).alias("any_first"), F.count_distinct("o_orderstatus").alias("n_status"))
@@ -428,7 +428,7 @@ def r8_binscatter(spark: SparkSession, d: str) -> DataFrame:
 @_query("""WITH e AS (SELECT CAST(date_diff('year', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) AS event_time, l_extendedprice AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT event_time, round(avg(y), 2) AS mean, round(stddev_samp(y) / sqrt(count(*)), 2) AS se, count(*) AS n FROM e GROUP BY 1""")
 def r9_event_path(spark: SparkSession, d: str) -> DataFrame:
-    """Mean path by event time with standard errors."""
+    """Mean path by event time with standard errors."""
     line, o = _t(spark, d, "lineitem"), _t(spark, d, "orders")
     e = line.join(o, line.l_orderkey == o.o_orderkey).withColumn("event_time", F.year("l_shipdate") - F.year("o_orderdate"))
     return regress.event_path(e, "event_time", "l_extendedprice").select("event_time", r("mean", 2).alias("mean"), r("se", 2).alias("se"), "n")
@@ -445,7 +445,7 @@ def r12_entity_filter(spark: SparkSession, d: str) -> DataFrame:
 @_query("""WITH m AS (SELECT p_type AS occ, avg(p_size) AS a, avg(p_retailprice) AS b FROM part GROUP BY 1), z AS (SELECT occ, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS za, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS zb FROM m)
 SELECT occ, round((za + zb) / 2, 6) AS idx, CAST((za + zb) / 2 >= (SELECT quantile_cont((za + zb) / 2, 0.9) FROM z) AS INT) AS top_decile FROM z""")
 def r6_occupation_index(spark: SparkSession, d: str) -> DataFrame:
-    """Z-scored means by occupation, averaged to an index, with a top-decile flag."""
+    """R6 without its pre-period window, J13: z-scored means by occupation, averaged to an index, with a top-decile flag."""
     m = _t(spark, d, "part").groupBy(F.col("p_type").alias("occ")).agg(F.avg("p_size").alias("a"), F.avg("p_retailprice").alias("b"))
     z = regress.standardise(regress.standardise(m, "a"), "b").withColumn("i", (F.col("a") + F.col("b")) / 2)
     q = z.agg(F.percentile("i", 0.9).alias("q"))
@@ -466,5 +466,5 @@ def s12_entity_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def s10_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Files and bytes of a dataset."""
+    """S10 without its marks of finished and unfinished writes: files and bytes of a dataset."""
     return io.file_inventory(spark, f"{d}/lineitem.parquet")
