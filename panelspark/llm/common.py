@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +26,15 @@ def partitions(spark: SparkSession) -> int:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing (local tests), a local folder becomes the session's checkpoint folder.
+    Where the setting is missing, a local folder becomes the session's checkpoint folder in local mode (tests); on a
+    cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             current = tempfile.mkdtemp(prefix="spark-scratch-")
             spark.sparkContext.setCheckpointDir(current)
         base = current
@@ -42,6 +49,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about ``most`` bytes of the text column, or one row; bounds a task's memory."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, seed: int = 0, pieces: int | None = None) -> DataFrame:
     """Gapless 0-based rank of each row among the rows with equal ``keys``, in a pseudo-random order.
 
@@ -60,7 +78,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, seed
     return ranked.join(starts, [*keys, part]).withColumn(out, F.col(before) + F.col(local)).drop(part, before, local)
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Smallest node reachable from each node: rows ``(node, component)`` for all nodes that have an edge.
 
     Alternates large-star and small-star contraction over an edge table that is written to the shared folder each
@@ -70,7 +88,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")).where("u <> v").distinct()
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break

@@ -10,53 +10,101 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialise, rank_within
+from .common import load, materialise, rank_within, slices
 
 CAPACITY, END_ID = 1024, 2
-#: Words kept with their ids by one Python worker; beyond it the store starts anew. Bounds memory, not results.
-WORD_STORE = 1_500_000
+#: Bytes of words and ids kept by one Python worker; beyond it the store starts anew. Bounds memory, not results.
+STORE_BYTES = 160_000_000
 
 # A space between two other non-white characters: byte-level BPE always starts a token there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|<\|")
+#: Texts in which not every space is such a space, or that hold a special token's mark.
+_ODD = r"\s | \s|^ | $|<\|"
 
 
 class IdStore:
     """Token ids of whole texts as little-endian 32-bit bytes, from a tokenizer and a store of space-led words.
 
-    A text with special-token marks goes to the tokenizer whole; one with runs of white space is cut at its plain
-    single spaces only. Either way the ids are those of the whole text.
+    Texts are cut at plain single spaces, a batch at a time, and each word new to the store is tokenised once. A text
+    with special-token marks goes to the tokenizer whole. Either way the ids are those of the whole text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}  # what a text begins with
-        self.led: dict[str, bytes] = {}  # what follows a space, without it
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of text that each id stands for: one a character of a byte-level vocabulary.
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
+        self.led: dict[str, bytes] = {}  # ids of what follows a space, by what it is without the space
+        self.held = 0
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, tokenised in runs; the bytes that ids stand for tell where each word ends."""
+        if self.held > STORE_BYTES:
+            self.led.clear()
+            self.held = 0
+        for at in range(0, len(words), 1000):
+            own = words[at : at + 1000]
+            ids = self._encode("".join([" " + w for w in own]))
+            ends = np.cumsum([len(w.encode()) + 1 for w in own])
+            cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, side="right").tolist()
+            raw, last = ids.tobytes(), 0
+            for w, cut in zip(own, cuts, strict=True):
+                self.led[w] = raw[4 * last : 4 * cut]
+                last = cut
+            self.held += len(raw) + int(ends[-1]) + 150 * len(own)
+
+    def _found(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.led.get, words))
+        if None in found:
+            self._learn([w for w, ids in zip(words, found, strict=True) if ids is None])
+            # where the store began anew, it lacks words that were found before
+            found = [self.led.get(w, ids) for w, ids in zip(words, found, strict=True)]
+        return found
 
     def ids(self, text: str) -> bytes:
+        """Ids of one text, whatever its white space."""
         if "<|" in text:
-            return self._encode([text])[0]
-        start, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        if start not in self.first:
-            if len(self.first) > WORD_STORE // 8:
-                self.first.clear()
-            self.first[start] = self._encode([start])[0]
-        try:
-            return self.first[start] + b"".join(map(self.led.__getitem__, rest))
-        except KeyError:
-            if len(self.led) > WORD_STORE:
-                self.led.clear()
-            new = [p for p in set(rest) if p not in self.led]
-            self.led.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-            return self.first[start] + b"".join(map(self.led.__getitem__, rest))
+            return self._encode(text).tobytes()
+        start, *rest = _CUT.split(text)
+        return self._encode(start).tobytes() + b"".join(map(dict(zip(set(rest), self._found(list(set(rest))), strict=False)).__getitem__, rest))
+
+    def all_ids(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a batch; nulls count as empty."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.nonzero(odd)[0].tolist():
+            out[i] = self.ids(texts[i].as_py())
+        plain = np.nonzero(~odd)[0]
+        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        if not len(plain):
+            return out
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets, words = offsets - offsets[0], parts.flatten()
+        known = words.dictionary_encode()
+        at = known.indices.to_numpy().astype(np.int64)
+        begin = offsets[:-1]  # each text has a first part, which no space leads
+        firsts, which = np.unique(at[begin], return_inverse=True)
+        at[begin] = len(known.dictionary) + which
+        table = self._found(known.dictionary.to_pylist()) + [self._encode(w).tobytes() for w in known.dictionary.take(pa.array(firsts)).to_pylist()]
+        lengths = np.array([len(x) for x in table])[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[offsets].tolist()
+        buffer = pa.array(table, pa.large_binary()).take(pa.array(at)).buffers()[2]
+        raw = buffer.to_pybytes() if buffer else b""
+        for i, a, b in zip(plain.tolist(), ends, ends[1:]):
+            out[i] = raw[a:b]
+        return out
 
 
 @functools.lru_cache(1)
@@ -70,16 +118,17 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     """Pieces of each document's token ids: ``doc_id, piece, start, length, ids_crc32``.
 
     A document is its ids and ``end_id``; null text is empty. One longer than ``capacity`` is cut so that all pieces
-    but the first are full. Reads ``doc_id`` and ``text`` only; runs of equal rows give equal pieces.
+    but the first are full. Reads ``doc_id`` and ``text`` only. Each row is a document: repeated rows give repeated
+    pieces, and a null ``doc_id`` stays null.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = id_store(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches, 1, 16_000_000):
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = store.ids(text.as_py() or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), store.all_ids(batch.column(1)), strict=True):
+                ids += end
                 n, at = len(ids) // 4, 0
                 length = n % capacity or capacity
                 for piece in range(-(-n // capacity)):

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, slices
 
 MARK = "▁"
-#: Words kept with their ids by one Python worker; beyond it the store starts anew.
-WORD_STORE = 300_000
+#: Bytes of words and ids kept by one task; beyond it the store starts anew. Bounds memory, not results.
+STORE_BYTES = 160_000_000
 _PART = re.compile(f"{MARK}*[^{MARK}]*")
 
 
@@ -120,36 +122,122 @@ def from_model(path: str) -> Unigram:
 
 
 class Encoder:
-    """Encodes whole texts, word by word where the vocabulary allows, with a bounded store of words."""
+    """Encodes whole texts, a batch at a time and word by word where the vocabulary allows, with a bounded store of words.
+
+    The file's scores are taken as log scores. The public vocabulary file that the query uses gives merge ranks there,
+    so on it the best segmentation is the one of the least sum of ranks, not of the greatest likelihood.
+    """
 
     def __init__(self, model: Unigram):
-        self.model, self.words = model, {}
+        self.model, self.words, self.held = model, {}, 0
+        self.base, self.check, self.value = (np.array(a, np.int32) for a in (model.base, model.check, model.value))
+        self.scores = np.array(model.scores, np.float64)
+        self.bytes = np.array([i if i >= 0 else model.unknown for i in model.byte_ids], np.int32)
+
+    def _all_viterbi(self, parts: list[bytes]) -> list[bytes]:
+        """``Unigram.viterbi`` of parts of similar length at once: one step of all for each place and piece length."""
+        n = np.array([len(p) for p in parts], np.int64)
+        m, width = len(parts), int(n.max())
+        text = np.zeros((m, width + 4), np.uint8)
+        inside = np.arange(width) < n[:, None]
+        text[:, :width][inside] = np.frombuffer(b"".join(parts), np.uint8)
+        best = np.full((m, width + 5), -1e300)
+        best[:, 0] = 0.0
+        back, piece = np.zeros((m, width + 5), np.int32), np.full((m, width + 5), -1, np.int32)
+        for i in range(width):
+            rows = np.nonzero((n > i) & (text[:, i] & 0xC0 != 0x80))[0]
+            first = text[rows, i]
+            wide = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
+            alone, of, node, j = np.zeros(len(rows), bool), np.arange(len(rows)), np.zeros(len(rows), np.int32), i
+            while len(of):
+                to = self.base[node] + text[rows[of], j]
+                ok = (self.check[to] == node) & (to > 0) & (n[rows[of]] > j)
+                of, node, j = of[ok], to[ok], j + 1
+                ends = self.value[node] >= 0
+                at, v = of[ends], self.value[node[ends]]
+                alone[at[j - i == wide[at]]] = True
+                score = best[rows[at], i] + self.scores[v]
+                better = score > best[rows[at], j]
+                r = rows[at[better]]
+                best[r, j], back[r, j], piece[r, j] = score[better], i, v[better]
+            rows, wide = rows[~alone], wide[~alone]
+            score = best[rows, i] + self.model.penalty
+            better = score > best[rows, i + wide]
+            rows, to = rows[better], (i + wide)[better]
+            best[rows, to], back[rows, to], piece[rows, to] = score[better], i, -1
+        row, at, found = [], [], []
+        rows, end = np.arange(m), n.copy()
+        while len(rows):
+            start, v = back[rows, end], piece[rows, end]
+            whole = v >= 0
+            row.append(rows[whole]), at.append(start[whole]), found.append(v[whole])
+            for k in range(4):  # a character that no piece covers becomes its bytes
+                own = ~whole & (start + k < end)
+                row.append(rows[own]), at.append(start[own] + k), found.append(self.bytes[text[rows[own], start[own] + k]])
+            end = start.astype(np.int64)
+            rows, end = rows[end > 0], end[end > 0]
+        row, at, found = np.concatenate(row), np.concatenate(at), np.concatenate(found).astype("<i4")
+        order = np.argsort(row * (width + 1) + at)
+        ids, cuts = found[order].tobytes(), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=m))]) * 4
+        return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def _learn(self, parts: list[str]) -> None:
+        if self.held > STORE_BYTES:
+            self.words.clear()
+            self.held = 0
+        coded = sorted(((p.encode(), p) for p in parts), key=lambda x: len(x[0]))
+        short = bisect.bisect_right(coded, 64, key=lambda x: len(x[0]))
+        for at in range(0, short, 20_000):
+            own = coded[at : min(at + 20_000, short)]
+            self.words.update(zip([p for _, p in own], self._all_viterbi([b for b, _ in own]), strict=True))
+        for _, p in coded[short:]:
+            self.words[p] = np.array(self.model.viterbi(p), "<i4").tobytes()
+        self.held += sum(len(b) + len(self.words[p]) + 150 for b, p in coded)
+
+    def _found(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, parts))
+        if None in found:
+            self._learn([p for p, ids in zip(parts, found, strict=True) if ids is None])
+            found = [self.words.get(p, ids) for p, ids in zip(parts, found, strict=True)]
+        return found
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of one text, whatever its blanks."""
         if not text:
             return np.zeros(0, np.int32)
         marked = MARK + text.replace(" ", MARK)
-        if not self.model.by_word:
-            return np.array(self.model.viterbi(marked), np.int32)
-        words, out = self.words, []
-        for part in _PART.findall(marked):
-            ids = words.get(part)
-            if ids is None:
-                if len(words) > WORD_STORE:
-                    words.clear()
-                ids = words[part] = np.array(self.model.viterbi(part), np.int32).tobytes()
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        parts = _PART.findall(marked) if self.model.by_word else [marked]
+        one = list(dict.fromkeys(p for p in parts if p))
+        known = dict(zip(one, self._found(one), strict=True))
+        return np.frombuffer(b"".join([known[p] for p in parts if p]), np.int32)
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a batch; nulls count as empty."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, f"^ |  |^$|{MARK}").to_numpy(zero_copy_only=False) if self.model.by_word else np.ones(len(texts), bool)
+        out: list = [None] * len(texts)
+        for i in np.nonzero(odd)[0].tolist():
+            out[i] = self.encode(texts[i].as_py())
+        plain = np.nonzero(~odd)[0]
+        if len(plain):
+            parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            offsets, known = parts.offsets.to_numpy().astype(np.int64), parts.flatten().dictionary_encode()
+            table = pa.array(self._found([MARK + w for w in known.dictionary.to_pylist()]), pa.large_binary()).take(known.indices)
+            ends = table.buffers()[1] and np.frombuffer(table.buffers()[1], np.int64)[: len(table) + 1]
+            ids = np.frombuffer(table.buffers()[2], np.int32)
+            ends = (ends[offsets - offsets[0]] // 4).tolist()
+            for i, a, b in zip(plain.tolist(), ends, ends[1:]):
+                out[i] = ids[a:b]
+        return out
 
 
 def encode_documents(docs: DataFrame, model: Unigram) -> DataFrame:
-    """``doc_id, ids`` of each whole text; null and empty texts have no ids."""
+    """``doc_id, ids`` of each whole text; null and empty texts have no ids. Each row is coded by itself, repeated or without id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in batches:
-            ids = [encoder.encode(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for batch in slices(batches, 1, 16_000_000):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.encode_all(batch.column(1)), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -166,20 +254,25 @@ def decode_documents(encoded: DataFrame, model: Unigram) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents encoded and decoded again: counts and checksums of the ids and of the text that comes back."""
+    """All documents encoded and decoded again: counts and checksums of the ids and of the text that comes back.
+
+    Null and empty texts have no ids and come back empty; each row counts by itself, repeated or without ``doc_id``.
+    Ids are those of the greatest sum of the file's scores, which are merge ranks (see ``Encoder``).
+    """
     import public_tokenizers
 
     model = from_model(public_tokenizers.path("piece_bpe_32k.model"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, lone = Encoder(model), np.array(sorted(i for i in model.byte_ids if i >= 0))
-        for batch in batches:
+        encoder, raw = Encoder(model), pa.array(model.raw, pa.large_binary())
+        lone = np.isin(np.arange(len(model.pieces)), [i for i in model.byte_ids if i >= 0])
+        for batch in slices(batches, 1, 16_000_000):
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for text in batch.column(1):
+            for text, ids in zip(batch.column(1), encoder.encode_all(batch.column(1)), strict=True):
                 text = text.as_py() or ""
-                ids = encoder.encode(text)
-                back = model.decode(ids.tolist())
-                for c, v in zip(rows, (len(ids), int(np.isin(ids, lone).sum()), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode()), back == text), strict=True):
+                back = raw.take(pa.array(ids)).buffers()[2].to_pybytes().decode("utf-8", "replace") if len(ids) else ""
+                back = back[1:] if back[:1] == " " else back
+                for c, v in zip(rows, (len(ids), int(lone[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(back.encode()), back == text), strict=True):
                     c.append(v)
             arrays = [pa.array(c, t) for c, t in zip(rows, (*[pa.int64()] * 4, pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "decoded_crc32", "round_trip"])
