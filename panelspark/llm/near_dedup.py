@@ -3,31 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialise
+from .common import connected_components, load, materialise, slices
 
 #: A signature has CHUNKS x VALUES minhash values of 16 bits. A pair with up to 2 * CHUNKS - 1 different values has
 #: a chunk with at most one error (pigeonhole), and each chunk is indexed once for every place where that error may be.
-CHUNKS, VALUES = 8, 5
+CHUNKS, VALUES = 10, 4
 _K = CHUNKS * VALUES
+#: Chance that a pair right at the similarity bound has more different values than ``signature_distance`` allows.
+MISS = 1e-6
 _MULTIPLIERS = np.random.default_rng(2024).integers(1, 2**63, _K, dtype=np.uint64) | np.uint64(1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+def signature_distance(percent: int) -> int:
+    """Most different values of a pair that is still looked at: beyond it is at most ``MISS`` of the pairs at the bound."""
+    p, tail, d = 1 - percent / 100, 0.0, _K
+    while d and (tail := tail + comb(_K, d) * p**d * (1 - p) ** (_K - d)) <= MISS:
+        d -= 1
+    return d
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -36,79 +38,162 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, width: int, store: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text; the whole sequence is one where there are fewer words.
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the word shingles of each text; the whole sequence is one where there are fewer words.
 
-    A-Z is lower-cased and ASCII white space parts words, which is what ``bytes.lower`` and ``bytes.split`` do.
+    A-Z is lower-cased and ASCII white space parts words. Nulls and texts without words have empty sets. Each word of
+    the batch is hashed once.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(width, len(h)), np.uint64)
-    for j in range(min(width, len(h))):
-        out = _mixed((out ^ h[j : j + n]) * _MIX[j % 5] + np.uint64(j + 1))
-    return np.unique(out)
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    known = words.dictionary_encode()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known.dictionary.to_pylist()), np.uint64, len(known.dictionary))
+    at = known.indices.to_numpy()
+    real = (pc.binary_length(known.dictionary).to_numpy(zero_copy_only=False) > 0)[at]  # a text's ends may give empty parts
+    h = hashes[at][real]
+    starts = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
+
+    def combined(h: np.ndarray, n: int, used: int) -> np.ndarray:
+        out = np.full(n, used, np.uint64)
+        for j in range(used):
+            out = _mixed((out ^ h[j : j + n]) * _MIX[j % 5] + np.uint64(j + 1))
+        return out
+
+    rolled = combined(h, max(0, len(h) - width + 1), width)
+    out = []
+    for a, b in zip(starts.tolist(), starts[1:].tolist()):
+        if b - a < width:
+            out.append(combined(h[a:b], min(1, b - a), b - a))
+        else:
+            s = np.sort(rolled[a : b - width + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+    return out
 
 
 def _minhashes(s: np.ndarray) -> np.ndarray:
     low = np.full(_K, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 4096):  # long texts in blocks
-        low = np.minimum(low, (s[at : at + 4096, None] * _MULTIPLIERS).min(axis=0))
+    for at in range(0, len(s), 1024):  # long texts in blocks
+        low = np.minimum(low, (s[at : at + 1024, None] * _MULTIPLIERS).min(axis=0))
     return _mixed(low) >> np.uint64(48)
 
 
 def _keys(values: np.ndarray) -> np.ndarray:
-    """One key for each chunk and each place in it that is left out."""
-    chunks = values.reshape(CHUNKS, VALUES)
-    out = np.empty((CHUNKS, VALUES), np.uint64)
+    """One key for each chunk and each place in it that is left out, of each row of signature values."""
+    chunks = values.reshape(-1, CHUNKS, VALUES)
+    out = np.empty(chunks.shape, np.uint64)
     for j in range(VALUES):
-        rest = np.delete(chunks, j, axis=1)
-        packed = rest[:, 0] << np.uint64(48) | rest[:, 1] << np.uint64(32) | rest[:, 2] << np.uint64(16) | rest[:, 3]
-        out[:, j] = _mixed(packed ^ _mixed(np.arange(CHUNKS, dtype=np.uint64) * np.uint64(VALUES) + np.uint64(j + 1)))
-    return out.ravel().view(np.int64)
+        packed = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(VALUES) + np.uint64(j + 1) + np.zeros(chunks.shape[:2], np.uint64)
+        for k in range(VALUES):
+            if k != j:
+                packed = _mixed(packed * np.uint64(0x9E3779B97F4A7C15) ^ chunks[:, :, k])
+        out[:, :, j] = packed
+    return out.reshape(len(values), _K).view(np.int64)
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, set_hash, keys`` of each document; no keys and a null hash for an empty set."""
+    """``doc_id, n_shingles, set_hash, keys, sig`` of each document; no keys and a null hash and signature for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = WordHashes()
-        for batch in batches:
-            n, sets, keys = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), width, store)
-                n.append(len(s))
-                sets.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
-                keys.append(_keys(_minhashes(s)) if len(s) else np.zeros(0, np.int64))
+        for batch in slices(batches, 1):
+            sets = shingle_sets(batch.column(1), width)
+            n = np.array([len(s) for s in sets], np.int64)
+            values = np.array([_minhashes(s) for s in sets], np.uint64).reshape(-1, _K)
+            full = n > 0
+            keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * _K)]).astype(np.int32), pa.array(_keys(values)[full].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_hash", "keys"],
+                [
+                    batch.column(0), pa.array(n), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), keys,
+                    pa.array([v.tobytes() if f else None for v, f in zip(values.astype("<u2"), full, strict=True)], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "set_hash", "keys", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, keys array<long>, sig binary")
+
+
+def _near(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Those pairs ``a, b`` whose signatures differ in few enough values and whose set sizes allow the similarity."""
+    most = signature_distance(percent)
+    a, b = (signed.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(f"{percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, _K) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= most))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``doc_id, shingles`` (sorted 64-bit hashes) of the documents with these ids, each different row once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    return materialise(own.mapInArrow(run, "doc_id long, shingles binary"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs ``a, b`` whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
+    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").join(
+        sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, of, last = WordHashes(), np.zeros(0, np.uint64), None
         for batch in batches:
             keep = []
-            for a, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    of, last = shingle_set(text_a.as_py(), width, store), a
-                other = shingle_set(text_b.as_py(), width, store)
-                common = len(np.intersect1d(of, other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(of) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                z = np.sort(np.concatenate([x, y]))
+                common = int((z[1:] == z[:-1]).sum())
+                keep.append(100 * common >= percent * (len(z) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+def _sharing_rare(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that share a rare shingle, as all pairs over the similarity bound do.
+
+    The shingles of a set are put in order of how many of these sets hold them. Of two sets over the bound the larger
+    has, among its first ``n - ceil(t n) + 1``, one of the first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller, for a
+    bound of ``t``. So documents that share a core and differ in more than the bound allows do not meet, whatever their
+    number. Of a shingle that many hold, the members of its most frequent component are not paired with each other.
+    """
+    t = percent
+    long = sets.select("doc_id", "shingles").mapInArrow(_unpacked, "doc_id long, n long, shingle long")
+    long = materialise(long)
+    held = long.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = long.join(held, "shingle")
+    order = Window.partitionBy("doc_id").orderBy("df", "shingle")
+    whole = Window.partitionBy("doc_id")
+    ranked = common.withColumn("rank", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(whole))
+    probe = F.col("n") - F.ceil(F.col("n") * t / 100) + 1
+    index = F.col("n") - F.ceil(F.col("n") * (2 * t) / (100 + t)) + 1
+    first = ranked.where(F.col("rank") <= probe).withColumn("index", F.col("rank") <= index).select("shingle", "doc_id", "n", "index")
+    first = materialise(first.join(comp, "doc_id"))
+    of = first.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("index").alias("any"))
+    of = of.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max("any").alias("any"), F.max_by("comp", F.struct("k", "comp")).alias("most"))
+    open_ = first.join(of.where("comps > 1 and any").select("shingle", "most"), "shingle")
+    a = open_.where("comp <> most").select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("index").alias("index_a"))
+    b = open_.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "comp", F.col("index").alias("index_b"))
+    fits = "comp <> comp_a and ((n_a >= n_b and index_b) or (n_b >= n_a and index_a))"
+    found = a.join(b, "shingle").where(f"{fits} and {t} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in range(0, batch.num_rows, 500):
+            own = batch.slice(part, 500)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in own.column(1)]
+            n = np.array([len(s) for s in sets], np.int64)
+            ids = np.repeat(own.column(0).to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], ["doc_id", "n", "shingle"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -116,51 +201,59 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Returns ``doc_id, n_shingles, component_id`` (the least ``doc_id`` reachable) for each row. Sets are distinct
     ``width``-word shingles; null and empty texts have none and link with nothing. Equal sets are one class before
-    anything is joined, whatever their number. Classes that share a key are compared with the key's least class, then
-    with its greatest; what is linked by then is one component, and only pairs of different components that share a
-    key are compared with each other, so a group of copies does not give all its pairs. All candidates are confirmed
-    on their full sets. Repeated rows of one ``doc_id`` are returned as often; other columns are ignored.
+    anything is joined, whatever their number. Classes that share a key are held against the key's least class, then
+    against its greatest; what is linked by then is one component. Where a key has further classes of different
+    components, these are paired only if they also share a rare shingle (``_sharing_rare``), which loses no link. All
+    pairs must have near signatures and are then confirmed on their full sets. Rows of one ``doc_id`` are returned one by
+    one, each with the component of its own text; rows without ``doc_id`` link with nothing and have no component. Other
+    columns are ignored; an empty table gives an empty result.
     """
     signed = materialise(signatures(docs, width))
     classes = materialise(
-        signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
+        .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("keys", "sig", "n_shingles"), "doc_id").alias("x")).select("set_hash", "doc_id", "x.*")
     )
-    keyed = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("doc_id"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    members = materialise(keyed.join(buckets, "key").select("key", "doc_id", "low", "high"))
-    ids = members.select("doc_id").distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    star = members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialise(_confirmed(star, texts, width, percent))
-
-    def labelled() -> DataFrame:
-        comp = connected_components(links, "a", "b")
-        return members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-
-    now = labelled()
-    open_keys = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    still = materialise(now.join(open_keys, "key").select("key", "doc_id", "low", "high", "comp"))
-    done = star
-    ends = still.select("key", F.col("doc_id").alias("high"), F.col("comp").alias("c_high"))
-    second = still.join(ends, ["key", "high"]).where("comp <> c_high and doc_id <> high")
-    second = materialise(second.select(F.col("high").alias("a"), F.col("doc_id").alias("b")).distinct())
-    seen = done.unionByName(second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    fresh = second.join(done, (second.b == done.a) & (second.a == done.b), "left_anti")
-    links = materialise(links.unionByName(_confirmed(fresh, texts, width, percent)))
-    now = labelled()
+    keyed = classes.select(F.explode("keys").alias("key"), "doc_id")
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    members = materialise(keyed.join(buckets, "key"))
+
+    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        close = materialise(_near(pairs, classes, percent))
+        if sets is None:
+            sets = _sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
+        return close, materialise(_confirmed(close, sets, percent))
+
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        comp = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
+        return rows.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+    _, links = linked(members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
+    #: Keys of three classes and more: with two, all is compared.
+    now = materialise(labelled(members.where("size > 2"), links))
     open_keys = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    still = materialise(now.join(open_keys, "key").select("key", "doc_id", "comp"))
-    other = still.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"))
-    rest = still.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
-    rest = rest.join(seen, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(rest, texts, width, percent))
-    comp = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
-    moved = classes.select("set_hash", "rep").join(comp, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
+    still = materialise(now.join(open_keys, "key"))
+    ends = still.where("doc_id = high").select("key", F.col("comp").alias("c_high")).distinct()
+    second = still.join(ends, "key").where("comp <> c_high and doc_id <> high and doc_id <> low")
+    _, more = linked(second.select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct())
+    links = materialise(links.unionByName(more))
+    #: Of keys of four classes and more those that are neither least nor greatest are not compared with each other yet.
+    now = materialise(labelled(still.where("size > 3").select("key", "doc_id", "low", "high"), links))
+    inner = now.where("doc_id <> low and doc_id <> high")
+    open_keys = inner.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+    rest = materialise(inner.join(open_keys, "key").select("doc_id", "comp").distinct())
+    sets = _sets(docs, rest.select("doc_id").distinct(), width)
+    _, more = linked(_sharing_rare(sets, rest, percent), sets)
+    comp = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "doc_id")
+    moved = classes.select("set_hash", "doc_id").join(comp, "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(moved, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents: three-word shingles, similarity of at least 0.85."""
+    """Components of all documents: three-word shingles, similarity of at least 0.85.
+
+    Null, empty and blank texts are components of their own; rows without ``doc_id`` have no component and are kept;
+    repeated rows of one ``doc_id`` are returned one by one.
+    """
     out = near_duplicates(load(spark, sf_dir, "documents"), width=3, percent=85)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
