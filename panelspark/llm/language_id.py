@@ -18,6 +18,8 @@ SAMPLE_PER_LANG = 600
 REJECT_SHARE = 0.01
 #: Windows that the n-grams of a learned text are dealt to at most; none is left out.
 WINDOWS = 8
+#: Most frequent languages that are learned at most.
+MOST_LANGS = 1000
 UNKNOWN = "und"
 
 
@@ -165,13 +167,13 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     rows the model knows no language and gives ``und`` for all.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() != 0)).select("doc_id", "text", "lang")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageModel([UNKNOWN])
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / counts[lang]))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    sample = sorted(tuple(r) for r in rows.where(drawn).select("doc_id", "text", "lang").limit(2 * per_lang * len(langs)).collect())
+    sample = sorted(tuple(r) for r in rows.where(drawn).select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * per_lang * len(langs)).collect())
     model = LanguageModel(langs)
     model.fit([t for _, t, _ in sample], [lang for *_, lang in sample])
     return model
@@ -199,7 +201,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of all documents, learned from the four folds that are not held out."""
+    """Language of all documents, learned from the four folds that are not held out.
+
+    ``accepted`` is whether the score reaches the calibrated bound under which the pipeline rejects a document. Null
+    text and text without letters are ``und`` with score 0, not accepted. Each row counts by itself, repeated or
+    without ``doc_id``; an empty table gives an empty result.
+    """
     docs = load(spark, sf_dir, "documents")
-    out = identify(docs.select("doc_id", "text"), train(docs))
-    return out.select("doc_id", (_fold() == 0).alias("held_out"), "lang_pred", "score")
+    model = train(docs)
+    out = identify(docs.select("doc_id", "text"), model)
+    accepted = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.reject)
+    return out.select("doc_id", (_fold() == 0).alias("held_out"), "lang_pred", "score", accepted.alias("accepted"))

@@ -5,6 +5,8 @@ Native: DataFrame functions only; the driver sees one count per block.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,17 +20,55 @@ def shard_sizes(n_rows: int, n_shards: int) -> list[int]:
     return [base + (i < more) for i in range(n_shards)]
 
 
+def _log_ratio(k: int, m: int) -> float:
+    """``ln(k! / m!)``, without the cancellation that two large logarithms would have."""
+    if min(k, m) < 1000:
+        return math.lgamma(k + 1) - math.lgamma(m + 1)
+    d = k - m
+    return (m + 0.5) * math.log1p(d / m) + d * math.log(k) - d + (1 / k - 1 / m) / 12 - (1 / k**3 - 1 / m**3) / 360
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn from ``good + bad`` are good, by ratio of uniforms; numpy's own draw stops at 1e9.
+
+    Stadlober's rejection method; the probabilities relative to the mode are exact to double precision.
+    """
+    total, few, many = good + bad, min(good, bad), max(good, bad)
+    m = min(n, total - n)
+    if not m or not few:
+        k = 0
+    else:
+        p = few / total
+        centre = m * p + 0.5
+        spread = math.sqrt((total - m) * m * p * (1 - p) / max(1, total - 1) + 0.5)
+        width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+        mode = (m + 1) * (few + 1) // (total + 2)
+        while True:
+            u, v = 1 - rng.random(), rng.random()
+            k = math.floor(centre + width * (v - 0.5) / u)
+            if max(0, m - many) <= k <= min(m, few):
+                t = -_log_ratio(k, mode) - _log_ratio(few - k, few - mode) - _log_ratio(m - k, m - mode) - _log_ratio(many - m + k, many - m + mode)
+                if 2 * math.log(u) <= t:
+                    break
+    k = m - k if good > bad else k
+    return good - k if m < n else k
+
+
 def communication_matrix(block_sizes: list[int], sizes: list[int], seed: int) -> list[list[int]]:
     """How many rows of each block go to each shard, drawn exactly as a uniform permutation would have it.
 
-    Row by row, a multivariate hypergeometric draw from what the shards still take. Row sums are the block sizes,
-    column sums the shard sizes.
+    Row by row, a multivariate hypergeometric draw, shard after shard, from what the shards still take. Row sums are
+    the block sizes, column sums the shard sizes; any number of rows.
     """
-    rng, left, out = np.random.default_rng(seed), np.array(sizes, dtype=np.int64), []
+    rng, left, out = np.random.default_rng(seed), list(sizes), []
     for n in block_sizes:
-        draw = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= draw
-        out.append(draw.tolist())
+        row, rest = [], sum(left)
+        for i, k in enumerate(left):
+            rest -= k
+            row.append(hypergeometric(rng, k, rest, n))
+            n -= row[-1]
+            left[i] -= row[-1]
+        out.append(row)
     return out
 
 
@@ -68,7 +108,7 @@ def shuffle_to_shards(df: DataFrame, order: list[str], n_shards: int = 16, seed:
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 under the law ``rows``: counts at most one apart.
 
-    Null text has size 1 and the checksum of no bytes.
+    Null text has size 1 and the checksum of no bytes. Repeated rows are dealt one by one; null ids are a value.
     """
     text = F.coalesce("text", F.lit(""))
     rows = load(spark, sf_dir, "documents").select(

@@ -14,7 +14,8 @@ from .common import connected_components, load, materialise
 
 #: Vectors that codebooks are fitted on at most, subspaces, codes in each, and rows of one block of a list.
 SAMPLE, SUBSPACES, CODES, BLOCK = 12_000, 8, 64, 2048
-#: Rows that a list of one label should have: a query is sent to each list that it probes, so lists are few and full.
+#: Rows that a list of the largest label should have: a query is sent to each list that it probes, so lists are few and
+#: full. Eight sampled vectors a list are the least that centroids are fitted on; beyond that lists grow, in blocks.
 CELL = 512
 
 
@@ -99,10 +100,10 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
     rows = materialise(rows.mapInArrow(unit, "vec_id long, label string, dim int, vec binary, set_hash binary"))
-    whole = rows.where("vec is not null and label is not null")
+    whole = rows.where("vec is not null and label is not null and vec_id is not null")
     classes = whole.groupBy("label", "dim", "set_hash").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.min_by("vec", "vec_id").alias("vec"))
     classes = materialise(classes)
-    n, widest, n_labels = classes.agg(F.count(F.lit(1)), F.max("dim"), F.count_distinct("label")).first()
+    n, widest = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if not n:
         return alone
@@ -117,7 +118,8 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
 
     drawn = classes.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE)
     sample = classes.join(F.broadcast(drawn), "rep", "left_semi").orderBy("rep").select("vec").limit(SAMPLE).collect()
-    index = Index(matrix([bytes(r[0]) for r in sample]), n_lists or int(min(1024, max(4, n / n_labels / CELL))))
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    index = Index(matrix([bytes(r[0]) for r in sample]), n_lists or int(min(SAMPLE // 8, max(4, largest / CELL))))
 
     def indexed(batches):
         for batch in batches:
@@ -154,7 +156,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
             maybe &= qid[:, None] != bid
             qi, bi = np.nonzero(maybe)
             cosine = np.concatenate([np.einsum("ij,ij->i", qv[qi[s : s + 65536]], bv[bi[s : s + 65536]]) for s in range(0, len(qi), 65536)] or [np.zeros(0)])
-            good = cosine >= threshold - 1e-15
+            good = cosine >= threshold
             qi, bi = qi[good], bi[good]
             if len(qi):
                 found = np.bincount(qi, weights=m[bi], minlength=len(qid)).astype(np.int64)
@@ -179,10 +181,15 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
     of_class = classes.select("label", "dim", "set_hash", "rep", "m").join(counts, "rep", "left").join(comps, "rep", "left")
     of_class = of_class.select("label", "dim", "set_hash", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = rows.join(of_class, ["label", "dim", "set_hash"], "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    known = F.col("vec_id").isNotNull()
+    return out.select("vec_id", F.when(known, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(known, F.coalesce("c", "vec_id")).alias("component_id"))
 
 
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links and components of all embeddings, within labels, at cosine 0.93."""
+    """Links and components of all embeddings, within labels, at cosine 0.93.
+
+    Null, empty, zero and non-finite vectors and those without label stand alone; rows without ``vec_id`` link with
+    nothing, have no component and are kept; each repeated row counts as a vector of its own.
+    """
     out = vector_links(load(spark, sf_dir, "embeddings"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -155,6 +155,30 @@ def test_sharding(docs):
     assert [sum(r) for r in matrix] == [5, 0, 7] and [sum(c) for c in zip(*matrix)] == [6, 6]
 
 
+def test_hypergeometric_draws():
+    from math import comb
+
+    rng = np.random.default_rng(1)
+    for good, bad, n in [(5, 7, 6), (30, 10, 12), (3, 40, 20), (0, 5, 3), (4, 0, 2)]:
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)], minlength=n + 1) / 4000
+        true = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(n + 1)])
+        assert np.abs(got - true).max() < 0.04
+    big = np.array([sharding.hypergeometric(rng, 4 * 10**11, 6 * 10**11, 10**10) for _ in range(2000)], float)
+    sd = (10**10 * 0.4 * 0.6 * 0.99) ** 0.5
+    assert abs(big.mean() - 4 * 10**9) < 5 * sd / 2000**0.5 and abs(big.std() / sd - 1) < 0.08
+    assert abs(sharding._log_ratio(5000, 4000) - sum(np.log(np.arange(4001, 5001)))) < 1e-6
+
+
+def test_shuffle_is_uniform(spark):
+    """Each row is as likely in each shard: over many seeds, counts of rows by shard stay near their mean."""
+    rows = spark.range(24).selectExpr("id AS doc_id", "'x' AS text", "id AS shard")
+    counts = np.zeros((24, 4))
+    for seed in range(40):
+        for r in sharding.shuffle_to_shards(rows, ["doc_id"], 4, seed=seed, n_blocks=3).collect():
+            counts[r.doc_id, r.shard] += 1
+    assert (counts.sum(axis=1) == 40).all() and ((counts - 10) ** 2 / 10).sum() < 130  # 69 degrees of freedom
+
+
 def test_fingerprints(spark, docs):
     from pyspark.sql import functions as F
 
@@ -239,6 +263,9 @@ def test_fixity(spark):
     b = fixity.warc_records(pages.replace("u1234", "changed", "url"))
     assert [(r.volume, r.at) for r in fixity.audit(a, b).collect()] == [(1, 234)]
     assert fixity.audit(a, a).count() == 0
+    more = fixity.warc_records(pages.unionByName(spark.createDataFrame([(2400, "only there", "x"), (None, "nor id", "y")], pages.schema)))
+    found = fixity.audit(a, more).collect()
+    assert {(r.page_id, r.primary_sha256 is None) for r in found} == {(2400, True), (None, True)}
 
 
 def test_html():
