@@ -16,7 +16,7 @@ from .common import connected_components, load, materialise, slices
 
 #: A signature has CHUNKS x VALUES minhash values of 16 bits. A pair with up to 2 * CHUNKS - 1 different values has
 #: a chunk with at most one error (pigeonhole), and each chunk is indexed once for every place where that error may be.
-CHUNKS, VALUES = 10, 4
+CHUNKS, VALUES = 10, 5
 _K = CHUNKS * VALUES
 #: Chance that a pair right at the similarity bound has more different values than ``signature_distance`` allows.
 MISS = 1e-6
@@ -159,30 +159,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sharing_rare(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` of different components that share a rare shingle, as all pairs over the similarity bound do.
 
-    The shingles of a set are put in order of how many of these sets hold them. Of two sets over the bound the larger
-    has, among its first ``n - ceil(t n) + 1``, one of the first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller, for a
-    bound of ``t``. So documents that share a core and differ in more than the bound allows do not meet, whatever their
-    number. Of a shingle that many hold, the members of its most frequent component are not paired with each other.
+    The shingles of a set are put in order of how many of these sets hold them. Two sets of ``n`` and ``m`` shingles
+    over the bound have ``o = ceil(t (n + m) / (1 + t))`` in common, so the first ``n - o + 1`` of the one and the first
+    ``m - o + 1`` of the other share one. A shingle's place in its set thus bounds the size of the other set, ``most``.
+    So documents that share a core and differ in more than the bound allows do not meet, whatever their number. Of a
+    shingle that many hold, the members of its most frequent component are not paired with each other.
     """
     t = percent
-    long = sets.select("doc_id", "shingles").mapInArrow(_unpacked, "doc_id long, n long, shingle long")
-    long = materialise(long)
+    long = materialise(sets.select("doc_id", "shingles").mapInArrow(_unpacked, "doc_id long, n long, shingle long"))
     held = long.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = long.join(held, "shingle")
-    order = Window.partitionBy("doc_id").orderBy("df", "shingle")
     whole = Window.partitionBy("doc_id")
-    ranked = common.withColumn("rank", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(whole))
-    probe = F.col("n") - F.ceil(F.col("n") * t / 100) + 1
-    index = F.col("n") - F.ceil(F.col("n") * (2 * t) / (100 + t)) + 1
-    first = ranked.where(F.col("rank") <= probe).withColumn("index", F.col("rank") <= index).select("shingle", "doc_id", "n", "index")
+    rank = F.row_number().over(whole.orderBy("df", "shingle")) + F.col("n") - F.count(F.lit(1)).over(whole)
+    ranked = long.join(held, "shingle").withColumn("rank", rank)
+    most = F.floor((F.col("n") - F.col("rank") + 1) * (100 + t) / t) - F.col("n")
+    first = ranked.select("shingle", "doc_id", "n", most.alias("most")).where(f"100 * most >= {t} * n")
     first = materialise(first.join(comp, "doc_id"))
-    of = first.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("index").alias("any"))
-    of = of.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max("any").alias("any"), F.max_by("comp", F.struct("k", "comp")).alias("most"))
-    open_ = first.join(of.where("comps > 1 and any").select("shingle", "most"), "shingle")
-    a = open_.where("comp <> most").select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("index").alias("index_a"))
-    b = open_.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "comp", F.col("index").alias("index_b"))
-    fits = "comp <> comp_a and ((n_a >= n_b and index_b) or (n_b >= n_a and index_a))"
-    found = a.join(b, "shingle").where(f"{fits} and {t} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)")
+    bound = first.groupBy("shingle").agg(F.min("n").alias("least"), F.max("most").alias("far"))
+    kept = first.join(bound, "shingle").where("most >= least and n <= far").drop("least", "far")
+    of = kept.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
+    of = of.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1").select("shingle", "main")
+    open_ = kept.join(of, "shingle")
+    a, b = (open_.select("shingle", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("most").alias(f"most_{x}"), F.col("comp").alias(f"comp_{x}"), "main") for x in "ab")
+    found = a.where("comp_a <> main").drop("main").join(b.drop("main"), "shingle").where("comp_a <> comp_b and n_a <= most_b and n_b <= most_a")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -201,9 +199,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Returns ``doc_id, n_shingles, component_id`` (the least ``doc_id`` reachable) for each row. Sets are distinct
     ``width``-word shingles; null and empty texts have none and link with nothing. Equal sets are one class before
-    anything is joined, whatever their number. Classes that share a key are held against the key's least class, then
-    against its greatest; what is linked by then is one component. Where a key has further classes of different
-    components, these are paired only if they also share a rare shingle (``_sharing_rare``), which loses no link. All
+    anything is joined, whatever their number. Classes that share a key are held against the key's least class; what is
+    linked by then is one component. Where a key has further classes of different components, these are paired only
+    if they also share a rare shingle (``_sharing_rare``), which loses no link. All
     pairs must have near signatures and are then confirmed on their full sets. Rows of one ``doc_id`` are returned one by
     one, each with the component of its own text; rows without ``doc_id`` link with nothing and have no component. Other
     columns are ignored; an empty table gives an empty result.
@@ -214,35 +212,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("keys", "sig", "n_shingles"), "doc_id").alias("x")).select("set_hash", "doc_id", "x.*")
     )
     keyed = classes.select(F.explode("keys").alias("key"), "doc_id")
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialise(keyed.join(buckets, "key"))
 
-    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         close = materialise(_near(pairs, classes, percent))
         if sets is None:
             sets = _sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
-        return close, materialise(_confirmed(close, sets, percent))
-
-    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-        comp = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
-        return rows.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-
-    _, links = linked(members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
-    #: Keys of three classes and more: with two, all is compared.
-    now = materialise(labelled(members.where("size > 2"), links))
-    open_keys = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    still = materialise(now.join(open_keys, "key"))
-    ends = still.where("doc_id = high").select("key", F.col("comp").alias("c_high")).distinct()
-    second = still.join(ends, "key").where("comp <> c_high and doc_id <> high and doc_id <> low")
-    _, more = linked(second.select(F.col("doc_id").alias("a"), F.col("high").alias("b")).distinct())
-    links = materialise(links.unionByName(more))
-    #: Of keys of four classes and more those that are neither least nor greatest are not compared with each other yet.
-    now = materialise(labelled(still.where("size > 3").select("key", "doc_id", "low", "high"), links))
-    inner = now.where("doc_id <> low and doc_id <> high")
+        return materialise(_confirmed(close, sets, percent))
+
+    links = linked(members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
+    #: Of keys of three classes and more those that are not the least are not compared with each other yet.
+    comp = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
+    inner = members.where("size > 2 and doc_id <> low").join(comp, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    inner = materialise(inner)
     open_keys = inner.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
     rest = materialise(inner.join(open_keys, "key").select("doc_id", "comp").distinct())
-    sets = _sets(docs, rest.select("doc_id").distinct(), width)
-    _, more = linked(_sharing_rare(sets, rest, percent), sets)
+    sets = _sets(docs, rest.select("doc_id"), width)
+    more = linked(_sharing_rare(sets, rest, percent), sets)
     comp = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "doc_id")
     moved = classes.select("set_hash", "doc_id").join(comp, "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(moved, "set_hash", "left")

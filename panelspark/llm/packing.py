@@ -18,7 +18,7 @@ from .common import load, materialise, rank_within, slices
 
 CAPACITY, END_ID = 1024, 2
 #: Bytes of words and ids kept by one Python worker; beyond it the store starts anew. Bounds memory, not results.
-STORE_BYTES = 160_000_000
+STORE_BYTES = 60_000_000
 
 # A space between two other non-white characters: byte-level BPE always starts a token there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -125,7 +125,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = id_store(tokenizer_path)
-        for batch in slices(batches, 1, 16_000_000):
+        for batch in slices(batches, 1, 8_000_000):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, ids in zip(batch.column(0).to_pylist(), store.all_ids(batch.column(1)), strict=True):
                 ids += end

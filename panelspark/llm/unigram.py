@@ -17,7 +17,7 @@ from .common import load, slices
 
 MARK = "▁"
 #: Bytes of words and ids kept by one task; beyond it the store starts anew. Bounds memory, not results.
-STORE_BYTES = 160_000_000
+STORE_BYTES = 60_000_000
 _PART = re.compile(f"{MARK}*[^{MARK}]*")
 
 
@@ -236,7 +236,7 @@ def encode_documents(docs: DataFrame, model: Unigram) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in slices(batches, 1, 16_000_000):
+        for batch in slices(batches, 1, 8_000_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.encode_all(batch.column(1)), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -266,7 +266,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, raw = Encoder(model), pa.array(model.raw, pa.large_binary())
         lone = np.isin(np.arange(len(model.pieces)), [i for i in model.byte_ids if i >= 0])
-        for batch in slices(batches, 1, 16_000_000):
+        for batch in slices(batches, 1, 8_000_000):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for text, ids in zip(batch.column(1), encoder.encode_all(batch.column(1)), strict=True):
                 text = text.as_py() or ""

@@ -71,6 +71,40 @@ def test_near_duplicates(docs, width, percent):
     assert len(links) > 40
 
 
+def test_near_duplicates_of_one_core(spark):
+    """A group of copies of one text, each changed in its own words, some over and some under the bound, and partial links."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(160)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        own = list(base)
+        for at in rng.sample(range(160), rng.randint(0, 9)):
+            own[at] = f"own{i}x{at}" if rng.random() < 0.8 else rng.choice(base)
+        del own[: rng.randint(0, 6)]
+        rows.append((i, " ".join(own)))
+    rows += [(120, rows[3][1]), (3, rows[3][1]), (None, rows[3][1]), (121, None), (122, " ")]
+    sets = {i: shingles(t, 3) for i, t in rows if i is not None}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    expected = components(links, sets)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {i: (len(s), expected[i]) for i, s in sets.items()}
+    assert [r.component_id for r in got if r.doc_id is None] == [None] and len(got) == len(rows)
+    assert len(set(expected.values())) > 20 and len(links) > 300
+
+
+def test_signature_recall():
+    """Of pairs right at the bound almost none differs in more values than is looked at or shares no key."""
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        most, met = near_dedup.signature_distance(percent), 0
+        for _ in range(300):
+            common = rng.integers(0, 2**63, 4 * percent, dtype=np.uint64)
+            x, y = (np.concatenate([common, rng.integers(0, 2**63, 2 * (100 - percent), dtype=np.uint64)]) for _ in range(2))
+            a, b = near_dedup._minhashes(np.unique(x)), near_dedup._minhashes(np.unique(y))
+            met += (a != b).sum() <= most and bool(set(near_dedup._keys(a[None])[0]) & set(near_dedup._keys(b[None])[0]))
+        assert met == 300
+
+
 def test_suffix_dedup(docs):
     seen, expected = set(), {}
     for i, text, *_ in DOCS:
