@@ -60,6 +60,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000
                 yield batch.slice(a, b - a)
 
 
+#: Places of the sieve that tells which rows may have one of some ids: a broadcast table has at most so many rows.
+SIEVE = 1 << 21
+
+
+def among(df: DataFrame, ids: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is, or with ``inside`` false is not, in the one column of ``ids``; a null key is in none.
+
+    A sieve of hashed ids, bounded by ``SIEVE`` rows, goes to all executors first, so only rows that may have one of the
+    ids are shuffled: where these are few, as in all searches here, wide rows stay where they are.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias("__id")).where("__id is not null").distinct()
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(SIEVE)).cast("int")
+    sieve = F.broadcast(ids.select(place("__id").alias("__place")).distinct())
+    placed = df.withColumn("__place", F.when(F.col(key).isNotNull(), place(key)))
+    maybe = placed.join(sieve, "__place", "left_semi").drop("__place")
+    if inside:
+        return maybe.join(ids, maybe[key].cast("long") == ids["__id"].cast("long"), "left_semi")
+    surely = placed.join(sieve, "__place", "left_anti").drop("__place")
+    return surely.unionByName(maybe.join(ids, maybe[key].cast("long") == ids["__id"].cast("long"), "left_anti"))
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str], out: str, seed: int = 0, pieces: int | None = None) -> DataFrame:
     """Gapless 0-based rank of each row among the rows with equal ``keys``, in a pseudo-random order.
 

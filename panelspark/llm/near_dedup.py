@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialise, slices
+from .common import among, connected_components, load, materialise, slices
 
 #: A signature has CHUNKS x VALUES minhash values of 16 bits. A pair with up to 2 * CHUNKS - 1 different values has
 #: a chunk with at most one error (pigeonhole), and each chunk is indexed once for every place where that error may be.
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    own = among(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id")
     return materialise(own.mapInArrow(run, "doc_id long, shingles binary"))
 
 
