@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import language_id, near_dedup, packing, suffix_dedup
-from panelspark.llm.common import load, materialise
+from panelspark.llm.common import among, load, materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null text, no letters, or a calibrated score under the model's bound.
 
-    The bound is set on held-back documents (``LanguageModel.fit``). A table with rows but none to learn a language
-    from is an error.
+    The bound is set on held-back documents (``LanguageModel.fit``). Each row counts by itself, repeated or without
+    ``doc_id``. A table with rows but none to learn a language from is an error.
     """
     model = language_id.train(docs)
     if model.langs == [language_id.UNKNOWN] and not docs.isEmpty():
@@ -31,11 +31,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     interchangeable.
     """
     rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    groups = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    groups = materialise(groups.select(F.col("doc_id").alias("__row"), "component_id"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
     ordered = rows.select("__row", order.alias("__order")).join(groups, "__row")
-    kept = ordered.groupBy("component_id").agg(F.min("__order").getField("__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = ordered.groupBy("component_id").agg(F.min("__order").getField("__row").alias("__kept"))
+    gone = materialise(groups.join(kept, "component_id").where("__row <> __kept").select("__row"))
+    return among(rows, gone, "__row", inside=False).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
