@@ -58,10 +58,19 @@ def by_year(df: DataFrame, year: str, entity: str) -> DataFrame:
     return df.groupBy(year).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(entity).alias("n_entities"))
 
 
-def rows_per_entity(df: DataFrame, entity: str) -> DataFrame:
-    """Min, median, 90th and 99th percentile and max of the rows of an entity."""
+def year_span(df: DataFrame, year: str) -> DataFrame:
+    return df.agg(F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.count_distinct(year).alias("n_years"))
+
+
+def top_entities(df: DataFrame, entity: str, n: int = 25) -> DataFrame:
+    """The ``n`` entities with most rows."""
+    return df.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), entity).limit(n)
+
+
+def rows_per_entity(df: DataFrame, entity: str, exact: bool = True) -> DataFrame:
+    """Min, median, 90th and 99th percentile and max of the rows of an entity; ``exact`` or approximate."""
     n = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
-    q = lambda p: F.percentile("n", p)
+    q = lambda p: F.percentile("n", p) if exact else F.percentile_approx("n", p, 10_000)
     return n.agg(F.min("n").alias("min"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("n").alias("max"))
 
 
@@ -81,11 +90,21 @@ def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
     return df.select(*keys, F.inline(pairs))
 
 
-def variable_study(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), quantiles: Sequence[float] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    """Shares of missing, zero and positive, mean and exact quantiles of each variable, over all its values in one pass."""
+def variable_study(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), quantiles: Sequence[float] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), exact: bool = True, positive: bool = False, support: str | None = None) -> DataFrame:
+    """Shares of missing, zero and positive, mean and quantiles of each variable, over all its values in one pass.
+
+    Quantiles are ``exact`` (a task holds the distinct values of a variable) or approximate, as large tables want them.
+    ``positive`` adds ``n_positive`` and ``pos_``-prefixed mean and quantiles of the positive values; ``support`` names a
+    0/1 column whose rows alone are studied.
+    """
+    df = df.where(F.col(support) == 1) if support else df
+    of = (lambda c, q: F.percentile(c, q)) if exact else (lambda c, q: F.percentile_approx(c, q, 10_000))
     v, n = F.col("value"), F.count(F.lit(1))
     stats = [F.try_divide(F.count_if(c), n).alias(k) for k, c in (("missing_share", v.isNull()), ("zero_share", v == 0), ("positive_share", v > 0))]
-    qs = [F.percentile("value", q).alias(f"p{round(q * 100):02d}") for q in quantiles]
+    qs = [of(v, q).alias(f"p{round(q * 100):02d}") for q in quantiles]
+    if positive:
+        over = F.when(v > 0, v)
+        qs += [F.count(over).alias("n_positive"), F.avg(over).alias("pos_mean"), *(of(over, q).alias(f"pos_p{round(q * 100):02d}") for q in quantiles)]
     return long_form(df, by, columns).groupBy("variable", *by).agg(n.alias("n"), *stats, F.avg("value").alias("mean"), *qs)
 
 
@@ -106,3 +125,15 @@ def schema_manifest(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Which of the wanted columns exist, and their types."""
     types = dict(df.dtypes)
     return df.sparkSession.createDataFrame([(c, c in types, types.get(c)) for c in wanted], "variable string, present boolean, dtype string")
+
+
+def compared(df: DataFrame, columns: Sequence[str], support: str, **how) -> DataFrame:
+    """The study of all rows and of those with support, side by side: columns ``all_`` and ``if_``."""
+    sides = [variable_study(df, columns, support=s, **how) for s in (None, support)]
+    a, b = (d.select("variable", *(F.col(c).alias(f"{p}_{c}") for c in d.columns if c != "variable")) for d, p in zip(sides, ("all", "if"), strict=True))
+    return a.join(b, "variable", "left")
+
+
+def flagged_rows(df: DataFrame, flag: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The flagged rows in order, with those of ``columns`` that there are."""
+    return df.where(F.col(flag) == 1).select(*(c for c in columns if c in df.columns)).orderBy(*order)

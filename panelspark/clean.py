@@ -102,6 +102,16 @@ def log_positive(c: Column) -> Column:
     return F.when(c > 0, F.log(c))
 
 
+def log_floor(c: Column) -> Column:
+    """Log of the value or of 1, whichever is more."""
+    return F.log(F.greatest(c, F.lit(1)))
+
+
+def root(c: Column) -> Column:
+    """Square root; null for what is below 0."""
+    return F.when(c >= 0, F.sqrt(c))
+
+
 def prefix_columns(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in keys})
 
@@ -121,6 +131,82 @@ def regex_flags(text: Column, patterns: Mapping[str, str]) -> dict[str, Column]:
     return {name: flag(text.rlike(p)) for name, p in patterns.items()}
 
 
+def text_flags(texts: Mapping[str, Column], dictionaries: Mapping[str, str]) -> dict[str, Column]:
+    """A flag of each text under each dictionary, ``<text>_<dictionary>``, and ``any_<dictionary>`` of all texts."""
+    out: dict[str, Column] = {}
+    for name, pattern in dictionaries.items():
+        own = {f"{t}_{name}": flag(c.rlike(pattern)) for t, c in texts.items()}
+        out |= own | {f"any_{name}": F.greatest(*own.values()) if len(own) > 1 else next(iter(own.values()))}
+    return out
+
+
+def role_flags(levels: Sequence[Column], patterns: Mapping[str, str]) -> dict[str, Column]:
+    """Flags on the normalised text of a role hierarchy, finest level to broadest."""
+    return regex_flags(normalize_text(*levels), patterns)
+
+
+def proximity_flags(text: Column, categories: Mapping[str, tuple[Sequence[str], Sequence[str]]], within: int = 80) -> dict[str, Column]:
+    """A flag of each category, whose words of one list stand near one of the other, and ``broad`` for any of them."""
+    flags = {name: flag(text.rlike(near(a, b, within))) for name, (a, b) in categories.items()}
+    return flags | {"broad": F.greatest(*flags.values()) if len(flags) > 1 else next(iter(flags.values()))}
+
+
+def rank_flags(degree: Column, world: Column, national: Column, other: Column | None = None) -> dict[str, Column]:
+    """Degree of at least 3 and 4 and a school among the first 500 of the world or 100 of the country; unknown is 0.
+
+    With ``other``, a second degree score, the better of both counts.
+    """
+    best = F.greatest(degree, other) if other is not None else degree
+    return {"best_degree": best, "has_bachelor": flag(best >= 3), "has_master": flag(best >= 4), "has_top_school": flag((world <= 500) | (national <= 100))}
+
+
+def in_sample(support: Column, size: Column, least: float, industry: Column) -> Column:
+    """1 where there is support, enough size and a known industry."""
+    return flag((support > 0) & (size >= least) & industry.isNotNull())
+
+
+def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
+    """Fill nulls column by column; names that the table lacks are passed over."""
+    return df.fillna({c: v for c, v in values.items() if c in df.columns})
+
+
+def joint_label(a: Column, year: Column) -> Column:
+    """``<a>_y<year>``: the label of a joint fixed effect, where a table has to carry one."""
+    return F.concat(a.cast("string"), F.lit("_y"), year.cast("string"))
+
+
+def first_column(df: DataFrame, candidates: Sequence[str]) -> str:
+    """The first of the candidates that the table has."""
+    found = existing(df, candidates)
+    if not found:
+        raise ValueError(f"none of {list(candidates)} in {df.columns}")
+    return found[0]
+
+
+def restrict(df: DataFrame, share: str | None = None, sample: str | None = None) -> DataFrame:
+    """Only rows with some share in a region, and only those in the sample, where these are asked for."""
+    df = df.where(F.col(share) > 0) if share else df
+    return df.where(F.col(sample) == 1) if sample else df
+
+
+#: The named samples of a robustness grid, by the condition that their rows meet.
+SAMPLES = {
+    "baseline": "true",
+    "min_workers_20": "n_workers >= 20",
+    "min_workers_50": "n_workers >= 50",
+    "drop_top_data_software_decile": "top_decile_data_software <> 1",
+    "drop_top_hr_monitoring_decile": "top_decile_hr_monitoring <> 1",
+    "drop_top_any_visibility_decile": "top_decile_data_software <> 1 and top_decile_hr_monitoring <> 1",
+}
+
+
+def sample_filter(df: DataFrame, name: str) -> DataFrame:
+    """Rows of one of ``SAMPLES``; a flag that is unknown drops its row."""
+    if name not in SAMPLES:
+        raise ValueError(f"unknown sample {name}; there are {', '.join(SAMPLES)}")
+    return df.where(SAMPLES[name])
+
+
 def near(first: Sequence[str], second: Sequence[str], within: int = 80) -> str:
     """Pattern for a word of ``first`` followed by one of ``second`` within so many characters, or the other way."""
     a, b = "|".join(first), "|".join(second)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_parquet(spark: SparkSession, path: str, recursive: bool = False, schema: T.StructType | None = None) -> DataFrame:
-    """Scan Parquet; ``recursive`` also takes files in folders below. The vectorised reader stays on."""
+def read_parquet(spark: SparkSession, path: str, recursive: bool = False, schema: T.StructType | None = None, legacy_calendar: bool = False) -> DataFrame:
+    """Scan Parquet; ``recursive`` also takes files in folders below. The vectorised reader stays on.
+
+    ``legacy_calendar`` reads dates and timestamps, 96-bit ones too, that were written by the old hybrid calendar.
+    """
     reader = spark.read.option("recursiveFileLookup", recursive)
+    if legacy_calendar:
+        reader = reader.option("datetimeRebaseMode", "LEGACY").option("int96RebaseMode", "LEGACY")
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
@@ -36,10 +42,18 @@ def write_json_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def rewritten(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` and read it back: cuts lineage, and survives lost executors if ``path`` is shared."""
-    write_parquet(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written to the shared checkpoint folder and read back, which cuts the plan and survives lost executors.
+
+    Where no folder is set, as in local work, it is cached instead.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        return df.persist()
+    path = f"{shared.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parameter_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -48,12 +62,15 @@ def parameter_table(spark: SparkSession, rows: Sequence[tuple], schema: str) ->
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """``n_files, total_bytes`` of the Parquet files below ``path``; marks of finished and unfinished writes are not read."""
+    """``n_files, total_bytes, has_success, has_temporary``: Parquet files below ``path``, marks of a finished and of an unfinished write."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = {n: there.exists(spark._jvm.org.apache.hadoop.fs.Path(root, m)) for n, m in (("has_success", "_SUCCESS"), ("has_temporary", "_temporary"))}
     return files.agg(
         F.count_if(F.col("path").endswith(".parquet")).alias("n_files"),
         F.coalesce(F.sum(F.when(F.col("path").endswith(".parquet"), F.col("length"))), F.lit(0)).alias("total_bytes"),
-    )
+    ).withColumns({n: F.lit(v) for n, v in marks.items()})
 
 
 def readback_counts(df: DataFrame, keys: Sequence[str], flag: str | None = None) -> DataFrame:

@@ -7,33 +7,48 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A short list of English stop words.
-STOP_WORDS = tuple("a an and are as at be by for from in is it of on or that the this to was were with".split())
+from . import clean
+from .io import stable
+from .regress import quantiles
 
+#: Terms of the smaller list that are sent to all executors at most; beyond that both sides are shuffled.
+BROADCAST_TERMS = 500_000
 
-def terms(df: DataFrame, key: str, text: str, bigrams: bool = True, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """``key, term, tf``: words of two characters and more without stop words, and pairs of neighbours."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
+
+def terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
+    """``key, term, tf``: words of two letters or digits and more without stop words, and pairs of neighbours."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    words = F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
     df = df.select(key, words.alias("w"))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     all_terms = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))) if bigrams else F.col("w")
     return df.select(key, F.explode(all_terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text", bigrams: bool = True) -> DataFrame:
-    """``left_key, right_key, sim`` of pairs that share a term: cosine of smooth-IDF weights fitted on both lists."""
-    a, b = terms(left, left_key, text, bigrams), terms(right, right_key, text, bigrams)
-    n = left.select(F.lit(1)).unionAll(right.select(F.lit(1))).agg(F.count(F.lit(1)).alias("n_docs"))
-    df = a.select("term").unionAll(b.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-    def unit(t: DataFrame, key: str, out: str) -> DataFrame:
-        w = t.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-        norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-        return w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias(out))
+def tfidf_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> DataFrame:
+    """``left_key, right_key, sim`` of pairs that share a term: cosine of smooth-IDF weights fitted on both lists.
 
-    both = unit(a, left_key, "wa").join(unit(b, right_key, "wb"), "term")
-    return both.groupBy(left_key, right_key).agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    The terms of both lists are counted once. The list with fewer terms goes to all executors where it is small, so that
+    the other's terms stay where they are; else both meet by term.
+    """
+    lists = {0: (left, left_key), 1: (right, right_key)}
+    counted = [terms(df, key, text, stop_words, bigrams).select(F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), "term", "tf") for side, (df, key) in lists.items()]
+    both = stable(counted[0].unionAll(counted[1]))
+    n = left.count() + right.count()
+    idf = both.groupBy("term").agg((F.log((1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"), (F.max("side") > F.min("side")).alias("shared"))
+    weighted = stable(both.join(idf, "term").select("side", "key", "term", (F.col("tf") * F.col("idf")).alias("w"), "shared"))
+    norms = weighted.groupBy("side", "key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    own = [
+        weighted.where((F.col("side") == side) & F.col("shared")).join(norms.where(F.col("side") == side).select("key", "norm"), "key")
+        .select(F.col("key").alias(f"k{side}"), "term", (F.col("w") / F.col("norm")).alias(f"w{side}"))
+        for side in lists
+    ]
+    sizes = [weighted.where((F.col("side") == side) & F.col("shared")).count() for side in lists]
+    less = int(sizes[1] <= sizes[0])
+    small = F.broadcast(own[less]) if sizes[less] <= BROADCAST_TERMS else own[less]
+    sims = own[1 - less].join(small, "term").groupBy("k0", "k1").agg(F.sum(F.col("w0") * F.col("w1")).alias("sim"))
+    kinds = [df.schema[key].dataType for df, key in lists.values()]
+    return sims.select(F.col("k0").cast(kinds[0]).alias(left_key), F.col("k1").cast(kinds[1]).alias(right_key), "sim")
 
 
 def jaccard(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text") -> DataFrame:
@@ -51,23 +66,20 @@ def above_threshold(sims: DataFrame, n_cells: int, q: float = 0.95, floor: float
 
     The quantile of all cells is found among the non-zero ones: their rank is moved by the number of zeros.
     """
-    s = sims.where("sim > 0")
-    k = s.count()
+    s = stable(sims.where("sim > 0"))
+    k, low = s.agg(F.count(F.lit(1)), F.min("sim")).first()
     at = q * (n_cells - 1) - (n_cells - k)
     if at < 0 or not k:
-        tau = F.lit(0.0)
-        low = s.agg(F.min("sim")).first()[0] or 0.0
-        tau = F.lit(max(0.0, low * (at + 1))) if at > -1 else tau
+        tau = max(0.0, (low or 0.0) * (at + 1)) if at > -1 else 0.0
     else:
-        value = s.agg(F.percentile("sim", min(1.0, at / max(1, k - 1)))).first()[0]
-        tau = F.lit(value)
-    return s.where(F.col("sim") >= F.greatest(tau, F.lit(floor)))
+        tau = quantiles(s, "sim", [min(1.0, at / max(1, k - 1))])[0]
+    return s.where(F.col("sim") >= max(tau, floor))
 
 
-def best_match(left: DataFrame, sims: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """The most similar right row of each left row, the least id of equals; null and ``matched`` 0 where none shares a term."""
-    at = F.row_number().over(Window.partitionBy(left_key).orderBy(F.desc("sim"), right_key))
-    top = sims.withColumn("__at", at).where("__at = 1").drop("__at")
+def best_match(left: DataFrame, sims: DataFrame, left_key: str, right_key: str, digits: int = 9) -> DataFrame:
+    """The most similar right row of each left row, the least id of those equal to ``digits``; null and ``matched`` 0 where none shares a term."""
+    order = F.struct(-F.round("sim", digits), right_key)
+    top = sims.groupBy(left_key).agg(F.min_by(F.struct(right_key, "sim"), order).alias("__top")).select(left_key, "__top.*")
     return left.select(left_key).join(top, left_key, "left").select(left_key, right_key, F.coalesce("sim", F.lit(0.0)).alias("sim"), F.when(F.col("sim") > 0, 1).otherwise(0).alias("matched"))
 
 
@@ -77,13 +89,35 @@ def task_weights(df: DataFrame, occupation: str, rating: str, out: str = "omega"
     return df.withColumn(out, F.try_divide(r, F.sum(r).over(Window.partitionBy(occupation))))
 
 
-def exposure(task_exposure: DataFrame, totals: DataFrame, entity: Sequence[str], weights: DataFrame, occupation: str, task: str) -> DataFrame:
-    """Average and concentration of task exposure, each times log1p of the entity's total.
+def task_exposure(counts: DataFrame, bridge: DataFrame, entity: Sequence[str], category: str, task: str) -> tuple[DataFrame, DataFrame]:
+    """``(tasks, totals)``: an entity's exposure of each task, ``xi``, and its similarity-weighted twin, ``xi_sim``; its total count.
+
+    ``counts``: entity, category, n. ``bridge``: category, task, sim and exposed (0/1), many to many.
+    """
+    totals = counts.groupBy(*entity).agg(F.sum("n").alias("total"))
+    sums = counts.join(bridge, category).groupBy(*entity, task).agg(F.sum(F.col("n") * F.col("exposed")).alias("a"), F.sum(F.col("n") * F.col("sim")).alias("b"))
+    tasks = sums.join(totals, list(entity)).select(*entity, task, F.try_divide("a", "total").alias("xi"), F.try_divide("b", "total").alias("xi_sim"))
+    return tasks, totals
+
+
+def exposure(cells: DataFrame, tasks: DataFrame, totals: DataFrame, entity: Sequence[str], weights: DataFrame, occupation: str, task: str) -> DataFrame:
+    """Average and concentration of task exposure in each cell, and the average of the twin, each also times log1p of the total.
 
-    ``task_exposure``: entity, task, xi; ``totals``: entity, total; ``weights``: occupation, task, omega.
+    ``cells``: entity, occupation; ``tasks``: entity, task, xi and, if there is one, xi_sim; ``totals``: entity, total;
+    ``weights``: occupation, task, omega. Equi-joins only: tasks that an entity lacks have no exposure and count through
+    the sum of an occupation's weights alone.
     """
-    cells = totals.join(weights, how="cross").join(task_exposure, [*entity, task], "left").withColumn("xi", F.coalesce("xi", F.lit(0.0)))
-    w = Window.partitionBy(*entity, occupation)
-    cells = cells.withColumn("__mean", F.sum(F.col("omega") * F.col("xi")).over(w))
-    out = cells.groupBy(*entity, occupation).agg(F.sum(F.col("omega") * F.col("xi")).alias("average"), F.sum(F.col("omega") * F.pow(F.col("xi") - F.col("__mean"), 2)).alias("concentration"), F.max("total").alias("total"))
-    return out.withColumns({"average_scaled": F.col("average") * F.log1p("total"), "concentration_scaled": F.col("concentration") * F.log1p("total")})
+    twin = "xi_sim" if "xi_sim" in tasks.columns else "xi"
+    w, x = F.col("omega"), F.col("xi")
+    met = tasks.join(weights, task).groupBy(*entity, occupation).agg(F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"), F.sum(w * F.col(twin)).alias("twin"))
+    whole = weights.groupBy(occupation).agg(F.sum("omega").alias("sw"))
+    out = cells.join(whole, occupation, "left").join(met, [*entity, occupation], "left").join(totals, list(entity), "left")
+    out = clean.fill(out, {"s1": 0.0, "s2": 0.0, "twin": 0.0, "sw": 0.0, "total": 0.0})
+    spread = F.greatest(F.col("s2") - 2 * F.col("s1") * F.col("s1") + F.col("s1") * F.col("s1") * F.col("sw"), F.lit(0.0))
+    out = out.select(*entity, occupation, F.col("s1").alias("average"), spread.alias("concentration"), F.col("twin").alias("twin_average"), "total")
+    return out.withColumns({f"{c}_scaled": F.col(c) * F.log1p("total") for c in ("average", "concentration", "twin_average")})
+
+
+def rated_tasks(tasks: DataFrame, ratings: DataFrame, occupations: DataFrame, task: str, occupation: str) -> DataFrame:
+    """Tasks with their ratings and their occupations' titles, both as far as they are known."""
+    return tasks.join(ratings, [occupation, task], "left").join(occupations, occupation, "left")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import clip_year, flag
+from .clean import clip_year, dedupe, flag, prefix_columns
 
 
 def repair_spell(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -63,11 +63,28 @@ def build_panel(df: DataFrame, keys: Sequence[str], weight: str, measures: Seque
     return df.groupBy(*keys).agg(*(m.expression(weight) for m in measures))
 
 
+#: Groups whose means are sent to all executors at most; beyond that both sides are shuffled.
+BROADCAST_GROUPS = 100_000
+
+
+def with_means(df: DataFrame, keys: Sequence[str], means: Mapping[str, Column], small: bool | None = None) -> DataFrame:
+    """Add group means to rows: partial sums leave the map side, and a small table of means comes back.
+
+    Null keys are a group of their own. ``small`` says whether there are at most ``BROADCAST_GROUPS``; without it they
+    are counted.
+    """
+    table = df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(*(m.alias(n) for n, m in means.items()))
+    if small is None:
+        small = df.select(*keys).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return df.join(F.broadcast(table) if small else table, on).drop(*(f"__{k}" for k in keys))
+
+
 def weighted_variance(df: DataFrame, keys: Sequence[str], x: str, weight: str, out: str) -> DataFrame:
     """Weighted variance and SD of ``x`` in each cell, by its mean and the squared distances from it."""
     ok = df.where(F.col(x).isNotNull())
-    mean = F.sum(F.col(x) * F.col(weight)).over(Window.partitionBy(*keys)) / F.sum(weight).over(Window.partitionBy(*keys))
-    sums = ok.withColumn("__mean", mean).groupBy(*keys).agg(F.try_divide(F.sum(F.col(weight) * F.pow(F.col(x) - F.col("__mean"), 2)), F.sum(weight)).alias(out))
+    ok = with_means(ok, keys, {"__mean": F.try_divide(F.sum(F.col(x) * F.col(weight)), F.sum(weight))})
+    sums = ok.groupBy(*keys).agg(F.try_divide(F.sum(F.col(weight) * F.pow(F.col(x) - F.col("__mean"), 2)), F.sum(weight)).alias(out))
     return sums.withColumn(f"{out}_sd", F.sqrt(out))
 
 
@@ -117,3 +134,14 @@ def outer_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     for f in frames[1:]:
         out = out.join(f, list(on), "full_outer")
     return out
+
+
+def attach(panel: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "", order: Sequence[Column] | None = None) -> DataFrame:
+    """Left join of a table that has one row a key, its columns under ``prefix``; with ``order`` it is deduplicated by it first."""
+    right = dedupe(right, keys, order) if order else right
+    return panel.join(prefix_columns(right, prefix, keys) if prefix else right, list(keys), "left")
+
+
+def age(year: Column, founded: Column) -> Column:
+    """Years since the founding; null before it."""
+    return F.when(year >= founded, year - founded)

@@ -26,10 +26,13 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import study_queries, wide_queries  # noqa: F401  they register their own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -99,12 +102,19 @@ def a12_parent_year(spark: SparkSession, d: str) -> DataFrame:
     return out.select("parent", "year", F.col("w_sum").alias("workers"), "max_users", r("x").alias("x_mean"), "n_firms", clean.flag((F.col("w_sum") >= 100) & (F.col("n_firms") >= 2)).alias("in_sample"))
 
 
-@_query(f"""WITH {_SPELLS} SELECT parent, role, year, sum(w) AS workers, count(DISTINCT user_id) AS n_users, round(ln(1 + count(DISTINCT user_id)), 4) AS log_users, round(avg(x), 4) AS x_mean FROM yearly GROUP BY ALL""")
+@_query(f"""WITH {_SPELLS} SELECT parent, role, year, sum(w) AS workers, count(DISTINCT user_id) AS n_users, round(ln(1 + count(DISTINCT user_id)), 4) AS log_users,
+  round(ln(greatest(sum(w), 1)), 4) AS log_workers, round(sum(x * w) / sum(CASE WHEN x IS NOT NULL THEN w END), 4) AS x_mean, round(ln(sum(salary * w) / sum(w)), 6) AS log_pay,
+  round(sum(w * CAST(year = year("start") AS INT)) / sum(w), 4) AS hire_rate, round(sum(w * CAST(year = year("end") AS INT)) / sum(w), 4) AS exit_rate FROM yearly GROUP BY ALL""")
 def a16_parent_occ_year(spark: SparkSession, d: str) -> DataFrame:
-    """A16 without hire and exit rates, P23: parent x occupation x year cells of position spells."""
+    """Parent x occupation x year cells of position spells, weighted, with hire and exit rates."""
     years = panel.expand_to_years(_spells(spark, d))
-    out = years.groupBy("parent", "role", "year").agg(F.sum("w").alias("workers"), F.count_distinct("user_id").alias("n_users"), F.avg("x").alias("m"))
-    return out.select("parent", "role", "year", "workers", "n_users", r(clean.log1p_filled(F.col("n_users"))).alias("log_users"), r("m").alias("x_mean"))
+    measures = [Measure("workers", "w", "sum"), Measure("n_users", "user_id", "nunique"), Measure("x", "x"), Measure("pay_", "salary"), Measure("hires", "is_hire", "wsum"), Measure("exits", "is_exit", "wsum")]
+    out = panel.build_panel(years, ["parent", "role", "year"], "w", measures)
+    rate = lambda c: r(clean.safe_divide(F.col(c), F.col("workers")))
+    return out.select(
+        "parent", "role", "year", "workers", "n_users", r(clean.log1p_filled(F.col("n_users"))).alias("log_users"), r(clean.log_floor(F.col("workers"))).alias("log_workers"),
+        r("x").alias("x_mean"), r(F.log("pay_"), 6).alias("log_pay"), rate("hires").alias("hire_rate"), rate("exits").alias("exit_rate"),
+    )
 
 
 @_query(f"""WITH {_SPELLS}, m AS (SELECT *, sum(x * w) OVER p / sum(w) OVER p AS mean FROM yearly WHERE x IS NOT NULL WINDOW p AS (PARTITION BY parent, year))
@@ -191,7 +201,7 @@ trim(regexp_replace(lower(concat_ws(' ', c_name, c_mktsegment)), '[^a-z0-9]+', '
 nullif(substr(regexp_replace(c_name, '[^0-9]', '', 'g'), 1, 3), '') AS prefix, CASE WHEN NOT regexp_matches(trim(c_mktsegment), '(?i)^(|none|null|nan|empty)$') THEN regexp_replace(trim(c_mktsegment), '\\s+', ' ', 'g') END AS segment,
 greatest(coalesce(c_acctbal, 1.0), 0.0) AS weight, CAST(c_mktsegment = 'BUILDING' AS INT) AS is_building FROM customer""")
 def p_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    """Text cleaning, slugs, keys, prefixes, weights, one-hot."""
+    """Text cleaning, slugs, keys, prefixes, weights."""
     c = _t(spark, d, "customer")
     return c.select(
         "c_custkey", clean.slug(F.col("c_name")).alias("slug"), clean.normalize_text(F.col("c_name"), F.col("c_mktsegment")).alias("norm"),
@@ -203,7 +213,7 @@ def p_cleaning(spark: SparkSession, d: str) -> DataFrame:
 @_query("""SELECT doc_id, CAST(regexp_matches(lower(text), '(^|[^a-z])(the|and)([^a-z]|$)') AS INT) AS english, CAST(regexp_matches(lower(text), '(^|[^a-z])(und|der)([^a-z]|$)') AS INT) AS german,
 CAST(greatest(regexp_matches(lower(text), '(^|[^a-z])(the|and)([^a-z]|$)'), regexp_matches(lower(text), '(^|[^a-z])(und|der)([^a-z]|$)')) AS INT) AS any_flag, CAST(regexp_matches(regexp_replace(text, '\\s+', ' ', 'g'), '(the|of).{0,80}(worthless|trash)|(worthless|trash).{0,80}(the|of)') AS INT) AS near FROM documents""")
 def p9_text_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Dictionary flags, any-flag, proximity pattern over whole texts."""
+    """Dictionary flags, any-flag, proximity pattern over whole texts."""
     t = _t(spark, d, "documents")
     flags = clean.regex_flags(F.lower("text"), {"english": r"(^|[^a-z])(the|and)([^a-z]|$)", "german": r"(^|[^a-z])(und|der)([^a-z]|$)"})
     near = clean.flag(F.regexp_replace("text", r"\s+", " ").rlike(clean.near(["the", "of"], ["worthless", "trash"])))
@@ -236,10 +246,14 @@ def j11_duplicate_rows(spark: SparkSession, d: str) -> DataFrame:
     return audit.duplicate_rows(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
-@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) - count({c}) AS n_null, (count(*) - count({c})) / count(*) AS null_share, count(DISTINCT {c}) AS n_distinct FROM orders" for c, t in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderpriority", "string"))))
+_ORDER_COLUMNS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", None), ("o_orderpriority", "string"))
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {f"'{t}'" if t else 'NULL'} AS dtype, count(*) - count({c}) AS n_null, (count(*) - count({c})) / count(*) AS null_share, count(DISTINCT {c}) AS n_distinct FROM orders" for c, t in _ORDER_COLUMNS))
 def d3_column_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Nulls and distinct values of each column."""
-    return audit.column_profile(_t(spark, d, "orders").drop("o_orderdate"), exact=True)
+    """Nulls and distinct values of all columns; the type of a date column, which files may give in two ways, is left out."""
+    out = audit.column_profile(_t(spark, d, "orders"), exact=True)
+    return out.withColumn("dtype", F.when(~F.col("dtype").startswith("timestamp"), F.col("dtype")))
 
 
 @_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c}) AS min, max({c}) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_tax")))
@@ -271,25 +285,6 @@ def d8_status(spark: SparkSession, d: str) -> DataFrame:
     return audit.status(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-_STUDY = "count(*) AS n, count(CASE WHEN v IS NULL THEN 1 END) / count(*) AS missing_share, round(count(CASE WHEN v = 0 THEN 1 END) / count(*), 6) AS zero_share, round(count(CASE WHEN v > 0 THEN 1 END) / count(*), 6) AS positive_share, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.9), 4) AS p90"
-
-
-def _studied(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: r(c, 6) for c in ("zero_share", "positive_share")} | {c: r(c) for c in ("mean", "p50", "p90")})
-
-
-@_query(f"WITH l AS (SELECT 'l_tax' AS variable, l_tax AS v FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem) SELECT variable, {_STUDY} FROM l GROUP BY variable")
-def d9_variable_study(spark: SparkSession, d: str) -> DataFrame:
-    """Shares and quantiles of variables in one pass."""
-    return _studied(audit.variable_study(_t(spark, d, "lineitem"), ["l_tax", "l_discount"], quantiles=(0.5, 0.9)))
-
-
-@_query(f"WITH l AS (SELECT CAST(year(l_shipdate) AS INT) AS year, 'l_tax' AS variable, l_tax AS v FROM lineitem UNION ALL SELECT CAST(year(l_shipdate) AS INT), 'l_discount', l_discount FROM lineitem) SELECT variable, year, {_STUDY} FROM l GROUP BY variable, year")
-def d10_yearly_study(spark: SparkSession, d: str) -> DataFrame:
-    """The same by year."""
-    return _studied(audit.variable_study(_t(spark, d, "lineitem").withColumn("year", F.year("l_shipdate")), ["l_tax", "l_discount"], ["year"], (0.5, 0.9)))
-
-
 @_query(f"WITH {_FIRST} SELECT first_purchase AS day, count(*) AS adopters FROM f WHERE first_purchase IS NOT NULL GROUP BY 1")
 def d11_adoption_counts(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events").withColumn("day", F.to_date("ts"))
@@ -297,14 +292,6 @@ def d11_adoption_counts(spark: SparkSession, d: str) -> DataFrame:
     return first.groupBy(F.col("first").alias("day")).agg(F.count(F.lit(1)).alias("adopters"))
 
 
-@_query("SELECT 'l_tax' AS variable, round(avg(l_tax), 4) AS mean_all, round(avg(CASE WHEN l_quantity > 25 THEN l_tax END), 4) AS mean_if, count(*) AS n_all, count(CASE WHEN l_quantity > 25 THEN 1 END) AS n_if FROM lineitem")
-def d12_conditional_study(spark: SparkSession, d: str) -> DataFrame:
-    """All rows against rows under a condition, side by side."""
-    t = _t(spark, d, "lineitem")
-    a, b = (audit.variable_study(x, ["l_tax"], quantiles=(0.5,)).select("variable", F.col("mean").alias(f"m_{n}"), F.col("n").alias(f"n_{n}")) for x, n in ((t, "all"), (t.where("l_quantity > 25"), "if")))
-    return a.join(b, "variable").select("variable", r("m_all").alias("mean_all"), r("m_if").alias("mean_if"), "n_all", "n_if")
-
-
 @_query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in ("l_quantity", "l_tax", "l_extendedprice") for b in ("l_quantity", "l_tax", "l_extendedprice")))
 def a29_correlations(spark: SparkSession, d: str) -> DataFrame:
     c = audit.correlations(_t(spark, d, "lineitem"), ["l_quantity", "l_tax", "l_extendedprice"])
@@ -331,100 +318,30 @@ def a8_user_features(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.max(score).alias("best"), F.min("o_totalprice").alias("least"), F.max(clean.flag(p.startswith("1"))).alias("any_first"), F.count_distinct("o_orderstatus").alias("n_status"))
 
 
-@_query("WITH a AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) SELECT k AS nation, n_name, suppliers, customers, greatest(coalesce(customers, 0) - 1, 0) AS peers FROM a FULL JOIN b USING (k) LEFT JOIN nation ON n_nationkey = k")
+@_query("WITH a AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1), b AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1), c AS (SELECT c_nationkey AS k, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) SELECT k AS nation, n_name, suppliers, customers, n_orders, greatest(coalesce(customers, 0) - 1, 0) AS peers FROM a FULL JOIN b USING (k) FULL JOIN c USING (k) LEFT JOIN nation ON n_nationkey = k")
 def j3_outer_panels(spark: SparkSession, d: str) -> DataFrame:
-    """Full outer joins of panels, a static lookup, derived peers."""
-    a = _t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
-    b = _t(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
+    """Full outer joins of three panels, a static lookup, derived peers."""
+    count = lambda df, k, out: df.groupBy(F.col(k).alias("k")).agg(F.count(F.lit(1)).alias(out))
+    customer, orders = _t(spark, d, "customer"), _t(spark, d, "orders")
+    ordered = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    frames = [count(_t(spark, d, "supplier"), "s_nationkey", "suppliers"), count(customer, "c_nationkey", "customers"), count(ordered, "c_nationkey", "n_orders")]
     n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
-    out = panel.outer_join_all([a, b], ["k"]).join(n, "k", "left")
-    return out.select(F.col("k").alias("nation"), "n_name", "suppliers", "customers", F.greatest(F.coalesce("customers", F.lit(0)) - 1, F.lit(0)).alias("peers"))
+    out = panel.outer_join_all(frames, ["k"]).join(n, "k", "left")
+    return out.select(F.col("k").alias("nation"), "n_name", "suppliers", "customers", "n_orders", F.greatest(F.coalesce("customers", F.lit(0)) - 1, F.lit(0)).alias("peers"))
 
 
 @_query("SELECT p_partkey, p_type, round(p_size / sum(p_size) OVER (PARTITION BY p_type), 8) AS omega FROM part")
 def a21_task_weights(spark: SparkSession, d: str) -> DataFrame:
-    """A rating's share within its occupation."""
+    """A rating's share within its occupation."""
     return link.task_weights(_t(spark, d, "part"), "p_type", "p_size").select("p_partkey", "p_type", r("omega", 8).alias("omega"))
 
 
-_XI = """t AS (SELECT s_nationkey AS parent, p_brand AS task, sum(l_quantity) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-tot AS (SELECT parent, sum(n) AS total FROM t GROUP BY 1), xi AS (SELECT parent, task, n / total AS xi FROM t JOIN tot USING (parent)),
-wt AS (SELECT p_type AS occ, p_brand AS task, s / sum(s) OVER (PARTITION BY p_type) AS omega FROM (SELECT p_type, p_brand, sum(p_size) AS s FROM part GROUP BY 1, 2)),
-c AS (SELECT tot.parent, occ, omega, coalesce(xi, 0) AS xi, total FROM tot CROSS JOIN wt LEFT JOIN xi ON xi.parent = tot.parent AND xi.task = wt.task),
-m AS (SELECT *, sum(omega * xi) OVER (PARTITION BY parent, occ) AS mean FROM c)"""
-
-
-@_query(f"WITH {_XI} SELECT parent, occ, round(sum(omega * xi), 8) AS average, round(sum(omega * (xi - mean) * (xi - mean)), 8) AS concentration, round(sum(omega * xi) * ln(1 + max(total)), 6) AS scaled FROM m GROUP BY parent, occ")
-def a20_exposure(spark: SparkSession, d: str) -> DataFrame:
-    """Task exposure, its weighted average and concentration."""
-    part, s = _t(spark, d, "part"), _t(spark, d, "supplier")
-    line = _t(spark, d, "lineitem")
-    t = line.join(s, line.l_suppkey == s.s_suppkey).join(part, line.l_partkey == part.p_partkey).groupBy(F.col("s_nationkey").alias("parent"), F.col("p_brand").alias("task")).agg(F.sum("l_quantity").alias("n"))
-    totals = t.groupBy("parent").agg(F.sum("n").alias("total"))
-    xi = t.join(totals, "parent").select("parent", "task", (F.col("n") / F.col("total")).alias("xi"))
-    weights = part.groupBy(F.col("p_type").alias("occ"), F.col("p_brand").alias("task")).agg(F.sum("p_size").alias("p_size"))
-    weights = link.task_weights(weights, "occ", "p_size").select("occ", "task", "omega")
-    out = link.exposure(xi, totals, ["parent"], weights, "occ", "task")
-    return out.select("parent", "occ", r("average", 8).alias("average"), r("concentration", 8).alias("concentration"), r("average_scaled", 6).alias("scaled"))
-
-
-_TOKENS = "SELECT item_id AS k, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))) AS token FROM benchmark"
-
-
-@_query(f"WITH t AS ({_TOKENS}), n AS (SELECT k, count(*) AS n FROM t GROUP BY k), j AS (SELECT a.k AS left_id, b.k AS right_id, count(*) AS common FROM t a JOIN t b USING (token) GROUP BY ALL) SELECT left_id, right_id, round(common / (x.n + y.n - common), 6) AS sim FROM j JOIN n x ON x.k = left_id JOIN n y ON y.k = right_id")
-def l2_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """L2: token-set Jaccard of all items with a token in common."""
-    b = _t(spark, d, "benchmark")
-    out = link.jaccard(b.select(F.col("item_id").alias("left_id"), "text"), b.select(F.col("item_id").alias("right_id"), "text"), "left_id", "right_id")
-    return out.withColumn("sim", r("sim", 6))
-
-
-@_query()
-def l4_best_match(spark: SparkSession, d: str) -> DataFrame:
-    """L1, L4: TF-IDF cosine of documents to benchmark items, the best item of each document."""
-    docs, items = _t(spark, d, "documents"), _t(spark, d, "benchmark")
-    sims = link.tfidf_similarity(docs, items, "doc_id", "item_id")
-    return link.best_match(docs, sims, "doc_id", "item_id").withColumn("sim", r("sim", 6))
-
-
-@_query()
-def l3_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """L3: pairs over the quantile of the whole similarity matrix."""
-    b = _t(spark, d, "benchmark")
-    n = b.count()
-    sims = link.tfidf_similarity(b.select(F.col("item_id").alias("left_id"), "text"), b.select(F.col("item_id").alias("right_id"), "text"), "left_id", "right_id")
-    return link.above_threshold(sims, n * n).withColumn("sim", r("sim", 6))
-
-
 @_query("WITH b AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem), w AS (SELECT l_returnflag, least(greatest(l_extendedprice, lo), hi) AS y FROM lineitem, b) SELECT l_returnflag, round(avg(y), 2) AS mean, round(min(y), 2) AS low, round(max(y), 2) AS high FROM w GROUP BY 1")
 def r4_winsorise(spark: SparkSession, d: str) -> DataFrame:
     w = regress.winsorise(_t(spark, d, "lineitem").select("l_returnflag", "l_extendedprice"), "l_extendedprice")
     return w.groupBy("l_returnflag").agg(r(F.avg("l_extendedprice"), 2).alias("mean"), r(F.min("l_extendedprice"), 2).alias("low"), r(F.max("l_extendedprice"), 2).alias("high"))
 
 
-@_query("WITH d AS (SELECT l_extendedprice - avg(l_extendedprice) OVER p AS y, l_quantity - avg(l_quantity) OVER p AS x FROM lineitem WINDOW p AS (PARTITION BY l_suppkey)) SELECT 'l_quantity' AS term, round(regr_slope(y, x), 4) AS coef, count(*) AS n, round(regr_r2(y, x), 6) AS r2 FROM d")
-def r3_one_way_fe(spark: SparkSession, d: str) -> DataFrame:
-    """One-way fixed effects by demeaning, then least squares."""
-    t = regress.demean(_t(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_quantity"), ["l_extendedprice", "l_quantity"], ["l_suppkey"])
-    rows = regress.cluster_ols(t, "l_extendedprice", ["l_quantity"], "l_suppkey", constant=False)
-    return regress.result_table(spark, rows).select("term", r("coef").alias("coef"), "n", r("r2", 6).alias("r2"))
-
-
-@_query()
-def r1_two_way_fe(spark: SparkSession, d: str) -> DataFrame:
-    """Two-way within transform and cluster-robust errors."""
-    t = regress.standardise(_t(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), "l_extendedprice", "l_quantity"), "l_quantity")
-    t = regress.residualise(t, ["l_extendedprice", "l_quantity"], ["l_suppkey"], ["year"])
-    rows = regress.cluster_ols(t, "l_extendedprice", ["l_quantity"], "l_suppkey", constant=False)
-    return regress.result_table(spark, rows).select("term", *(r(c).alias(c) for c in ("coef", "se", "low", "high", "r2")), "n", "clusters")
-
-
-@_query("WITH e AS (SELECT list_distinct(quantile_cont(l_extendedprice, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1])) AS e FROM lineitem), b AS (SELECT greatest(len(list_filter(e, lambda z: z < l_extendedprice)), 1) AS bin, l_extendedprice AS x, l_quantity AS y FROM lineitem, e) SELECT CAST(bin AS INT) AS bin, round(avg(x), 2) AS mean_x, round(avg(y), 4) AS mean_y, count(*) AS n FROM b GROUP BY bin")
-def r8_binscatter(spark: SparkSession, d: str) -> DataFrame:
-    b = regress.binscatter(_t(spark, d, "lineitem"), "l_extendedprice", "l_quantity", 10)
-    return b.select(F.col("bin").cast("int").alias("bin"), r("mean_x", 2).alias("mean_x"), r("mean_y").alias("mean_y"), "n")
-
-
 @_query("""WITH e AS (SELECT CAST(date_diff('year', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INT) AS event_time, l_extendedprice AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT event_time, round(avg(y), 2) AS mean, round(stddev_samp(y) / sqrt(count(*)), 2) AS se, count(*) AS n FROM e GROUP BY 1""")
 def r9_event_path(spark: SparkSession, d: str) -> DataFrame:
@@ -442,29 +359,7 @@ def r12_entity_filter(spark: SparkSession, d: str) -> DataFrame:
     return o.join(kept, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@_query("""WITH m AS (SELECT p_type AS occ, avg(p_size) AS a, avg(p_retailprice) AS b FROM part GROUP BY 1), z AS (SELECT occ, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS za, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS zb FROM m)
-SELECT occ, round((za + zb) / 2, 6) AS idx, CAST((za + zb) / 2 >= (SELECT quantile_cont((za + zb) / 2, 0.9) FROM z) AS INT) AS top_decile FROM z""")
-def r6_occupation_index(spark: SparkSession, d: str) -> DataFrame:
-    """R6 without its pre-period window, J13: z-scored means by occupation, averaged to an index, with a top-decile flag."""
-    m = _t(spark, d, "part").groupBy(F.col("p_type").alias("occ")).agg(F.avg("p_size").alias("a"), F.avg("p_retailprice").alias("b"))
-    z = regress.standardise(regress.standardise(m, "a"), "b").withColumn("i", (F.col("a") + F.col("b")) / 2)
-    q = z.agg(F.percentile("i", 0.9).alias("q"))
-    return z.crossJoin(F.broadcast(q)).select("occ", r("i", 6).alias("idx"), clean.flag(F.col("i") >= F.col("q")).alias("top_decile"))
-
-
 @_query("SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys, count(CASE WHEN o_totalprice > 100000 THEN 1 END) AS n_flagged FROM orders")
 def s11_readback(spark: SparkSession, d: str) -> DataFrame:
     """Rows, keys and flagged rows in one pass."""
     return io.readback_counts(_t(spark, d, "orders").withColumn("f", clean.flag(F.col("o_totalprice") > 100000)), ["o_orderkey"], "f")
-
-
-@_query()
-def s12_entity_sample(spark: SparkSession, d: str) -> DataFrame:
-    """All rows of a stable tenth of the customers (a sampling operator)."""
-    return io.entity_sample(_t(spark, d, "orders"), "o_custkey", 100)
-
-
-@_query()
-def s10_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """S10 without its marks of finished and unfinished writes: files and bytes of a dataset."""
-    return io.file_inventory(spark, f"{d}/lineitem.parquet")

@@ -3,18 +3,53 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .clean import SAMPLES, flag, log_positive, scrub
+from .io import stable
+from .panel import BROADCAST_GROUPS, with_means
+
+
+#: Values among which an exact quantile is looked up in one task at most; beyond it a band around it is cut out first.
+QUANTILE_ROWS = 1_000_000
+
+
+def quantiles(df: DataFrame, column: str, at: Sequence[float], most: int = QUANTILE_ROWS) -> list[float | None]:
+    """Exact quantiles with linear interpolation.
+
+    Of more than ``most`` values each quantile is first enclosed between approximate ones; one pass counts what lies
+    below and between, and only the values between are looked at further.
+    """
+    df = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    n = df.count()
+    if n <= most:
+        return list(df.agg(F.percentile("x", list(at))).first()[0] or [None] * len(at))
+    bounds = sorted({min(1.0, max(0.0, q + d)) for q in at for d in (-0.0005, 0.0005)})
+    values = dict(zip(bounds, df.agg(F.percentile_approx("x", bounds, 10_000)).first()[0], strict=True))
+    least, greatest = df.agg(F.min("x"), F.max("x")).first()
+    ends = [(least if q <= 0.0005 else values[q - 0.0005], greatest if q >= 0.9995 else values[q + 0.0005]) for q in at]
+    row = df.agg(*(c for lo, hi in ends for c in (F.count_if(F.col("x") < lo), F.count_if(F.col("x").between(lo, hi))))).first()
+    out: list[float | None] = []
+    for i, (q, (lo, hi)) in enumerate(zip(at, ends, strict=True)):
+        below, inside = row[2 * i], row[2 * i + 1]
+        rank = (q * (n - 1) - below) / max(1, inside - 1)
+        if lo == hi:
+            out.append(lo)
+        elif inside == n or not 0 <= rank <= 1:
+            out.append(df.agg(F.percentile("x", q)).first()[0])
+        else:
+            out += quantiles(df.where(F.col("x").between(lo, hi)), "x", [rank], most)
+    return out
+
 
 def winsorise(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clip at exact, linearly interpolated quantiles."""
-    q = df.agg(F.percentile(column, [low, high]).alias("__q"))
-    return df.crossJoin(F.broadcast(q)).withColumn(column, F.least(F.greatest(F.col(column), F.col("__q")[0]), F.col("__q")[1])).drop("__q")
+    lo, hi = quantiles(df, column, [low, high])
+    return df if lo is None else df.withColumn(column, F.least(F.greatest(F.col(column), F.lit(lo)), F.lit(hi)))
 
 
 def standardise(df: DataFrame, column: str) -> DataFrame:
@@ -24,91 +59,223 @@ def standardise(df: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(F.broadcast(s)).withColumn(column, z).drop("__m", "__s")
 
 
-def demean(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
+def demean(df: DataFrame, columns: Sequence[str], by: Sequence[str], small: bool | None = None) -> DataFrame:
+    """Columns less their group means; see ``panel.with_means``."""
+    out = with_means(df, by, {f"__m_{c}": F.avg(c) for c in columns}, small)
+    return out.withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in columns}).drop(*(f"__m_{c}" for c in columns))
+
+
+def n_groups(df: DataFrame, by: Sequence[str]) -> int:
+    return df.select(*by).distinct().count()
 
 
 def residualise(df: DataFrame, columns: Sequence[str], fe1: Sequence[str], fe2: Sequence[str], max_rounds: int = 30, tol: float = 1e-8, every: int = 5) -> DataFrame:
     """Two-way within transform: demean by ``fe1`` then ``fe2`` until the root mean squares stand still.
 
-    Each ``every`` rounds and after the last the stop test runs: no root mean square has moved by ``tol`` since the
-    test before; 1e-12 of its own size counts as rounding. Where the checkpoint folder is set the table is
-    written there first, which cuts the plan; else it is cached. Raises ``RuntimeError`` where ``max_rounds`` rounds
-    do not reach ``tol``.
+    Rows are first summed to cells of both effects, which carry all that the demeaning needs. A round takes each
+    effect in turn as the group means of the cells less the other effect, two joins of the cells with a table of
+    effects. Each ``every`` rounds and after the last the effects are computed once (``io.stable``), which cuts the plan,
+    and the stop test runs: no root mean square of the rows has moved by ``tol`` since the test before; 1e-12 of its
+    own size counts as rounding. Raises ``RuntimeError`` where ``max_rounds`` rounds do not reach ``tol``.
     """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    before, cached, moved = None, None, math.inf
+    keys = list(dict.fromkeys([*fe1, *fe2]))
+    sums = [x for c in columns for x in (F.avg(c).alias(f"__0_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"__q_{c}"))]
+    cells = stable(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *sums))
+    few = {side: n_groups(cells, by) <= BROADCAST_GROUPS for side, by in (("a", fe1), ("b", fe2))}
+    n = cells.agg(F.sum("__n")).first()[0] or 0
+
+    def less(rows: DataFrame, side: str, effects: DataFrame | None) -> DataFrame:
+        """Rows with the effects of one side as ``__<side>_<column>``; 0 before there are any."""
+        if effects is None:
+            return rows.withColumns({f"__{side}_{c}": F.lit(0.0) for c in columns})
+        on = [F.col(k).eqNullSafe(F.col(f"__{side}k_{k}")) for k in (fe1 if side == "a" else fe2)]
+        out = rows.join(F.broadcast(effects) if few[side] else effects, on)
+        return out.drop(*(c for c in effects.columns if c.startswith(f"__{side}k_")))
+
+    def means(rows: DataFrame, side: str, other: str) -> DataFrame:
+        by = [F.col(k).alias(f"__{side}k_{k}") for k in (fe1 if side == "a" else fe2)]
+        mean = lambda c: F.try_divide(F.sum(F.col("__n") * (F.col(f"__0_{c}") - F.col(f"__{other}_{c}"))), F.sum("__n"))
+        return rows.groupBy(*by).agg(*(mean(c).alias(f"__{side}_{c}") for c in columns))
+
+    a = b = before = None
+    moved = math.inf
     for i in range(1, max_rounds + 1):
-        df = demean(demean(df, columns, fe1), columns, fe2)
+        a = means(less(cells, "b", b), "a", "b")
+        b = means(less(cells, "a", a), "b", "a")
         if i % every and i < max_rounds:
             continue
-        if shared:
-            path = f"{shared.rstrip('/')}/fe-{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            df = spark.read.schema(df.schema).parquet(path)
-        else:
-            df = df.persist()
-        now = df.agg(*(F.sqrt(F.avg(F.col(c) * F.col(c))) for c in columns)).first()
-        if cached:
-            cached.unpersist()
-        cached = None if shared else df
+        a, b = stable(a), stable(b)
+        left = lambda c: F.col(f"__0_{c}") - F.col(f"__a_{c}") - F.col(f"__b_{c}")
+        squares = (F.sum(F.col(f"__q_{c}") + F.col("__n") * (left(c) * left(c) - F.col(f"__0_{c}") * F.col(f"__0_{c}"))) for c in columns)
+        now = [None if s is None else math.sqrt(max(0.0, s / n)) for s in less(less(cells, "a", a), "b", b).agg(*squares).first()]
         if before is not None:
-            moved = max((d for a, b in zip(now, before, strict=True) if a is not None and (d := abs(a - b)) > 1e-12 * a), default=0.0)
+            moved = max((d for x, y in zip(now, before, strict=True) if x is not None and (d := abs(x - y)) > 1e-12 * x), default=0.0)
             if moved < tol:
-                return df
+                out = less(less(df, "a", a), "b", b)
+                return out.select(*((F.col(c) - F.col(f"__a_{c}") - F.col(f"__b_{c}")).alias(c) if c in columns else c for c in df.columns))
         before = now
     raise RuntimeError(f"two-way demeaning moved by {moved:.2e} in its last rounds, over {tol:.2e} after {max_rounds}")
 
 
-def cluster_ols(df: DataFrame, y: str, x: Sequence[str], cluster: str, constant: bool = True, extra_k: int = 0) -> list[dict]:
+def cluster_ols(df: DataFrame, y: str, x: Sequence[str], cluster: str, constant: bool = True, extra_k: int = 0, raw_y: str | None = None) -> list[dict]:
     """OLS with cluster-robust (CR1) errors: one aggregate for X'X and X'y, one for the clusters' scores.
 
-    ``extra_k`` counts absorbed dummies. Returns a row for each coefficient: term, coef, se, p, n, clusters, r2.
+    Rows with a null, NaN or infinite value in a regressor or ``y`` are left out. A regressor without variance gets null
+    estimates and counts in k all the same. ``extra_k`` counts absorbed dummies; R2 is of ``raw_y``, the outcome before
+    demeaning, where it is given. A row for each term: coef, se, p, bounds, n, clusters, r2, y_mean, y_sd.
     """
-    ones = ["__one"] if constant else []
-    df = df.withColumn("__one", F.lit(1.0)) if constant else df
-    terms, k = [*ones, *x], len(x) + len(ones)
+    raw = raw_y or y
+    df = scrub(df.select(cluster, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*x, y, raw]))), [*x, y])
+    df = stable(df.withColumn("__one", F.lit(1.0)))
+    spread = df.agg(F.count(F.lit(1)), F.avg(raw), F.stddev_samp(raw), F.sum(F.col(raw) * F.col(raw)), *(c for t in x for c in (F.stddev_pop(t), F.max(F.abs(t))))).first()
+    n, mean, sd = spread[:3]
+    own = [t for i, t in enumerate(x) if spread[4 + 2 * i] and spread[4 + 2 * i] > 1e-10 * spread[5 + 2 * i]]
+    terms = ["__one"] * constant + own
+    k, counted = len(terms), len(x) + constant + extra_k
+    blank = {"coef": None, "se": None, "p": None, "low": None, "high": None, "n": n, "clusters": None, "r2": None, "y_mean": mean, "y_sd": sd}
+    if not n or not k:
+        return [{"term": t, **blank} for t in ["const"] * constant + list(x)]
     cell = lambda a, b: F.sum(F.col(a) * F.col(b))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    s = df.agg(*(cell(terms[i], terms[j]) for i, j in pairs), *(cell(t, y) for t in terms), F.count(F.lit(1)), F.sum(y), cell(y, y)).first()
+    s = df.agg(*(cell(terms[i], terms[j]) for i, j in pairs), *(cell(t, y) for t in terms)).first()
     xx = np.zeros((k, k))
     for (i, j), v in zip(pairs, s[: len(pairs)], strict=True):
         xx[i, j] = xx[j, i] = v
-    xy, (n, sy, syy) = np.array(s[len(pairs) : len(pairs) + k]), s[len(pairs) + k :]
     inverse = np.linalg.pinv(xx)
-    beta = inverse @ xy
+    beta = inverse @ np.array(s[len(pairs) :])
     u = F.col(y) - sum((F.lit(float(b)) * F.col(t) for b, t in zip(beta[1:], terms[1:], strict=True)), F.lit(float(beta[0])) * F.col(terms[0]))
-    scores = df.withColumn("__u", u).groupBy(cluster).agg(*(cell(t, "__u").alias(f"__s{i}") for i, t in enumerate(terms)), F.sum(F.col("__u") ** 2).alias("__rss"))
+    scores = df.withColumn("__u", u).groupBy(cluster).agg(*(cell(t, "__u").alias(f"__s{i}") for i, t in enumerate(terms)), F.sum(F.col("__u") * F.col("__u")).alias("__rss"))
     m = scores.agg(*(cell(f"__s{i}", f"__s{j}") for i, j in pairs), F.count(F.lit(1)), F.sum("__rss")).first()
     meat = np.zeros((k, k))
     for (i, j), v in zip(pairs, m[: len(pairs)], strict=True):
         meat[i, j] = meat[j, i] = v
     g, rss = m[len(pairs) :]
-    dof = n - k - extra_k
+    dof = n - counted
     factor = g / (g - 1) * (n - 1) / dof if g > 1 and dof > 0 else float("nan")
     se = np.sqrt(np.maximum(np.diag(factor * inverse @ meat @ inverse), 0))
-    tss = syy - sy * sy / n if constant else syy
+    tss = (sd or 0.0) ** 2 * (n - 1) if constant or raw_y else spread[3]
     r2 = 1 - rss / tss if tss else None
-    out = []
-    for t, b, e in zip(terms, beta, se, strict=True):
+    found = {}
+    for t, b, e in zip(terms, map(float, beta), map(float, se), strict=True):
         p = math.erfc(abs(b / e) / math.sqrt(2)) if e > 0 else None
-        out.append({"term": "const" if t == "__one" else t, "coef": float(b), "se": float(e), "p": p, "low": float(b - 1.96 * e), "high": float(b + 1.96 * e), "n": n, "clusters": g, "r2": r2})
-    return out
+        found[t] = {"coef": b, "se": e, "p": p, "low": b - 1.96 * e, "high": b + 1.96 * e, "n": n, "clusters": g, "r2": r2, "y_mean": mean, "y_sd": sd}
+    blank |= {"clusters": g, "r2": r2}
+    return [{"term": "const" if t == "__one" else t, **found.get(t, blank)} for t in ["__one"] * constant + list(x)]
+
+
+def fe_ols(df: DataFrame, y: str, x: Sequence[str], cluster: str, fe: Sequence[str] = (), standardised: Sequence[str] = (), winsorised: bool = False) -> list[dict]:
+    """OLS with or without one-way fixed effects, by exact demeaning; k counts the effects' dummies.
+
+    ``standardised`` regressors get unit sample SD over the rows used, ``winsorised`` clips the outcome first.
+    """
+    df = scrub(df.select(*dict.fromkeys([cluster, *fe]), *(F.col(c).cast("double").alias(c) for c in [y, *x])), [y, *x])
+    df = winsorise(df, y) if winsorised else df
+    for c in standardised:
+        df = standardise(df, c)
+    if not fe:
+        return [r for r in cluster_ols(df, y, x, cluster) if r["term"] != "const"]
+    df = stable(df.withColumn("__raw", F.col(y)))
+    groups = n_groups(df, fe)
+    within = demean(df, [y, *x], fe, groups <= BROADCAST_GROUPS)
+    return cluster_ols(within, y, x, cluster, constant=False, extra_k=groups, raw_y="__raw")
 
 
 def result_table(spark, rows: list[dict]) -> DataFrame:
-    """Coefficients with their 95 % bounds, sorted by term."""
-    schema = "term string, coef double, se double, p double, low double, high double, n long, clusters long, r2 double"
-    return spark.createDataFrame([tuple(r.values()) for r in rows], schema).orderBy("term")
+    """Coefficients with their 95 % bounds and the model's diagnostics, sorted by term; labels before ``term`` stay."""
+    kinds = {"n": "long", "clusters": "long"} | dict.fromkeys(("coef", "se", "p", "low", "high", "r2", "y_mean", "y_sd"), "double")
+    names = list(rows[0]) if rows else ["term", *kinds]
+    values = [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r.values()) for r in rows]
+    return spark.createDataFrame(values, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names)).orderBy(*[c for c in names if c not in kinds])
 
 
-def binscatter(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
-    """Means of x and y in quantile bins of x; equal edges fall together."""
-    edges = df.agg(F.array_distinct(F.percentile(x, [i / bins for i in range(bins + 1)])).alias("__e"))
-    b = F.greatest(F.size(F.filter("__e", lambda e: e < F.col(x))), F.lit(1))
-    return df.crossJoin(F.broadcast(edges)).groupBy(b.alias("bin")).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count(F.lit(1)).alias("n"))
+def interacted(df: DataFrame, treatment: str, index: str, out: str, level: str | None = None, log_level: bool = False) -> DataFrame:
+    """Add the product of a treatment and an index and, as ``level_control``, the outcome's level or its log where positive."""
+    df = df.withColumn(out, F.col(treatment) * F.col(index))
+    if level:
+        df = df.withColumn("level_control", log_positive(F.col(level)) if log_level else F.col(level).cast("double"))
+    return df
+
+
+def diagnostics(rows: list[dict], labels: Sequence[str]) -> list[dict]:
+    """One row a model: its labels, n, clusters, R2, mean and SD of the outcome."""
+    kept = [*labels, "n", "clusters", "r2", "y_mean", "y_sd"]
+    return list({tuple(r[c] for c in labels): {c: r[c] for c in kept} for r in rows}.values())
+
+
+def robustness_grid(df: DataFrame, outcomes: Sequence[str], treatment: str, indices: Sequence[str], controls: Sequence[str], fe1: Sequence[str], fe2: Sequence[str], cluster: str, samples: Sequence[str] = tuple(SAMPLES)) -> list[dict]:
+    """Two-way fixed-effects estimates of treatment x index over samples, outcomes, indices and plain or winsorised outcomes.
+
+    All samples of an outcome and index are demeaned together, with effects of their own; a row counts in each sample
+    that it is in.
+    """
+    rows: list[dict] = []
+    conditions = F.array(*(F.when(F.expr(SAMPLES[s]), F.lit(s)) for s in samples))
+    df = stable(df.withColumn("__sample", F.explode(F.array_compact(conditions))))
+    for y in outcomes:
+        for index in indices:
+            own = interacted(df, treatment, index, "__treat")
+            own = own.select(*dict.fromkeys(["__sample", cluster, *fe1, *fe2]), *(F.col(c).cast("double").alias(c) for c in [y, "__treat", *controls]))
+            own = stable(scrub(own, [y, "__treat", *controls]))
+            there = [r[0] for r in own.select("__sample").distinct().collect()]  # at most the named samples
+            clipped = F.col(y)
+            for s in there:
+                lo, hi = quantiles(own.where(F.col("__sample") == s), y, [0.01, 0.99])
+                clipped = F.when(F.col("__sample") == s, F.least(F.greatest(F.col(y), F.lit(lo)), F.lit(hi))).otherwise(clipped)
+            own = own.withColumn("__win", clipped)
+            within = stable(residualise(own, [y, "__win", "__treat", *controls], ["__sample", *fe1], ["__sample", *fe2], max_rounds=200))
+            for s in (s for s in samples if s in there):
+                for win, out in enumerate((y, "__win")):
+                    for r in cluster_ols(within.where(F.col("__sample") == s), out, ["__treat", *controls], cluster, constant=False):
+                        term = f"{treatment}_x_{index}" if r["term"] == "__treat" else r["term"]
+                        rows.append({"sample": s, "outcome": y, "index_name": index, "winsorised": str(win), **r, "term": term})
+    return rows
+
+
+def binscatter(df: DataFrame, x: str, y: str, bins: int = 20, controls: Sequence[str] = (), fe: Sequence[str] = ()) -> DataFrame:
+    """Means of x and y in quantile bins of x; equal edges fall together. ``slope`` and ``intercept`` go through the bins' means.
+
+    With ``controls`` or ``fe`` both are first replaced by what these do not explain.
+    """
+    if controls or fe:
+        df = stable(residuals(df, [x, y], controls, fe))
+    edges = sorted({e for e in quantiles(df, x, [i / bins for i in range(bins + 1)]) if e is not None})
+    b = F.greatest(F.size(F.filter(F.lit(edges), lambda e: e < F.col(x))), F.lit(1)) if edges else F.lit(1)
+    means = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(b.alias("bin")).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count(F.lit(1)).alias("n"))
+    line = means.agg(F.regr_slope("mean_y", "mean_x").alias("slope"), F.regr_intercept("mean_y", "mean_x").alias("intercept"))
+    return means.crossJoin(F.broadcast(line))
+
+
+def residuals(df: DataFrame, columns: Sequence[str], controls: Sequence[str], fe: Sequence[str] = ()) -> DataFrame:
+    """``columns`` less what controls, a constant and fixed effects explain (Frisch-Waugh-Lovell); incomplete rows go."""
+    names = [*columns, *controls]
+    df = scrub(df.select(*fe, *(F.col(c).cast("double").alias(c) for c in names)), names)
+    df = demean(df, names, fe, None) if fe else demean(df.withColumn("__all", F.lit(1)), names, ["__all"], True)
+    if not controls:
+        return df
+    df, k = stable(df), len(controls)
+    cell = lambda a, b: F.sum(F.col(a) * F.col(b))
+    s = df.agg(*(cell(a, b) for a in controls for b in controls), *(cell(a, y) for y in columns for a in controls)).first()
+    inverse = np.linalg.pinv(np.array(s[: k * k], float).reshape(k, k))
+    out = {}
+    for i, y in enumerate(columns):
+        beta = inverse @ np.array(s[k * k + i * k : k * k + (i + 1) * k], float)
+        out[y] = F.col(y) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, controls, strict=True)), F.lit(0.0))
+    return df.withColumns(out)
+
+
+def visibility_index(df: DataFrame, occupation: str, groups: dict[str, Sequence[str]], year: str, first: int, last: int) -> DataFrame:
+    """``occupation, visibility_<group>, top_decile_<group>``: means in a window of years, as z-scores over occupations, averaged.
+
+    Missing z-scores are passed over; the top decile is from the exact 0.9 quantile on.
+    """
+    columns = list(dict.fromkeys(c for g in groups.values() for c in g))
+    means = df.where(F.col(year).between(first, last)).groupBy(occupation).agg(*(F.avg(c).alias(c) for c in columns))
+    for c in columns:
+        means = standardise(means, c)
+    out = means.withColumns({f"visibility_{g}": F.try_divide(sum((F.coalesce(c, F.lit(0.0)) for c in own), F.lit(0.0)), sum((F.col(c).isNotNull().cast("int") for c in own), F.lit(0))) for g, own in groups.items()})
+    out = stable(out.select(occupation, *(f"visibility_{g}" for g in groups)))
+    tops = {g: quantiles(out, f"visibility_{g}", [0.9])[0] for g in groups}
+    return out.withColumns({f"top_decile_{g}": flag(F.col(f"visibility_{g}") >= F.lit(q)) for g, q in tops.items()})
 
 
 def event_path(df: DataFrame, time: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -116,3 +283,11 @@ def event_path(df: DataFrame, time: str, y: str, by: Sequence[str] = ()) -> Data
     out = df.where(F.col(time).isNotNull() & F.col(y).isNotNull()).groupBy(time, *by).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"), F.count(F.lit(1)).alias("n"))
     se = F.col("sd") / F.sqrt("n")
     return out.withColumns({"se": se, "low": F.col("mean") - 1.96 * se, "high": F.col("mean") + 1.96 * se})
+
+
+def event_path_by_split(df: DataFrame, time: str, y: str, index: str, window: int) -> DataFrame:
+    """Event path within ``window`` of the event, apart for rows at or over the median of ``index`` and under it."""
+    own = stable(df.where(F.col(time).between(-window, window) & F.col(y).isNotNull()))
+    median = quantiles(own, index, [0.5])[0]
+    half = F.when(F.col(index) >= F.lit(median), "high").otherwise("low")
+    return event_path(own.withColumn("half", half), time, y, ["half"])

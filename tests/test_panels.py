@@ -52,7 +52,7 @@ def test_concentration(spark):
 def test_tfidf(spark):
     left = spark.createDataFrame([(1, "monitor employee productivity")], "l long, text string")
     right = spark.createDataFrame([(1, "monitor productivity"), (2, "paint walls")], "r long, text string")
-    got = link.tfidf_similarity(left, right, "l", "r").collect()
+    got = link.tfidf_similarity(left, right, "l", "r", ["the"]).collect()
     assert [(r.r, round(r.sim, 8)) for r in got] == [(1, 0.38634343)]
 
 
@@ -60,7 +60,8 @@ def test_exposure(spark):
     xi = spark.createDataFrame([("p", 1, 0.75), ("p", 2, 1.0)], "e string, task int, xi double")
     totals = spark.createDataFrame([("p", 4)], "e string, total long")
     weights = spark.createDataFrame([("o", 1, 0.5), ("o", 2, 0.3), ("o", 3, 0.2)], "occ string, task int, omega double")
-    r = link.exposure(xi, totals, ["e"], weights, "occ", "task").first()
+    cells = spark.createDataFrame([("p", "o")], "e string, occ string")
+    r = link.exposure(cells, xi, totals, ["e"], weights, "occ", "task").first()
     assert (round(r.average, 6), round(r.concentration, 6)) == (0.675, 0.125625)
     assert (round(r.average_scaled, 8), round(r.concentration_scaled, 8)) == (1.08637059, 0.20218564)
 
