@@ -58,9 +58,11 @@ def _filled(x: Column) -> Column:
 
 
 def _dense(bins: Column) -> Column:
-    """Low-order bits of each bin; an empty bin takes those of the first filled bin in its own order of probes.
+    """Low-order bits of each bin; an empty bin takes the value of the first filled bin in its own order of probes.
 
-    Where none of its listed probes is filled, the order goes on by the hash of both bins' numbers.
+    What is taken is hashed with the bin's number before its bits are kept, so that different values that many bins
+    take do not agree by chance in all of them at once. Where none of the listed probes is filled, the order goes on by
+    the hash of both bins' numbers.
     """
     table = F.split(F.lit(",".join(map(str, _probes()))), ",").cast("array<int>")
 
@@ -71,7 +73,7 @@ def _dense(bins: Column) -> Column:
 
         def one(x: Column, b: Column) -> Column:
             tries = [F.when(_filled(y), y) for y in (f[table[b * PROBES + t]] for t in range(PROBES))]
-            return F.when(_filled(x), x).otherwise(F.coalesce(*tries, rest(b))).bitwiseAND(F.lit((1 << BITS) - 1)).cast("byte")
+            return F.when(_filled(x), x).otherwise(F.xxhash64(F.coalesce(*tries, rest(b)), b)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("byte")
 
         return F.when(F.exists(f, _filled), F.transform(f, one)).otherwise(F.array().cast("array<byte>"))
 
