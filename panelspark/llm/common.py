@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,15 +51,43 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that go to Python at once at most, which bounds the Arrow buffers of a task.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``TEXT_ROWS`` rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about ``most`` bytes of the text column, or one row; bounds a task's memory."""
+    """The batches joined and cut so that each has about ``most`` bytes of the text column, or one row; bounds a task's memory."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // most
+        part = (size + np.cumsum(sizes)) // most
         cuts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
-                yield batch.slice(a, b - a)
+                held.append(batch.slice(a, b - a))
+                size += int(sizes[a:b].sum())
+                if b < batch.num_rows or size >= most:
+                    yield pa.concat_batches(held)
+                    held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+    release()
+
+
+def release() -> None:
+    """Give back memory that this Python worker no longer uses: Spark keeps workers for later tasks, side by side with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 #: Places of the sieve that tells which rows may have one of some ids: a broadcast table has at most so many rows.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, release, small_batches
 
 BUCKETS, DIM, ORDERS = 1 << 15, 12, (1, 2, 3, 4)
 #: Bound on the labelled rows that are fitted on, for each language. Everything else reads all rows.
@@ -195,7 +195,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*names, "lang_pred", "score"]
             )
+        release()
 
+    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.select(*names).mapInArrow(run, f"{schema}, lang_pred string, score double")
 

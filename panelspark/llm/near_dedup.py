@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import among, connected_components, load, materialise, slices
+from .common import among, connected_components, load, materialise, slices, small_batches
 
 #: A signature has CHUNKS x VALUES minhash values of 16 bits. A pair with up to 2 * CHUNKS - 1 different values has
 #: a chunk with at most one error (pigeonhole), and each chunk is indexed once for every place where that error may be.
@@ -108,6 +108,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_hash", "keys", "sig"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, keys array<long>, sig binary")
 
 

@@ -14,11 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialise, rank_within, slices
+from .common import load, materialise, rank_within, slices, small_batches
 
 CAPACITY, END_ID = 1024, 2
 #: Bytes of words and ids kept by one Python worker; beyond it the store starts anew. Bounds memory, not results.
-STORE_BYTES = 60_000_000
+STORE_BYTES = 40_000_000
 
 # A space between two other non-white characters: byte-level BPE always starts a token there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -138,6 +138,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                     at, length = at + length, capacity
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], names)
 
+    small_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialise, partitions, scratch, slices
+from .common import load, materialise, partitions, release, scratch, slices, small_batches
 
 #: Bytes of an anchor; bytes and rows of texts that make one blob; contexts of one anchor in one suffix array; places hashed at once.
-GRAM, BATCH_BYTES, BATCH_ROWS, LARGE, STEP = 20, 8_000_000, 50_000, 20_000, 1 << 16
+GRAM, BATCH_BYTES, BATCH_ROWS, LARGE, STEP = 20, 4_000_000, 50_000, 20_000, 1 << 16
 #: Bytes that one task exchanges or one bucket of blobs holds; Spark writes no more buckets than ``MOST_BUCKETS``, beyond it they grow.
 EXCHANGE, BUCKET, MOST_BUCKETS = 64_000_000, 128_000_000, 100_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -95,6 +95,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunks(docs: DataFrame, rest: list[str], total: int) -> DataFrame:
     """The documents packed into blobs, in a table bucketed by ``batch``: later passes over the blobs shuffle no texts."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = min(MOST_BUCKETS, max(partitions(spark), -(-total // BUCKET)))
     columns = [F.col(c) for c in rest]
     packed = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text"), *columns)
@@ -375,6 +376,7 @@ def repeated_spans(packed: DataFrame, length: int, total: int) -> DataFrame:
             "b": [b[hit]], "entry": [c["entry"][hit]], "s": [-back[hit]], "e": [right[hit]],
             "low": [np.zeros(len(hit), np.int64)], "window": [None] * len(hit),
         }
+        release()
         large = np.nonzero(c["large"])[0]
         for s in range(left + 1 if len(large) else 0):
             own = large[(c["before"][large] >= s) & (c["after"][large] >= length - s)]

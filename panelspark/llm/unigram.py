@@ -13,11 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, slices
+from .common import load, slices, small_batches
 
 MARK = "▁"
 #: Bytes of words and ids kept by one task; beyond it the store starts anew. Bounds memory, not results.
-STORE_BYTES = 60_000_000
+STORE_BYTES = 40_000_000
 _PART = re.compile(f"{MARK}*[^{MARK}]*")
 
 
@@ -239,6 +239,7 @@ def encode_documents(docs: DataFrame, model: Unigram) -> DataFrame:
         for batch in slices(batches, 1, 8_000_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.encode_all(batch.column(1)), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -277,5 +278,6 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(rows, (*[pa.int64()] * 4, pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "decoded_crc32", "round_trip"])
 
+    small_batches(spark)
     docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(run, "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
