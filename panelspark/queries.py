@@ -129,7 +129,7 @@ def a13_weighted_variance(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, round((a*a+b*b+c*c) / nullif(CAST((a+b+c)*(a+b+c) AS DOUBLE), 0), 4) AS hhi, CAST(coalesce((a*a+b*b+c*c) / nullif(CAST((a+b+c)*(a+b+c) AS DOUBLE), 0) >= 0.5, false) AS INT) AS specialist,
 round(a/n*(1-a/n) + b/n*(1-b/n) + c/n*(1-c/n), 4) AS dispersion FROM u""")
 def a15_concentration(spark: SparkSession, d: str) -> DataFrame:
-    """One-hot domains, a row's Herfindahl index, bundle dispersion."""
+    """Counts by domain, a row's Herfindahl index, bundle dispersion."""
     o = _t(spark, d, "orders")
     counts = [F.sum(clean.flag(F.col("o_orderpriority").startswith(k))).alias(n) for k, n in (("1", "a"), ("2", "b"), ("3", "c"))]
     u = o.groupBy(F.col("o_custkey").alias("user_id")).agg(*counts, F.count(F.lit(1)).alias("n"))
@@ -312,7 +312,7 @@ def a11_horizon(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT o_custkey AS user_id, CAST(count(*) AS BIGINT) AS n, max(CASE WHEN o_orderpriority LIKE '1%' THEN 5 WHEN o_orderpriority LIKE '2%' THEN 4 END) AS best, min(o_totalprice) AS least, CAST(max(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS INT) AS any_first, count(DISTINCT o_orderstatus) AS n_status FROM orders GROUP BY 1")
 def a8_user_features(spark: SparkSession, d: str) -> DataFrame:
-    """Ordinal scores and flags of a user's rows."""
+    """Counts, best score and flags of a user's rows."""
     p = F.col("o_orderpriority")
     score = F.when(p.startswith("1"), 5).when(p.startswith("2"), 4)
     return _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.max(score).alias("best"), F.min("o_totalprice").alias("least"), F.max(clean.flag(p.startswith("1"))).alias("any_first"), F.count_distinct("o_orderstatus").alias("n_status"))
