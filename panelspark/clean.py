@@ -194,9 +194,9 @@ SAMPLES = {
     "baseline": "true",
     "min_workers_20": "n_workers >= 20",
     "min_workers_50": "n_workers >= 50",
-    "drop_top_data_software_decile": "top_decile_data_software <> 1",
-    "drop_top_hr_monitoring_decile": "top_decile_hr_monitoring <> 1",
-    "drop_top_any_visibility_decile": "top_decile_data_software <> 1 and top_decile_hr_monitoring <> 1",
+    "drop_top_group_a_decile": "top_decile_group_a <> 1",
+    "drop_top_group_b_decile": "top_decile_group_b <> 1",
+    "drop_top_any_decile": "top_decile_group_a <> 1 and top_decile_group_b <> 1",
 }
 
 

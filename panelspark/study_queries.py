@@ -66,7 +66,7 @@ def r4_winsorise(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("l_returnflag").agg(r(F.avg("l_extendedprice"), 2).alias("mean"), r(F.min("l_extendedprice"), 2).alias("low"), r(F.max("l_extendedprice"), 2).alias("high"))
 
 
-_GROUPS = {"composite": ["m1", "m2", "m3"], "data_software": ["m1", "m2"], "hr_monitoring": ["m2", "m3"], "hrtech_feedback": ["m3"]}
+_GROUPS = {"composite": ["m1", "m2", "m3"], "group_a": ["m1", "m2"], "group_b": ["m2", "m3"], "group_c": ["m3"]}
 _INDEX = f"""m AS (SELECT p_brand || '|' || p_type AS occ, avg(l_quantity) AS m1, avg(l_tax) AS m2, avg(l_discount) AS m3 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) BETWEEN 1996 AND 1998 GROUP BY 1),
 z AS (SELECT occ, {", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}" for c in ("m1", "m2", "m3"))} FROM m),
 v AS (SELECT occ, {", ".join(f"({' + '.join(own)}) / {len(own)} AS visibility_{g}" for g, own in _GROUPS.items())} FROM z),
@@ -91,10 +91,10 @@ def r6_occupation_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH {_INDEX}, c AS (SELECT s_nationkey AS parent, p_brand || '|' || p_type AS occ, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n_workers, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
-SELECT c.*, round(visibility_composite, 6) AS visibility_composite, top_decile_data_software, round(q * visibility_composite, 4) AS treat, round(CASE WHEN q > 0 THEN ln(q) END, 6) AS level_control FROM c LEFT JOIN idx USING (occ)""")
+SELECT c.*, round(visibility_composite, 6) AS visibility_composite, top_decile_group_a, round(q * visibility_composite, 4) AS treat, round(CASE WHEN q > 0 THEN ln(q) END, 6) AS level_control FROM c LEFT JOIN idx USING (occ)""")
 def j13_index_attach(spark: SparkSession, d: str) -> DataFrame:
     """The occupation index on parent x occupation x year cells, its interaction with a treatment, the log level control."""
-    out = panel.attach(_cells(spark, d), _index(spark, d).select("occ", "visibility_composite", "top_decile_data_software"), ["occ"])
+    out = panel.attach(_cells(spark, d), _index(spark, d).select("occ", "visibility_composite", "top_decile_group_a"), ["occ"])
     out = regress.interacted(out, "q", "visibility_composite", "treat", "q", log_level=True)
     return out.withColumns({"visibility_composite": r("visibility_composite", 6), "treat": r("treat"), "level_control": r("level_control", 6)})
 
@@ -116,8 +116,8 @@ def r11_robustness_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH {_INDEX}, c AS (SELECT s_nationkey AS parent, p_brand || '|' || p_type AS occ, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n_workers FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), j AS (SELECT * FROM c LEFT JOIN idx USING (occ))
 SELECT 'baseline' AS sample, count(*) AS n FROM j UNION ALL SELECT 'min_workers_20', count(*) FROM j WHERE n_workers >= 20 UNION ALL SELECT 'min_workers_50', count(*) FROM j WHERE n_workers >= 50
-UNION ALL SELECT 'drop_top_data_software_decile', count(*) FROM j WHERE top_decile_data_software <> 1 UNION ALL SELECT 'drop_top_hr_monitoring_decile', count(*) FROM j WHERE top_decile_hr_monitoring <> 1
-UNION ALL SELECT 'drop_top_any_visibility_decile', count(*) FROM j WHERE top_decile_data_software <> 1 AND top_decile_hr_monitoring <> 1""")
+UNION ALL SELECT 'drop_top_group_a_decile', count(*) FROM j WHERE top_decile_group_a <> 1 UNION ALL SELECT 'drop_top_group_b_decile', count(*) FROM j WHERE top_decile_group_b <> 1
+UNION ALL SELECT 'drop_top_any_decile', count(*) FROM j WHERE top_decile_group_a <> 1 AND top_decile_group_b <> 1""")
 def p28_samples(spark: SparkSession, d: str) -> DataFrame:
     """The rows that each named sample keeps, one result below the other."""
     cells = io.stable(panel.attach(_cells(spark, d), _index(spark, d), ["occ"]))

@@ -55,7 +55,7 @@ def test_one_way_effects_count_dummies(spark):
 
 def test_robustness_grid(spark):
     rows = [(*r, 10 * (i % 7), i % 2, i % 3) for i, r in enumerate(panel_rows(240))]
-    df = spark.createDataFrame(rows, "f int, t int, g int, x double, y double, n_workers int, top_decile_data_software int, top_decile_hr_monitoring int")
+    df = spark.createDataFrame(rows, "f int, t int, g int, x double, y double, n_workers int, top_decile_group_a int, top_decile_group_b int")
     got = regress.robustness_grid(df, ["y"], "n_workers", ["x"], [], ["f"], ["t"], "g", ["baseline", "min_workers_50"])
     assert {(r["sample"], r["winsorised"]) for r in got} == {(s, w) for s in ("baseline", "min_workers_50") for w in "01"}
     whole = {r["sample"]: r["n"] for r in got}
