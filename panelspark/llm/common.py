@@ -43,14 +43,50 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Folders of the tables written within each open ``released``, innermost last.
+_OPEN: list[list[str]] = []
+
+
+def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Within ``released`` the table goes at its end, unless ``keep`` hands it to whatever is around that.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/tables/{uuid.uuid4().hex}"
+    _note(path, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _note(path: str, keep: bool = False) -> None:
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
+
+
+def bucketed(df: DataFrame, n: int, key: str) -> DataFrame:
+    """``materialise`` with rows of one ``key`` in one of ``n`` buckets: later groupings by ``key`` do not shuffle them."""
+    spark, name = df.sparkSession, f"scratch_{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/tables/{name}"
+    _note(path)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Frees the shared folder of all tables written within it. What outlives it must be written with ``keep``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            if (name := path.rpartition("/")[2]).startswith("scratch_"):
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Rows of whole texts that go to Python at once at most, which bounds the Arrow buffers of a task.
 TEXT_ROWS = 1000
 
