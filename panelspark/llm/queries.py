@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op6_fingerprints
+from .alignment import op13_alignment
 from . import collocations, fixity
 from .collocations import op12_collocations
 from .fixity import op7_warc_fixity
@@ -21,7 +22,7 @@ from .vector_dedup import op9_vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_sentencepiece, op3_packing, op4_suffix_dedup, op5_sharding, op6_fingerprints, op7_warc_fixity, op8_html_extract, op9_vector_dedup, op10_language_id, op12_collocations)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_sentencepiece, op3_packing, op4_suffix_dedup, op5_sharding, op6_fingerprints, op7_warc_fixity, op8_html_extract, op9_vector_dedup, op10_language_id, op12_collocations, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
