@@ -15,6 +15,7 @@ from .html_extract import op8_html_extract
 from .language_id import op10_language_id
 from .near_dedup import op1_near_dedup
 from .packing import op3_packing
+from .quality import op11_quality
 from .sharding import op5_sharding
 from .suffix_dedup import op4_suffix_dedup
 from .unigram import op2_sentencepiece
@@ -22,7 +23,7 @@ from .vector_dedup import op9_vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_sentencepiece, op3_packing, op4_suffix_dedup, op5_sharding, op6_fingerprints, op7_warc_fixity, op8_html_extract, op9_vector_dedup, op10_language_id, op12_collocations, op13_alignment)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_sentencepiece, op3_packing, op4_suffix_dedup, op5_sharding, op6_fingerprints, op7_warc_fixity, op8_html_extract, op9_vector_dedup, op10_language_id, op11_quality, op12_collocations, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
