@@ -19,7 +19,7 @@ from .common import load, materialise, release, released, slices, small_batches
 from .packing import _ODD, STORE_BYTES, IdStore
 
 #: Bytes of texts that are aligned at once; bounds a task's memory.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Fixed value: how the piece vocabulary writes a space.
 MARK = "▁"
 #: What stands before an id in a document's groups: nothing, a new group, a further id, the other side of a group.
@@ -202,7 +202,10 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, spell: bool = Fals
             values = [[task + made], [batch.column(0).to_pylist()], [own.n[0]], [own.n[1]], [own.n_groups], [own.n_links], [shown], [pairs], [partial.column("count_all").to_numpy()], [counts]]
             kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2, pa.binary()]
             names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "docs", "counts"]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+            out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+            del own, per_text, partial, pairs, columns, values
+            release()
+            yield out
             made += 1
 
     small_batches(docs.sparkSession)
