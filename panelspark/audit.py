@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .io import released, stable
+
 NUMERIC = (T.NumericType,)
 
 
@@ -67,10 +69,51 @@ def top_entities(df: DataFrame, entity: str, n: int = 25) -> DataFrame:
     return df.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), entity).limit(n)
 
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, at: Mapping[str, float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles of each group, one column for each name in ``at``: all groups at once.
+
+    Equal values are counted first, and the counts are dealt in ranges of group and value, so a group with very many values
+    spreads over as many tasks as it needs. Sums by group and range tell in which range each wanted rank lies; only
+    these ranges are ordered and searched. Nulls do not count; a group without values has no row.
+    """
+    spark = df.sparkSession
+    keys = [f"__g{i}" for i in range(len(by))] or ["__g"]
+    groups = [F.col(b).alias(k) for b, k in zip(by, keys, strict=False)] or [F.lit(1).alias("__g")]
+    with released(spark):
+        counts = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("x")).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"))
+        n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        dealt = stable(counts.repartitionByRange(n_ranges, *keys, "x").withColumn("part", F.spark_partition_id()))
+        before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = dealt.groupBy(*keys, "part").agg(F.sum("n").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0)))
+        parts = stable(parts.withColumn("total", F.sum("own").over(Window.partitionBy(*keys))))
+        place = lambda q: F.lit(float(q)) * (F.col("total") - 1)
+        ranks = F.array(*(F.struct(F.lit(name).alias("name"), f(place(q)).cast("long").alias("rank")) for name, q in at.items() for f in (F.floor, F.ceil)))
+        wanted = parts.select(*keys, "part", "before", "own", F.inline(F.array_distinct(ranks))).where("rank >= before and rank < before + own")
+        run = Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        some = dealt.join(wanted.select(*keys, "part").distinct(), _same([*keys, "part"], dealt, wanted), "left_semi").withColumn("up_to", F.sum("n").over(run))
+        found = some.alias("s").join(wanted.alias("w"), [F.col(f"s.{k}").eqNullSafe(F.col(f"w.{k}")) for k in [*keys, "part"]])
+        found = found.where("w.rank - w.before < s.up_to and w.rank - w.before >= s.up_to - s.n").groupBy(*(F.col(f"w.{k}").alias(k) for k in keys), "name").agg(F.min("rank").alias("low"), F.min("x").alias("a"), F.max("x").alias("b"))
+        totals = parts.groupBy(*keys).agg(F.max("total").alias("total"))
+        found = found.alias("f").join(totals.alias("t"), [F.col(f"f.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
+        share = F.element_at(F.create_map(*(F.lit(x) for name, q in at.items() for x in (name, float(q)))), F.col("name")) * (F.col("total") - 1) - F.col("low")
+        x = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + share * (F.col("b") - F.col("a")))
+        rows = found.select(*(F.col(f"f.{k}").alias(k) for k in keys), "name", x.alias("x"))
+        out = rows.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in at))
+        return stable(out.select(*(F.col(k).alias(b) for b, k in zip(by, keys, strict=False)), *at), keep=True)
+
+
+def _same(keys: Sequence[str], a: DataFrame, b: DataFrame) -> list[Column]:
+    return [a[k].eqNullSafe(b[k]) for k in keys]
+
+
 def rows_per_entity(df: DataFrame, entity: str, exact: bool = True) -> DataFrame:
     """Min, median, 90th and 99th percentile and max of the rows of an entity; ``exact`` or approximate."""
     n = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
-    q = lambda p: F.percentile("n", p) if exact else F.percentile_approx("n", p, 10_000)
+    names = {"min": 0.0, "p50": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
+    if exact:
+        found = exact_quantiles(n, [], "n", names)
+        return found.select(*(F.col(c).cast("long").alias(c) if c in ("min", "max") else c for c in names))
+    q = lambda p: F.percentile_approx("n", p, 10_000)
     return n.agg(F.min("n").alias("min"), q(0.5).alias("p50"), q(0.9).alias("p90"), q(0.99).alias("p99"), F.max("n").alias("max"))
 
 
@@ -91,26 +134,36 @@ def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Dat
 
 
 def variable_study(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), quantiles: Sequence[float] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), exact: bool = True, positive: bool = False, support: str | None = None) -> DataFrame:
-    """Shares of missing, zero and positive, mean and quantiles of each variable, over all its values in one pass.
+    """Shares of missing, zero and positive, mean and quantiles of each variable and group, over all values.
 
-    Quantiles are ``exact`` (a task holds the distinct values of a variable) or approximate, as large tables want them.
+    Quantiles are ``exact`` (``exact_quantiles``, all variables and groups at once) or approximate in the same pass.
     ``positive`` adds ``n_positive`` and ``pos_``-prefixed mean and quantiles of the positive values; ``support`` names a
     0/1 column whose rows alone are studied.
     """
     df = df.where(F.col(support) == 1) if support else df
-    of = (lambda c, q: F.percentile(c, q)) if exact else (lambda c, q: F.percentile_approx(c, q, 10_000))
     v, n = F.col("value"), F.count(F.lit(1))
+    over = F.when(v > 0, v)
+    names = {f"p{round(q * 100):02d}": float(q) for q in quantiles}
+    sides = {"": v, "pos_": over} if positive else {"": v}
     stats = [F.try_divide(F.count_if(c), n).alias(k) for k, c in (("missing_share", v.isNull()), ("zero_share", v == 0), ("positive_share", v > 0))]
-    qs = [of(v, q).alias(f"p{round(q * 100):02d}") for q in quantiles]
+    stats.append(F.avg("value").alias("mean"))
     if positive:
-        over = F.when(v > 0, v)
-        qs += [F.count(over).alias("n_positive"), F.avg(over).alias("pos_mean"), *(of(over, q).alias(f"pos_p{round(q * 100):02d}") for q in quantiles)]
-    return long_form(df, by, columns).groupBy("variable", *by).agg(n.alias("n"), *stats, F.avg("value").alias("mean"), *qs)
-
-
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Symmetric long table of Pearson correlations, all pairs in one aggregate."""
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a in columns for b in columns]
+        stats += [F.count(over).alias("n_positive"), F.avg(over).alias("pos_mean")]
+    if not exact:
+        stats += [F.percentile_approx(x, q, 10_000).alias(p + c) for p, x in sides.items() for c, q in names.items()]
+    long, keys = long_form(df, by, columns), ["variable", *by]
+    out = long.groupBy(*keys).agg(n.alias("n"), *stats)
+    for p, x in sides.items() if exact else ():
+        found = exact_quantiles(long.withColumn("value", x), keys, "value", names)
+        found = found.withColumnsRenamed({k: f"__{k}" for k in keys} | {c: p + c for c in names})
+        out = out.join(found, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*(f"__{k}" for k in keys))
+    return out
+
+
+def correlations(df: DataFrame, columns: Sequence[str], counts: bool = False) -> DataFrame:
+    """Symmetric long table of Pearson correlations, all pairs in one aggregate; ``counts`` adds the rows ``n``."""
+    n = [F.count(F.lit(1)).alias("n")] if counts else []
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"), *n) for a in columns for b in columns]
     return df.agg(F.array(*cells).alias("p")).select(F.inline("p"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,20 +44,58 @@ def write_json_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df`` computed once: written to the shared checkpoint folder and read back, which cuts the plan and survives lost executors.
+#: Ids of a sample that are sent to all executors at most; beyond that both sides are shuffled.
+BROADCAST_IDS = 100_000
+#: Folders of the tables written within each open ``released``, innermost last.
+_OPEN: list[list[str]] = []
 
-    Where no folder is set, as in local work, it is cached instead.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local folder becomes the session's checkpoint folder in local mode; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.sparkContext.getCheckpointDir()
+        if base is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="spark-scratch-")
+            spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def stable(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` computed once: written to the shared folder and read back, which cuts the plan and survives lost executors.
+
+    Within ``released`` the table goes at its end, unless ``keep`` hands it to whatever is around that.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        return df.persist()
-    path = f"{shared.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any file system that Spark knows; nothing happens where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Frees the shared folder of the tables that ``stable`` writes within. What outlives it must be written with ``keep``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
+
+
 def parameter_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small dictionary given by the caller as a DataFrame."""
     return spark.createDataFrame(list(rows), schema)
@@ -82,6 +122,29 @@ def readback_counts(df: DataFrame, keys: Sequence[str], flag: str | None = None)
     )
 
 
+def hash_order(keys: Sequence[str], seed: str = "") -> list:
+    """Columns that put rows in a random order which is the same on each run and engine: the MD5 of the keys' text, then the keys."""
+    return [F.md5(F.concat_ws("|", F.lit(seed), *(F.col(k).cast("string") for k in keys))), *keys]
+
+
+def exact_sample(df: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = (), seed: str = "") -> DataFrame:
+    """Exactly ``k`` rows, or all where there are fewer, of the table or of each group: those with the least hashes of ``keys``.
+
+    The same rows whatever the partitions. Each task keeps ``k`` rows (of each group) and only these are shuffled. Rows
+    that are equal in ``keys`` and ``by`` are interchangeable.
+    """
+    if not by:
+        return df.orderBy(*hash_order(keys, seed)).limit(k)
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(*hash_order(keys, seed)))
+    return df.withColumn("__at", at).where(F.col("__at") <= k).drop("__at")
+
+
+def exact_entity_sample(df: DataFrame, key: str, k: int, seed: str = "") -> DataFrame:
+    """All rows of exactly ``k`` entities, or of all where there are fewer; a null entity is none."""
+    ids = exact_sample(df.select(key).where(F.col(key).isNotNull()).distinct(), [key], k, seed=seed)
+    return df.join(F.broadcast(ids) if k <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def entity_sample(df: DataFrame, key: str, per_thousand: int, seed: int = 1) -> DataFrame:
     """All rows of a stable share of the entities, drawn by a hash of the key: no shuffle, the same on each run."""
     return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) < per_thousand)

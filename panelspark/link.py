@@ -8,47 +8,148 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import clean
-from .io import stable
+from .io import released, stable
 from .regress import quantiles
 
-#: Terms of the smaller list that are sent to all executors at most; beyond that both sides are shuffled.
+#: Rows of a list's postings or of another small table that are sent to all executors at most; beyond that it is shuffled.
 BROADCAST_TERMS = 500_000
+#: Levels of how common a term is: half octaves of the product of its frequencies in both lists, which fits 63 bits.
+LEVELS = 128
 
 
 def terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
-    """``key, term, tf``: words of two letters or digits and more without stop words, and pairs of neighbours."""
+    """``key, term, tf``: words of two letters or digits and more without stop words, and pairs of neighbours.
+
+    Texts are dealt by their key before they are cut, so that their terms are counted where they are.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     words = F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
-    df = df.select(key, words.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    df = df.select(key, text).repartition(n, key).select(key, words.alias("w"))
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
     all_terms = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))) if bigrams else F.col("w")
     return df.select(key, F.explode(all_terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> DataFrame:
-    """``left_key, right_key, sim`` of pairs that share a term: cosine of smooth-IDF weights fitted on both lists.
+def _few(df: DataFrame) -> bool:
+    return df.count() <= BROADCAST_TERMS
+
 
-    The terms of both lists are counted once. The list with fewer terms goes to all executors where it is small, so that
-    the other's terms stay where they are; else both meet by term.
+def _sent(df: DataFrame) -> DataFrame:
+    """``df`` marked to go to all executors where it is counted to be small."""
+    return F.broadcast(df) if _few(df) else df
+
+
+def tfidf_postings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``k0, term, w`` and ``k1, term, w``: the terms that both lists have, with weights of unit length over all of a row's terms.
+
+    Smooth IDF is fitted on both lists. Each list's terms are counted once; a row's weights then meet again in one row, which
+    holds its length and its shared terms, so norms need no second pass over the terms.
     """
-    lists = {0: (left, left_key), 1: (right, right_key)}
-    counted = [terms(df, key, text, stop_words, bigrams).select(F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), "term", "tf") for side, (df, key) in lists.items()]
-    both = stable(counted[0].unionAll(counted[1]))
+    lists = ((left, left_key), (right, right_key))
+    counted = [terms(df, key, text, stop_words, bigrams).select(F.lit(side).alias("side"), F.col(key).alias("key"), "term", "tf") for side, (df, key) in enumerate(lists)]
+    kinds = [c.schema["key"].dataType for c in counted]
+    both = stable(counted[0].withColumn("key", F.col("key").cast("string")).unionAll(counted[1].withColumn("key", F.col("key").cast("string"))))
     n = left.count() + right.count()
     idf = both.groupBy("term").agg((F.log((1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"), (F.max("side") > F.min("side")).alias("shared"))
-    weighted = stable(both.join(idf, "term").select("side", "key", "term", (F.col("tf") * F.col("idf")).alias("w"), "shared"))
-    norms = weighted.groupBy("side", "key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    own = [
-        weighted.where((F.col("side") == side) & F.col("shared")).join(norms.where(F.col("side") == side).select("key", "norm"), "key")
-        .select(F.col("key").alias(f"k{side}"), "term", (F.col("w") / F.col("norm")).alias(f"w{side}"))
-        for side in lists
-    ]
-    sizes = [weighted.where((F.col("side") == side) & F.col("shared")).count() for side in lists]
-    less = int(sizes[1] <= sizes[0])
-    small = F.broadcast(own[less]) if sizes[less] <= BROADCAST_TERMS else own[less]
-    sims = own[1 - less].join(small, "term").groupBy("k0", "k1").agg(F.sum(F.col("w0") * F.col("w1")).alias("sim"))
-    kinds = [df.schema[key].dataType for df, key in lists.values()]
-    return sims.select(F.col("k0").cast(kinds[0]).alias(left_key), F.col("k1").cast(kinds[1]).alias(right_key), "sim")
+    w = F.col("tf") * F.col("idf")
+    rows = both.join(idf, "term").groupBy("side", "key").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.collect_list(F.when(F.col("shared"), F.struct("term", w.alias("w")))).alias("own"))
+    rows = stable(rows.where(F.size("own") > 0).select("side", "key", "norm", F.inline("own")))
+    return tuple(rows.where(F.col("side") == s).select(F.col("key").cast(kinds[s]).alias(f"k{s}"), "term", (F.col("w") / F.col("norm")).alias("w")) for s in (0, 1))
+
+
+def tfidf_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> DataFrame:
+    """``left_key, right_key, sim`` of all pairs that share a term: the non-zero cells of the whole matrix.
+
+    The list with fewer postings goes to all executors where it is small; else both meet by term.
+    """
+    a, b = tfidf_postings(left, right, left_key, right_key, stop_words, text, bigrams)
+    b = b.withColumnRenamed("w", "w1")
+    sims = (a.join(F.broadcast(b), "term") if _few(b) else _sent(a).join(b, "term")).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("sim"))
+    return sims.withColumnsRenamed({"k0": left_key, "k1": right_key})
+
+
+def _levels(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both lists' postings with the ``level`` of their term: the more pairs it makes, the higher."""
+    n0, n1 = (x.groupBy("term").agg(F.count(F.lit(1)).alias(c)) for x, c in ((a, "n0"), (b, "n1")))
+    level = F.least(F.floor(2 * F.log2(F.col("n0").cast("double") * F.col("n1"))), F.lit(LEVELS - 1)).cast("int")
+    table = stable(n0.join(n1, "term").select("term", level.alias("level")))
+    table = _sent(table)
+    return stable(a.join(table, "term")), stable(b.join(table, "term"))
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, least: float | DataFrame) -> DataFrame:
+    """``k0, k1, sim`` of the pairs of postings (``tfidf_postings``) with at least a similarity: one number, or ``k0, least`` for each left row.
+
+    A row's terms are taken from the rarest level to the most common one. What the common levels can still add to a pair is at
+    most the product of both rows' lengths over them. Where that product, with the longest right row, stays under the bound,
+    these levels are not probed: a pair over the bound shares a rarer term. Of the pairs found so, those whose sum over rarer
+    levels and product over common ones reach the bound get the rest of their terms. A slack of 1e-9 covers rounding. No
+    pair over the bound is lost, whatever the lists' sizes.
+    """
+    a, b = _levels(a, b)
+    if isinstance(least, DataFrame):
+        a = a.join(_sent(least.select("k0", F.col("least").alias("__least"))), "k0")
+    else:
+        a = a.withColumn("__least", F.lit(float(least)))
+    upward = lambda k: Window.partitionBy(k).orderBy(F.desc("level")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(upward("k1")))
+    longest = {r[0]: r[1] for r in b.withColumn("tail", tail).groupBy("level").agg(F.max("tail")).collect()}  # at most LEVELS rows
+    reach = [max((v for k, v in longest.items() if k >= i), default=0.0) for i in range(LEVELS)]
+    own = F.sqrt(F.sum(F.col("w") * F.col("w")).over(upward("k0")))
+    a = a.withColumn("tail", own)
+    left_out = F.col("tail") * F.element_at(F.lit(reach), F.col("level") + 1) < F.col("__least") - 1e-9
+    whole = Window.partitionBy("k0")
+    a = stable(a.withColumns({"out": left_out, "cut": F.min(F.when(left_out, F.col("level"))).over(whole), "rest": F.max(F.when(left_out, F.col("tail"))).over(whole)}))
+    probes = a.where("not out").select("k0", "term", "w", "cut", "rest", "__least")
+    right = b.select("k1", "term", F.col("w").alias("w1"))
+    found = probes.join(_sent(right), "term").groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("part"), F.max("cut").alias("cut"), F.max("rest").alias("rest"), F.max("__least").alias("__least"))
+    squares = b.groupBy("k1", "level").agg(F.sum(F.col("w") * F.col("w")).alias("q")).groupBy("k1").agg(F.collect_list(F.struct("level", "q")).alias("squares"))
+    common = F.sqrt(F.aggregate(F.filter("squares", lambda x: x["level"] >= F.col("cut")), F.lit(0.0), lambda s, x: s + x["q"]))
+    open_ = found.join(_sent(squares), "k1").where(F.col("part") + F.coalesce(F.col("rest") * common, F.lit(0.0)) >= F.col("__least") - 1e-9)
+    open_ = stable(open_.select("k0", "k1", "part", "cut", "__least"))
+    more = open_.where("cut is not null").select("k0", "k1", "cut").join(_sent(b.select("k1", "term", "level", F.col("w").alias("w1"))), "k1").where("level >= cut")
+    more = more.join(a.where("out").select("k0", "term", "w"), ["k0", "term"]).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("more"))
+    sims = open_.join(more, ["k0", "k1"], "left").withColumn("sim", F.col("part") + F.coalesce("more", F.lit(0.0)))
+    return sims.where(F.col("sim") >= F.col("__least") - 1e-9).select("k0", "k1", "sim")
+
+
+def _champions(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``k0, least``: a similarity that some right row surely has, from the heaviest posting of each term alone."""
+    top = b.groupBy("term").agg(F.max_by(F.struct("k1", "w"), F.struct("w", "k1")).alias("x")).select("term", "x.k1", F.col("x.w").alias("w1"))
+    part = a.join(_sent(stable(top)), "term").groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("s"))
+    return part.groupBy("k0").agg(F.max("s").alias("least"))
+
+
+def matches_above(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], q: float = 0.95, floor: float = 0.05, text: str = "text") -> DataFrame:
+    """Pairs at least as similar as the ``q`` quantile of the whole matrix, zeros included, and ``floor``: ``left_key, right_key, sim``.
+
+    Only pairs from ``floor`` on are formed. Where the quantile lies among them, its rank is moved by the number of cells
+    below; where it does not, ``floor`` decides.
+    """
+    with released(left.sparkSession):
+        n_cells = left.count() * right.count()
+        s = stable(similar_pairs(*tfidf_postings(left, right, left_key, right_key, stop_words, text), floor).where(F.col("sim") >= floor))
+        k = s.count()
+        at = q * (n_cells - 1) - (n_cells - k)
+        tau = quantiles(s, "sim", [min(1.0, at / max(1, k - 1))])[0] if at >= 0 and k else floor
+        out = s.where(F.col("sim") >= max(tau, floor)).withColumnsRenamed({"k0": left_key, "k1": right_key})
+        return stable(out, keep=True)
+
+
+def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", digits: int = 9) -> DataFrame:
+    """The most similar right row of each left row, the least id of those equal to ``digits``: ``left_key, right_key, sim, matched``.
+
+    A left row without a shared term has a null match and ``matched`` 0. A first pass over the heaviest postings gives each left row a similarity that some right row
+    reaches; only pairs that can reach it are formed.
+    """
+    with released(left.sparkSession):
+        a, b = tfidf_postings(left, right, left_key, right_key, stop_words, text)
+        least = stable(_champions(a, b).withColumn("least", F.col("least") - 2 * 10.0**-digits))
+        sims = similar_pairs(a, b, least).withColumnsRenamed({"k0": left_key, "k1": right_key})
+        return stable(best_match(left, sims, left_key, right_key, digits), keep=True)
 
 
 def jaccard(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text") -> DataFrame:
@@ -118,6 +219,26 @@ def exposure(cells: DataFrame, tasks: DataFrame, totals: DataFrame, entity: Sequ
     return out.withColumns({f"{c}_scaled": F.col(c) * F.log1p("total") for c in ("average", "concentration", "twin_average")})
 
 
+def text_exposure(cells: DataFrame, counts: DataFrame, bridge: DataFrame, crosswalk: DataFrame, weights: DataFrame, entity: Sequence[str], category: str, task: str, occupation: str, code: str) -> DataFrame:
+    """The exposure chain over linked texts: categories to tasks by ``bridge``, occupations to codes by ``crosswalk``, codes to tasks by ``weights``.
+
+    ``cells``: entity, occupation; ``counts``: entity, category, n; ``bridge``: category, task, sim (``matches_above``);
+    ``crosswalk``: occupation, code, sim (``best_matches``); ``weights``: code, task, omega. Exposure is computed once for
+    each entity and code and goes to all occupations of the code by an equi-join; an occupation without a code has none.
+    """
+    tasks, totals = task_exposure(counts, bridge.withColumn("exposed", F.lit(1)), entity, category, task)
+    coded = cells.join(crosswalk.select(occupation, code, F.col("sim").alias("match_sim")), occupation, "left")
+    found = exposure(coded.where(F.col(code).isNotNull()).select(*entity, code).distinct(), tasks, totals, entity, weights, code, task)
+    out = coded.join(found.drop("total"), [*entity, code], "left").join(totals, list(entity), "left")
+    return clean.fill(out, {c: 0.0 for c in [*found.columns, "total", "match_sim"] if c not in (*entity, code)})
+
+
+def match_diagnostics(matches: DataFrame) -> DataFrame:
+    """``n, n_matched, mean_sim, low_sim, high_sim`` of a table of best matches; similarities are of the matched rows."""
+    own = F.when(F.col("matched") == 1, F.col("sim"))
+    return matches.agg(F.count(F.lit(1)).alias("n"), F.count(own).alias("n_matched"), F.avg(own).alias("mean_sim"), F.min(own).alias("low_sim"), F.max(own).alias("high_sim"))
+
+
 def rated_tasks(tasks: DataFrame, ratings: DataFrame, occupations: DataFrame, task: str, occupation: str) -> DataFrame:
     """Tasks with their ratings and their occupations' titles, both as far as they are known."""
     return tasks.join(ratings, [occupation, task], "left").join(occupations, occupation, "left")

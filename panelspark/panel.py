@@ -59,8 +59,67 @@ class Measure:
 
 
 def build_panel(df: DataFrame, keys: Sequence[str], weight: str, measures: Sequence[Measure]) -> DataFrame:
-    """All measures of each key in one aggregate: partial sums leave the map side, one shuffle."""
-    return df.groupBy(*keys).agg(*(m.expression(weight) for m in measures))
+    """All measures of each key: one plain aggregate of numbers, whose partial sums leave the map side.
+
+    Several distinct counts in one aggregate would send a wide copy of each row for each of them. They, and least or greatest
+    texts, for which rows would be sorted, go through one narrow table ``keys, column, value``, deduplicated once
+    (``distinct_values``) and joined to the plain part. A group without any value has a distinct count of 0.
+    """
+    kinds = dict(df.dtypes)
+    texts = [m for m in measures if m.how in ("first", "min", "max") and kinds[m.column] == "string"]
+    counts = [m for m in measures if m.how == "nunique"]
+    apart = [*counts, *texts] if len(counts) > 1 or texts else []
+    plain = [m for m in measures if m not in apart]
+    rows = df.groupBy(*keys).agg(*(m.expression(weight) for m in plain)) if plain else df.select(*keys).distinct()
+    if not apart:
+        return rows
+    found = distinct_values(df, keys, list(dict.fromkeys(m.column for m in apart)), bool(texts))
+    values = {"nunique": lambda c: F.coalesce(F.col(f"__{c}.n"), F.lit(0)), "max": lambda c: F.col(f"__{c}.high")}
+    own = [values.get(m.how, lambda c: F.col(f"__{c}.low"))(m.column).alias(m.name) for m in apart]
+    named = {k: f"__k_{k}" for k in keys}
+    found = found.withColumnsRenamed(named)
+    out = rows.join(found, [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()], "left") if keys else rows.crossJoin(found)  # one row each
+    order = [m.name for m in measures]
+    return out.select(*keys, *(m.name for m in plain), *own).select(*keys, *order)
+
+
+def distinct_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str], bounds: bool = True) -> DataFrame:
+    """For each key and column a struct ``__<column>``: the number ``n`` of distinct values and, with ``bounds``, the ``low`` and ``high`` one as text.
+
+    Rows become ``keys, column, value`` and are deduplicated before they are counted, so a key with very many values is
+    spread over tasks by its values. Nulls do not count; -0.0 is 0.0.
+    """
+    kinds = dict(df.dtypes)
+    text = lambda c: (F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(c)).cast("string")
+    pairs = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("__c"), text(c).alias("__v")) for i, c in enumerate(columns)))
+    long = df.select(*keys, F.inline(pairs)).where("__v is not null").groupBy(*keys, "__c", "__v").agg(F.lit(1).alias("__one"))
+    stats = {"n": F.count(F.lit(1))} | ({"low": F.min("__v"), "high": F.max("__v")} if bounds else {})
+    rows = long.groupBy(*keys, "__c").agg(*(x.alias(n) for n, x in stats.items()))
+    of = lambda i, n: F.max(F.when(F.col("__c") == i, F.col(n))).alias(n)
+    return rows.groupBy(*keys).agg(*(F.struct(*(of(i, n) for n in stats)).alias(f"__{c}") for i, c in enumerate(columns)))
+
+
+def stocks(spells: DataFrame, keys: Sequence[str], weight: str, start: str = "start_year", end: str = "end_year") -> DataFrame:
+    """``keys, year, n_spells, stock, hires, exits`` of each year with a spell, by signed events and running sums.
+
+    A spell adds at its start and takes away after its end, so rows do not grow with its length, as they do in
+    ``expand_to_years``: events are summed by key and year first, and only these sums are filled up to all years of a key. Weights count to
+    nine decimals, so that what is added and taken away cancels out.
+    """
+    w = F.col(weight).cast("decimal(28, 9)")
+    none = F.lit(0).cast("decimal(28, 9)")
+    at = F.array(
+        F.struct(F.col(start).alias("year"), F.lit(1).alias("dn"), w.alias("dw"), w.alias("hires"), none.alias("exits")),
+        F.struct(F.col(end).alias("year"), F.lit(0).alias("dn"), none.alias("dw"), none.alias("hires"), w.alias("exits")),
+        F.struct((F.col(end) + 1).alias("year"), F.lit(-1).alias("dn"), (-w).alias("dw"), none.alias("hires"), none.alias("exits")),
+    )
+    sums = spells.where(f"{start} <= {end}").select(*keys, F.inline(at)).groupBy(*keys, "year").agg(*(F.sum(c).alias(c) for c in ("dn", "dw", "hires", "exits")))
+    own = Window.partitionBy(*keys).orderBy("year")
+    run = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumns({"n_spells": F.sum("dn").over(run), "stock": F.sum("dw").over(run), "next": F.lead("year").over(own)})
+    years = sums.where("n_spells > 0").withColumn("y", F.explode(F.sequence("year", F.col("next") - 1)))
+    first = F.col("y") == F.col("year")
+    return years.select(*keys, F.col("y").alias("year"), "n_spells", F.col("stock").cast("double").alias("stock"), *(F.when(first, F.col(c).cast("double")).otherwise(0.0).alias(c) for c in ("hires", "exits")))
 
 
 #: Groups whose means are sent to all executors at most; beyond that both sides are shuffled.
@@ -129,6 +188,16 @@ def growth(now: Column, ahead: Column) -> Column:
     return F.when((now > 0) & (ahead > 0), 100 * (F.log(ahead) - F.log(now)))
 
 
+def entity_lookup(companies: DataFrame, child: str, direct: str, child_columns: Mapping[str, str], direct_columns: Mapping[str, str], key: str = "entity") -> DataFrame:
+    """One row an entity, children and direct ones united: ``key`` and the named columns, each the least known value.
+
+    ``child_columns`` and ``direct_columns`` name for each output column where it stands in a child's and in a direct row.
+    Rows without an id are left out; rows that say the same count once.
+    """
+    sides = [companies.select(F.col(k).alias(key), *(F.col(c).alias(n) for n, c in names.items())).where(F.col(key).isNotNull()) for k, names in ((child, child_columns), (direct, direct_columns))]
+    return sides[0].unionByName(sides[1]).groupBy(key).agg(*(F.min(n).alias(n) for n in child_columns))
+
+
 def outer_join_all(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

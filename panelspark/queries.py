@@ -93,6 +93,13 @@ def a4_firm_year(spark: SparkSession, d: str) -> DataFrame:
     return f.select("firm", "year", "workers", "n_spells", "n_users", "hires", "exits", r(clean.safe_divide(F.col("hires"), F.col("workers"))).alias("hire_rate"), r("x_observed").alias("x_observed"), r("x_all").alias("x_all"), r("pay", 2).alias("pay"))
 
 
+@_query(f"""WITH {_SPELLS} SELECT firm, parent, year, count(*) AS n_spells, round(sum(w), 4) AS stock, round(sum(w * CAST(year = year("start") AS INT)), 4) AS hires, round(sum(w * CAST(year = year("end") AS INT)), 4) AS exits FROM yearly GROUP BY firm, parent, year""")
+def a4_stock_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """G1, A4: spells, stock, hires and exits of firm-years by signed events at the spells' bounds."""
+    out = panel.stocks(_spells(spark, d), ["firm", "parent"], "w")
+    return out.withColumns({c: r(c) for c in ("stock", "hires", "exits")})
+
+
 @_query(f"""{_FIRM} SELECT parent, year, sum(workers) AS workers, max(n_users) AS max_users, round(sum(x_observed * workers) / sum(CASE WHEN x_observed IS NOT NULL THEN workers END), 4) AS x_mean, count(*) AS n_firms,
   CAST(sum(workers) >= 100 AND count(*) >= 2 AS INT) AS in_sample FROM firm_year GROUP BY parent, year""")
 def a12_parent_year(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, clean, io, panel, regress
+from . import audit, clean, io, panel, regress, sketches
 from .queries import _query, _t, r
 
 
@@ -295,3 +295,49 @@ def s12_entity_sample(spark: SparkSession, d: str) -> DataFrame:
 def s10_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Files and bytes of a dataset, marks of finished and unfinished writes."""
     return io.file_inventory(spark, f"{d}/lineitem.parquet")
+
+
+_SAMPLE = "SELECT * FROM orders ORDER BY md5('|' || o_orderkey), o_orderkey LIMIT 2000"
+_SAMPLED = ("o_totalprice", "o_custkey", "o_orderkey")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) AS n FROM ({_SAMPLE})" for a in _SAMPLED for b in _SAMPLED))
+def a29_sample_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations on a sample of exactly 2000 rows, or all (a sampling operator), the same on each run."""
+    rows = io.exact_sample(_t(spark, d, "orders"), ["o_orderkey"], 2000)
+    return audit.correlations(rows, _SAMPLED, counts=True).withColumn("r", r("r", 6))
+
+
+@_query("WITH k AS (SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY md5('|' || o_custkey), o_custkey LIMIT 60) SELECT o_orderkey, o_custkey, o_totalprice FROM orders SEMI JOIN k USING (o_custkey)")
+def s12_exact_sample(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of exactly 60 customers (a sampling operator)."""
+    return io.exact_entity_sample(_t(spark, d, "orders"), "o_custkey", 60).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@_query("SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('s|' || o_orderkey), o_orderkey) AS rn FROM orders) WHERE rn <= 20")
+def w13_group_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Exactly 20 rows of each group by the least hashes of their key (a sampling operator)."""
+    return io.exact_sample(_t(spark, d, "orders"), ["o_orderkey"], 20, ["o_orderpriority"], seed="s").select("o_orderpriority", "o_orderkey")
+
+
+_CELLS = "SELECT 'parent' AS level, CAST(s_nationkey AS VARCHAR) AS key, l_orderkey, l_extendedprice FROM b UNION ALL SELECT 'year', CAST(year AS VARCHAR), l_orderkey, l_extendedprice FROM b UNION ALL SELECT 'all', 'all', l_orderkey, l_extendedprice FROM b"
+
+
+@_query(f"""WITH b AS (SELECT s_nationkey, year(l_shipdate) AS year, l_orderkey, l_extendedprice FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), c AS ({_CELLS})
+SELECT level, key, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, true AS distinct_ok, true AS p10_ok, true AS p50_ok, true AS p90_ok FROM c GROUP BY level, key""")
+def a23_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of firm-years merged to parents, years and all, held against exact counts and ranks: whether they keep their stated errors."""
+    line, s = _t(spark, d, "lineitem"), _t(spark, d, "supplier")
+    rows = line.join(s, line.l_suppkey == s.s_suppkey).select("l_suppkey", "s_nationkey", F.year("l_shipdate").alias("year"), "l_orderkey", "l_extendedprice")
+    with io.released(spark):
+        fine = io.stable(sketches.sketch_panel(rows, ["l_suppkey", "s_nationkey", "year"], {"orders": "l_orderkey"}, {"price": "l_extendedprice"}))
+        levels = {"parent": F.col("s_nationkey").cast("string"), "year": F.col("year").cast("string"), "all": F.lit("all")}
+        cells = F.array(*(F.struct(F.lit(n).alias("level"), c.alias("key")) for n, c in levels.items()))
+        coarse = sketches.merge(fine.select("*", F.inline(cells)), ["level", "key"], ["orders"], ["price"])
+        coarse = io.stable(sketches.estimates(coarse, ["orders"], {"price": (0.1, 0.5, 0.9)}))
+        exact = rows.select("l_orderkey", "l_extendedprice", F.inline(cells)).join(F.broadcast(coarse), ["level", "key"])
+        below = lambda c: F.avg(F.when(F.col("l_extendedprice") <= F.col(c), 1.0).otherwise(0.0))
+        out = exact.groupBy("level", "key", "orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_orders"), *(below(f"price_p{q}").alias(f"at{q}") for q in (10, 50, 90)))
+        near = [(F.abs(F.col(f"at{q}") - q / 100) <= sketches.RANK_ERROR + 1 / F.col("n")).alias(f"p{q}_ok") for q in (10, 50, 90)]
+        out = out.select("level", "key", "n", "n_orders", (F.abs(F.col("orders") - F.col("n_orders")) <= sketches.DISTINCT_ERROR * F.col("n_orders") + 1).alias("distinct_ok"), *near)
+        return io.stable(out, keep=True)

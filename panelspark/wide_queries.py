@@ -330,23 +330,18 @@ dots AS (SELECT u.k AS doc_id, v.k AS item_id, sum(u.w * v.w) AS dot FROM u JOIN
 sims AS (SELECT doc_id, item_id, dot / nu.n / nv.n AS sim FROM dots JOIN nu ON nu.k = doc_id JOIN nv ON nv.k = item_id)"""
 
 
-def _sims(spark: SparkSession, d: str) -> DataFrame:
-    return link.tfidf_similarity(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "item_id", STOP_WORDS)
-
-
 @_query(f"""WITH {_SIMS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(sim, 9) DESC, item_id) AS rn FROM sims)
 SELECT d.doc_id, item_id, round(coalesce(sim, 0), 6) AS sim, CAST(coalesce(sim, 0) > 0 AS INT) AS matched FROM documents d LEFT JOIN (SELECT * FROM k WHERE rn = 1) k ON k.doc_id = d.doc_id""")
 def l4_best_match(spark: SparkSession, d: str) -> DataFrame:
     """L1, L4: TF-IDF cosine of documents to benchmark items, the best item of each document."""
-    return link.best_match(_t(spark, d, "documents"), _sims(spark, d), "doc_id", "item_id").withColumn("sim", r("sim", 6))
+    return link.best_matches(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "item_id", STOP_WORDS).withColumn("sim", r("sim", 6))
 
 
 @_query(f"""WITH {_SIMS}, cells AS (SELECT coalesce(sim, 0) AS sim FROM (SELECT doc_id, item_id FROM documents, benchmark) LEFT JOIN sims USING (doc_id, item_id))
 SELECT doc_id, item_id, round(sim, 6) AS sim FROM sims WHERE sim > 0 AND sim >= greatest((SELECT quantile_cont(sim, 0.95) FROM cells), 0.05)""")
 def l3_threshold(spark: SparkSession, d: str) -> DataFrame:
     """L1, L3: pairs of documents and benchmark items from the quantile of the whole similarity matrix on."""
-    n = _t(spark, d, "documents").count() * _t(spark, d, "benchmark").count()
-    return link.above_threshold(_sims(spark, d), n).withColumn("sim", r("sim", 6))
+    return link.matches_above(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "item_id", STOP_WORDS).withColumn("sim", r("sim", 6))
 
 
 def _words_sql(table: str, key: str) -> str:
@@ -358,3 +353,73 @@ j AS (SELECT a.k AS doc_id, b.k AS item_id, count(*) AS common FROM a JOIN b USI
 def l2_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """L2: token-set Jaccard of all documents and benchmark items with a token in common."""
     return link.jaccard(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "item_id").withColumn("sim", r("sim", 6))
+
+
+def _sims_sql(p: str, left: tuple[str, str], right: tuple[str, str]) -> str:
+    """CTEs ``<p>s (k0, k1, sim)``: TF-IDF cosines of two relations with a key and ``text``, fitted on both."""
+    (a, ka), (b, kb) = left, right
+    return f"""{p}a AS (SELECT k, term, count(*) AS tf FROM ({_tokens_sql(a, ka)}) GROUP BY ALL), {p}b AS (SELECT k, term, count(*) AS tf FROM ({_tokens_sql(b, kb)}) GROUP BY ALL),
+{p}i AS (SELECT term, ln((1 + (SELECT count(*) FROM {a}) + (SELECT count(*) FROM {b})) / (1.0 + count(*))) + 1 AS idf FROM (SELECT term FROM {p}a UNION ALL SELECT term FROM {p}b) GROUP BY term),
+{p}u AS (SELECT k, term, tf * idf AS w FROM {p}a JOIN {p}i USING (term)), {p}v AS (SELECT k, term, tf * idf AS w FROM {p}b JOIN {p}i USING (term)),
+{p}x AS (SELECT k, sqrt(sum(w * w)) AS n FROM {p}u GROUP BY k), {p}y AS (SELECT k, sqrt(sum(w * w)) AS n FROM {p}v GROUP BY k),
+{p}d AS (SELECT u.k AS k0, v.k AS k1, sum(u.w * v.w) AS dot FROM {p}u u JOIN {p}v v USING (term) GROUP BY ALL),
+{p}s AS (SELECT k0, k1, dot / x.n / y.n AS sim FROM {p}d JOIN {p}x x ON x.k = k0 JOIN {p}y y ON y.k = k1)"""
+
+
+_OPENINGS = "(SELECT conv_id, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY conv_id)"
+_CROSSWALK = f"""occs AS (SELECT conv_id AS occ, text FROM {_OPENINGS}), codes AS (SELECT source AS code, min(text) AS text FROM documents WHERE text <> '' GROUP BY source), {_sims_sql("c", ("occs", "occ"), ("codes", "code"))},
+cw AS (SELECT o.occ, code, coalesce(sim, 0) AS sim, CAST(coalesce(sim, 0) > 0 AS INT) AS matched FROM occs o LEFT JOIN (SELECT k0 AS occ, k1 AS code, sim, row_number() OVER (PARTITION BY k0 ORDER BY round(sim, 9) DESC, k1) AS rn FROM cs) k ON k.occ = o.occ AND rn = 1)"""
+
+
+def _crosswalk(spark: SparkSession, d: str) -> DataFrame:
+    """Occupations, here openings of conversations, to codes, here sources by a text of theirs: the best match."""
+    occs = _t(spark, d, "conversations").where("turn = 0").groupBy(F.col("conv_id").alias("occ")).agg(F.min("text").alias("text"))
+    codes = _t(spark, d, "documents").where("text <> ''").groupBy(F.col("source").alias("code")).agg(F.min("text").alias("text"))
+    return link.best_matches(occs, codes, "occ", "code", STOP_WORDS)
+
+
+@_query(f"""WITH {_CROSSWALK}, {_sims_sql("t", ("documents", "doc_id"), ("benchmark", "item_id"))},
+tau AS (SELECT greatest(quantile_cont(coalesce(sim, 0), 0.95), 0.05) AS tau FROM (SELECT doc_id AS k0, item_id AS k1 FROM documents, benchmark) LEFT JOIN ts USING (k0, k1)),
+bridge AS (SELECT k0 AS task, k1 AS category, sim FROM ts, tau WHERE sim >= tau),
+wt AS (SELECT source AS code, doc_id AS task, n_chars / sum(n_chars) OVER (PARTITION BY source) AS omega FROM documents),
+rows AS (SELECT s_nationkey AS parent, CAST(year(l_shipdate) AS INT) AS year, l_partkey % 200 AS category, l_orderkey % 300 AS occ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+n AS (SELECT parent, year, category, count(*) AS n FROM rows SEMI JOIN benchmark ON item_id = category GROUP BY ALL), tot AS (SELECT parent, year, sum(n) AS total FROM n GROUP BY ALL),
+xi AS (SELECT n.parent, n.year, task, sum(n) / max(total) AS xi, sum(n * sim) / max(total) AS xi_sim FROM n JOIN bridge USING (category) JOIN tot ON tot.parent = n.parent AND tot.year = n.year GROUP BY ALL),
+cells AS (SELECT DISTINCT parent, year, occ FROM rows), coded AS (SELECT cells.*, code, sim AS match_sim FROM cells LEFT JOIN cw USING (occ)),
+j AS (SELECT p.parent, p.year, p.code, omega, coalesce(xi, 0) AS xi, coalesce(xi_sim, 0) AS xi_sim FROM (SELECT DISTINCT parent, year, code FROM coded WHERE code IS NOT NULL) p JOIN wt USING (code) LEFT JOIN xi ON xi.parent = p.parent AND xi.year = p.year AND xi.task = wt.task),
+m AS (SELECT *, sum(omega * xi) OVER (PARTITION BY parent, year, code) AS mean FROM j), e AS (SELECT parent, year, code, sum(omega * xi) AS average, sum(omega * (xi - mean) * (xi - mean)) AS concentration, sum(omega * xi_sim) AS twin FROM m GROUP BY ALL)
+SELECT c.parent, c.year, c.occ, c.code, round(coalesce(match_sim, 0), 6) AS match_sim, CAST(coalesce(total, 0) AS BIGINT) AS total, round(coalesce(average, 0), 8) AS average, round(coalesce(concentration, 0), 8) AS concentration, round(coalesce(twin, 0), 8) AS twin,
+  round(coalesce(average, 0) * ln(1 + coalesce(total, 0)), 6) AS average_scaled FROM coded c LEFT JOIN e ON e.parent = c.parent AND e.year = c.year AND e.code = c.code LEFT JOIN tot ON tot.parent = c.parent AND tot.year = c.year""")
+def j12_text_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Categories to tasks by similar texts, occupations to codes by the best match, both into the exposure chain."""
+    docs, bench, line, s = (_t(spark, d, t) for t in ("documents", "benchmark", "lineitem", "supplier"))
+    bridge = link.matches_above(docs, bench, "doc_id", "item_id", STOP_WORDS).select(F.col("doc_id").alias("task"), F.col("item_id").alias("category"), "sim")
+    weights = link.task_weights(docs.select(F.col("source").alias("code"), F.col("doc_id").alias("task"), "n_chars"), "code", "n_chars").select("code", "task", "omega")
+    rows = line.join(s, line.l_suppkey == s.s_suppkey).select(F.col("s_nationkey").alias("parent"), F.year("l_shipdate").alias("year"), (F.col("l_partkey") % 200).alias("category"), (F.col("l_orderkey") % 300).alias("occ"))
+    counts = rows.join(bench, rows.category == bench.item_id, "left_semi").groupBy("parent", "year", "category").agg(F.count(F.lit(1)).alias("n"))
+    out = link.text_exposure(rows.select("parent", "year", "occ").distinct(), counts, bridge, _crosswalk(spark, d), weights, ["parent", "year"], "category", "task", "occ", "code")
+    return out.select(
+        "parent", "year", "occ", "code", r("match_sim", 6).alias("match_sim"), F.col("total").cast("long").alias("total"), r("average", 8).alias("average"), r("concentration", 8).alias("concentration"),
+        r("twin_average", 8).alias("twin"), r("average_scaled", 6).alias("average_scaled"),
+    )
+
+
+@_query(f"WITH {_CROSSWALK} SELECT count(*) AS n, count(CASE WHEN matched = 1 THEN 1 END) AS n_matched, round(avg(CASE WHEN matched = 1 THEN sim END), 6) AS mean_sim, round(min(CASE WHEN matched = 1 THEN sim END), 6) AS low_sim, round(max(CASE WHEN matched = 1 THEN sim END), 6) AS high_sim FROM cw")
+def r14_match_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """How well the crosswalk matches: rows, matched rows, mean, least and most similarity."""
+    out = link.match_diagnostics(_crosswalk(spark, d))
+    return out.withColumns({c: r(c, 6) for c in ("mean_sim", "low_sim", "high_sim")})
+
+
+@_query("""WITH c AS (SELECT s_suppkey AS child, 1000000 + s_nationkey AS direct, n_regionkey AS parent, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+u AS (SELECT child AS entity, parent, s_name AS name, r_name AS parent_name FROM c UNION SELECT direct, parent, n_name, r_name FROM c), k AS (SELECT entity, min(parent) AS parent, min(name) AS name, min(parent_name) AS parent_name FROM u GROUP BY entity),
+p AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey WHEN l_linenumber % 3 = 0 THEN 1000000 + l_suppkey % 30 ELSE NULL END AS entity, l_quantity FROM lineitem)
+SELECT p.entity, parent, name, parent_name, count(*) AS n, sum(l_quantity) AS q FROM p LEFT JOIN k ON k.entity = p.entity GROUP BY ALL""")
+def j1_entity_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Positions to parents by a lookup of child ids united with direct ids; unknown ids stay without a parent."""
+    s, n, g, line = (_t(spark, d, t) for t in ("supplier", "nation", "region", "lineitem"))
+    companies = s.join(n, s.s_nationkey == n.n_nationkey).join(g, n.n_regionkey == g.r_regionkey).withColumn("direct", F.lit(1000000).cast("long") + F.col("s_nationkey"))
+    lookup = panel.entity_lookup(companies, "s_suppkey", "direct", {"parent": "n_regionkey", "name": "s_name", "parent_name": "r_name"}, {"parent": "n_regionkey", "name": "n_name", "parent_name": "r_name"})
+    entity = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).when(F.col("l_linenumber") % 3 == 0, 1000000 + F.col("l_suppkey") % 30)
+    rows = line.select(entity.alias("entity"), "l_quantity").groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    return panel.attach(rows, lookup, ["entity"]).select("entity", "parent", "name", "parent_name", "n", "q")
