@@ -11,14 +11,14 @@ from . import clean
 from .io import released, stable
 from .regress import quantiles
 
-#: Rows of a list's postings or of another small table that are sent to all executors at most; beyond that it is shuffled.
-BROADCAST_TERMS = 500_000
+#: The columns that name a term: 128 bits of hash, which sort and join faster than texts.
+TERM = ("t1", "t2")
 #: Levels of how common a term is: half octaves of the product of its frequencies in both lists, which fits 63 bits.
 LEVELS = 128
 
 
 def terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
-    """``key, term, tf``: words of two letters or digits and more without stop words, and pairs of neighbours.
+    """``key, t1, t2, tf``: words of two letters or digits and more without stop words, and pairs of neighbours, by ``TERM``.
 
     Texts are dealt by their key before they are cut, so that their terms are counted where they are.
     """
@@ -30,54 +30,45 @@ def terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str], bigrams
     rest = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
     all_terms = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))) if bigrams else F.col("w")
-    return df.select(key, F.explode(all_terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _few(df: DataFrame) -> bool:
-    return df.count() <= BROADCAST_TERMS
-
-
-def _sent(df: DataFrame) -> DataFrame:
-    """``df`` marked to go to all executors where it is counted to be small."""
-    return F.broadcast(df) if _few(df) else df
+    named = df.select(key, F.explode(all_terms).alias("term")).select(key, F.xxhash64("term").alias("t1"), F.xxhash64(F.lit(7), "term").alias("t2"))
+    return named.groupBy(key, *TERM).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_postings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``k0, term, w`` and ``k1, term, w``: the terms that both lists have, with weights of unit length over all of a row's terms.
+    """``k0, t1, t2, w`` and ``k1, t1, t2, w``: the terms that both lists have, with weights of unit length over all of a row's terms.
 
-    Smooth IDF is fitted on both lists. Each list's terms are counted once; a row's weights then meet again in one row, which
-    holds its length and its shared terms, so norms need no second pass over the terms.
+    Smooth IDF is fitted on both lists. Norms are sums over all terms; only the shared ones are kept.
     """
     lists = ((left, left_key), (right, right_key))
-    counted = [terms(df, key, text, stop_words, bigrams).select(F.lit(side).alias("side"), F.col(key).alias("key"), "term", "tf") for side, (df, key) in enumerate(lists)]
+    counted = [terms(df, key, text, stop_words, bigrams).select(F.lit(side).alias("side"), F.col(key).alias("key"), *TERM, "tf") for side, (df, key) in enumerate(lists)]
     kinds = [c.schema["key"].dataType for c in counted]
-    both = stable(counted[0].withColumn("key", F.col("key").cast("string")).unionAll(counted[1].withColumn("key", F.col("key").cast("string"))))
+    same = kinds[0] == kinds[1]
+    both = counted[0].unionAll(counted[1]) if same else counted[0].withColumn("key", F.col("key").cast("string")).unionAll(counted[1].withColumn("key", F.col("key").cast("string")))
+    both = stable(both)
     n = left.count() + right.count()
-    idf = both.groupBy("term").agg((F.log((1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"), (F.max("side") > F.min("side")).alias("shared"))
-    w = F.col("tf") * F.col("idf")
-    rows = both.join(idf, "term").groupBy("side", "key").agg(F.sqrt(F.sum(w * w)).alias("norm"), F.collect_list(F.when(F.col("shared"), F.struct("term", w.alias("w")))).alias("own"))
-    rows = stable(rows.where(F.size("own") > 0).select("side", "key", "norm", F.inline("own")))
-    return tuple(rows.where(F.col("side") == s).select(F.col("key").cast(kinds[s]).alias(f"k{s}"), "term", (F.col("w") / F.col("norm")).alias("w")) for s in (0, 1))
+    idf = both.groupBy(*TERM).agg((F.log((1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"), (F.max("side") > F.min("side")).alias("shared"))
+    opened = stable(both.join(idf, list(TERM)).select("side", "key", *TERM, "shared", (F.col("tf") * F.col("idf")).alias("w")))
+    norms = opened.groupBy("side", "key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    rows = stable(opened.where("shared").join(norms, ["side", "key"]).select("side", "key", *TERM, (F.col("w") / F.col("norm")).alias("w")))
+    return tuple(rows.where(F.col("side") == s).select(F.col("key").cast(kinds[s]).alias(f"k{s}"), *TERM, "w") for s in (0, 1))
 
 
 def tfidf_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> DataFrame:
     """``left_key, right_key, sim`` of all pairs that share a term: the non-zero cells of the whole matrix.
 
-    The list with fewer postings goes to all executors where it is small; else both meet by term.
+    Both meet by term; Spark sends a list to all executors where it has measured it to be small.
     """
     a, b = tfidf_postings(left, right, left_key, right_key, stop_words, text, bigrams)
-    b = b.withColumnRenamed("w", "w1")
-    sims = (a.join(F.broadcast(b), "term") if _few(b) else _sent(a).join(b, "term")).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("sim"))
+    sims = a.join(b.withColumnRenamed("w", "w1"), list(TERM)).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("sim"))
     return sims.withColumnsRenamed({"k0": left_key, "k1": right_key})
 
 
 def _levels(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both lists' postings with the ``level`` of their term: the more pairs it makes, the higher."""
-    n0, n1 = (x.groupBy("term").agg(F.count(F.lit(1)).alias(c)) for x, c in ((a, "n0"), (b, "n1")))
+    n0, n1 = (x.groupBy(*TERM).agg(F.count(F.lit(1)).alias(c)) for x, c in ((a, "n0"), (b, "n1")))
     level = F.least(F.floor(2 * F.log2(F.col("n0").cast("double") * F.col("n1"))), F.lit(LEVELS - 1)).cast("int")
-    table = stable(n0.join(n1, "term").select("term", level.alias("level")))
-    table = _sent(table)
-    return stable(a.join(table, "term")), stable(b.join(table, "term"))
+    table = stable(n0.join(n1, list(TERM)).select(*TERM, level.alias("level")))
+    return a.join(table, list(TERM)), stable(b.join(table, list(TERM)))
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, least: float | DataFrame) -> DataFrame:
@@ -91,7 +82,7 @@ def similar_pairs(a: DataFrame, b: DataFrame, least: float | DataFrame) -> DataF
     """
     a, b = _levels(a, b)
     if isinstance(least, DataFrame):
-        a = a.join(_sent(least.select("k0", F.col("least").alias("__least"))), "k0")
+        a = a.join(least.select("k0", F.col("least").alias("__least")), "k0")
     else:
         a = a.withColumn("__least", F.lit(float(least)))
     upward = lambda k: Window.partitionBy(k).orderBy(F.desc("level")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -103,23 +94,23 @@ def similar_pairs(a: DataFrame, b: DataFrame, least: float | DataFrame) -> DataF
     left_out = F.col("tail") * F.element_at(F.lit(reach), F.col("level") + 1) < F.col("__least") - 1e-9
     whole = Window.partitionBy("k0")
     a = stable(a.withColumns({"out": left_out, "cut": F.min(F.when(left_out, F.col("level"))).over(whole), "rest": F.max(F.when(left_out, F.col("tail"))).over(whole)}))
-    probes = a.where("not out").select("k0", "term", "w", "cut", "rest", "__least")
-    right = b.select("k1", "term", F.col("w").alias("w1"))
-    found = probes.join(_sent(right), "term").groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("part"), F.max("cut").alias("cut"), F.max("rest").alias("rest"), F.max("__least").alias("__least"))
+    probes = a.where("not out").select("k0", *TERM, "w", "cut", "rest", "__least")
+    right = b.select("k1", *TERM, F.col("w").alias("w1"))
+    found = probes.join(right, list(TERM)).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("part"), F.max("cut").alias("cut"), F.max("rest").alias("rest"), F.max("__least").alias("__least"))
     squares = b.groupBy("k1", "level").agg(F.sum(F.col("w") * F.col("w")).alias("q")).groupBy("k1").agg(F.collect_list(F.struct("level", "q")).alias("squares"))
     common = F.sqrt(F.aggregate(F.filter("squares", lambda x: x["level"] >= F.col("cut")), F.lit(0.0), lambda s, x: s + x["q"]))
-    open_ = found.join(_sent(squares), "k1").where(F.col("part") + F.coalesce(F.col("rest") * common, F.lit(0.0)) >= F.col("__least") - 1e-9)
+    open_ = found.join(squares, "k1").where(F.col("part") + F.coalesce(F.col("rest") * common, F.lit(0.0)) >= F.col("__least") - 1e-9)
     open_ = stable(open_.select("k0", "k1", "part", "cut", "__least"))
-    more = open_.where("cut is not null").select("k0", "k1", "cut").join(_sent(b.select("k1", "term", "level", F.col("w").alias("w1"))), "k1").where("level >= cut")
-    more = more.join(a.where("out").select("k0", "term", "w"), ["k0", "term"]).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("more"))
+    more = open_.where("cut is not null").select("k0", "k1", "cut").join(b.select("k1", *TERM, "level", F.col("w").alias("w1")), "k1").where("level >= cut")
+    more = more.join(a.where("out").select("k0", *TERM, "w"), ["k0", *TERM]).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("more"))
     sims = open_.join(more, ["k0", "k1"], "left").withColumn("sim", F.col("part") + F.coalesce("more", F.lit(0.0)))
     return sims.where(F.col("sim") >= F.col("__least") - 1e-9).select("k0", "k1", "sim")
 
 
 def _champions(a: DataFrame, b: DataFrame) -> DataFrame:
     """``k0, least``: a similarity that some right row surely has, from the heaviest posting of each term alone."""
-    top = b.groupBy("term").agg(F.max_by(F.struct("k1", "w"), F.struct("w", "k1")).alias("x")).select("term", "x.k1", F.col("x.w").alias("w1"))
-    part = a.join(_sent(stable(top)), "term").groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("s"))
+    top = b.groupBy(*TERM).agg(F.max(F.struct("w", "k1")).alias("x")).select(*TERM, "x.k1", F.col("x.w").alias("w1"))
+    part = a.join(top, list(TERM)).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("s"))
     return part.groupBy("k0").agg(F.max("s").alias("least"))
 
 
