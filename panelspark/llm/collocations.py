@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, load, materialise, partitions, release, released, slices, small_batches
 
 #: Shards of the corpus, each spread over many tasks. A phrase with the global support has a ``SHARDS``-th of it in one of them.
-SHARDS = 6
+SHARDS = 4
 SUPPORT, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Bytes of texts in one block; bytes of texts to each bucket of phrases and of blocks; Spark writes no more buckets of blocks than ``MOST_BUCKETS``.
 BLOCK, BUCKET, MOST_BUCKETS = 8_000_000, 32_000_000, 100_000
