@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .io import released, stable
+from .io import released, stable, verify
 
 NUMERIC = (T.NumericType,)
 
@@ -127,6 +127,12 @@ def status(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return r.select((F.col("n_rows") > 0).alias("has_rows"), F.lit(len(df.columns)).alias("n_columns"), (F.col("excess_rows") == 0).alias("key_ok"))
 
 
+def table_status(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """``status`` of a table on disk with ``files_ok`` from its manifest (``io.write_verified``); false where the write was not finished."""
+    checked = verify(spark, path, rows=False).select(F.coalesce(F.col("finished") & F.col("files_ok"), F.lit(False)).alias("files_ok"))
+    return checked.crossJoin(F.broadcast(status(spark.read.parquet(path), keys)))  # one row each
+
+
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``keys, variable, value``: a row for each column."""
     pairs = F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns))

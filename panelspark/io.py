@@ -34,6 +34,64 @@ def write_parquet(df: DataFrame, path: str, files: int | None = None) -> None:
     (df.repartition(files) if files else df).write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+#: Folder in a table's own folder that holds its manifest; readers of the table pass over it.
+MANIFEST = "_manifest"
+
+
+def _checksum() -> list:
+    """Row count and an order-free sum of row hashes, for ``agg``."""
+    return [F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.col("__h").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("checksum")]
+
+
+def _by_file(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``file, bytes, n_rows, checksum`` of a table that was read from files."""
+    return df.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.xxhash64(*columns).alias("__h")).groupBy("file", "bytes").agg(*_checksum())
+
+
+def write_verified(df: DataFrame, path: str, keys: Sequence[str] = (), files: int | None = None) -> None:
+    """``write_parquet``, then a manifest beside the data: bytes, rows and checksum of each file, and the table's distinct ``keys``.
+
+    The manifest is made from what is read back and written last, so a table without one is unfinished.
+    """
+    spark = df.sparkSession
+    write_parquet(df, path, files)
+    there = spark.read.parquet(path)
+    n_keys = there.select(*keys).distinct().count() if keys else None
+    manifest = _by_file(there, there.columns).withColumns({"columns": F.lit(there.schema.simpleString()), "keys": F.lit(",".join(keys)), "n_keys": F.lit(n_keys).cast("long")})
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MANIFEST}")
+
+
+def verify(spark: SparkSession, path: str, rows: bool = True) -> DataFrame:
+    """One row on a table and its manifest: ``finished, files_ok, rows_ok, keys_ok, files_expected, files_found, n_rows``.
+
+    ``files_ok``: the same files of the same bytes are there, from a listing alone. ``rows_ok``: rows and checksums of every file
+    agree, and ``keys_ok``: the keys are as many as were written, and rows no more; with ``rows`` false both are null and no row
+    is read. A table without a manifest is not finished, and nothing else of it is known.
+    """
+    names = "finished boolean, files_ok boolean, rows_ok boolean, keys_ok boolean, files_expected long, files_found long, n_rows long"
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MANIFEST}/_SUCCESS")
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([(False, None, None, None, None, None, None)], names)
+    manifest = spark.read.parquet(f"{path.rstrip('/')}/{MANIFEST}")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(path).select(F.col("_metadata.file_name").alias("file"), F.col("length").alias("found"))
+    listed = listed.where(F.col("file").endswith(".parquet"))
+    both = manifest.join(listed, "file", "full_outer")
+    files = both.agg(
+        (F.count_if(~(F.col("bytes").eqNullSafe(F.col("found")))) == 0).alias("files_ok"), F.count("bytes").alias("files_expected"), F.count("found").alias("files_found"),
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.max("keys").alias("keys"), F.max("n_keys").alias("n_keys"), F.max("columns").alias("columns"),
+    ).first()
+    rows_ok = keys_ok = None
+    if rows and files.files_ok:
+        there = spark.read.parquet(path)
+        now = _by_file(there, there.columns).select("file", F.col("n_rows").alias("rows_now"), F.col("checksum").alias("sum_now"))
+        # a file without rows is in neither
+        differs = F.count_if(~((F.col("n_rows").eqNullSafe(F.col("rows_now"))) & (F.col("checksum").eqNullSafe(F.col("sum_now")))))
+        rows_ok = manifest.where("n_rows > 0").join(now, "file", "full_outer").agg((differs == 0).alias("ok")).first().ok
+        keys = [k for k in (files.keys or "").split(",") if k]
+        keys_ok = there.select(*keys).distinct().count() == files.n_keys if keys else None
+    return spark.createDataFrame([(True, files.files_ok, rows_ok, keys_ok, files.files_expected, files.files_found, files.n_rows)], names)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Overwrite one CSV file with a header: for summary tables."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -292,6 +293,17 @@ def d8_status(spark: SparkSession, d: str) -> DataFrame:
     return audit.status(_t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@_query("SELECT true AS files_ok, count(*) > 0 AS has_rows, 3 AS n_columns, count(*) = count(DISTINCT (o_custkey, year(o_orderdate))) AS key_ok FROM (SELECT o_custkey, any_value(o_orderdate) AS o_orderdate FROM orders GROUP BY o_custkey, year(o_orderdate))")
+def d8_table_status(spark: SparkSession, d: str) -> DataFrame:
+    """A panel written with its manifest, read back and held against it: files, rows, columns, key."""
+    panel_ = _t(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    path = f"{io.shared_folder(spark)}/verified/{uuid.uuid4().hex}"
+    io.write_verified(panel_, path, ["o_custkey", "year"])
+    out = io.stable(audit.table_status(spark, path, ["o_custkey", "year"]))
+    io.delete(spark, path)
+    return out
+
+
 @_query(f"WITH {_FIRST} SELECT first_purchase AS day, count(*) AS adopters FROM f WHERE first_purchase IS NOT NULL GROUP BY 1")
 def d11_adoption_counts(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events").withColumn("day", F.to_date("ts"))

@@ -54,11 +54,29 @@ def r14_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 def r1_two_way_fe(spark: SparkSession, d: str) -> DataFrame:
     """Two-way within transform to convergence and cluster-robust errors (tested against dummies)."""
     t = regress.standardise(_t(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), "l_extendedprice", "l_quantity"), "l_quantity")
-    t = regress.residualise(t, ["l_extendedprice", "l_quantity"], ["l_suppkey"], ["year"])
+    t = regress.residualise_fast(t, ["l_extendedprice", "l_quantity"], ["l_suppkey"], ["year"])
     rows = regress.cluster_ols(t, "l_extendedprice", ["l_quantity"], "l_suppkey", constant=False)
     return regress.result_table(spark, rows).select("term", *(r(c).alias(c) for c in ("coef", "se", "low", "high", "r2")), "n", "clusters")
 
 
+@_query("""WITH p AS (SELECT s_nationkey AS parent, year(l_shipdate) AS year, avg(l_extendedprice) AS y, avg(l_quantity) AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+e AS (SELECT parent, year, y, x FROM (SELECT p.*, count(*) OVER (PARTITION BY parent) AS c FROM p) WHERE c = (SELECT count(DISTINCT year) FROM p)),
+d AS (SELECT parent, y - avg(y) OVER (PARTITION BY parent) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS y, x - avg(x) OVER (PARTITION BY parent) - avg(x) OVER (PARTITION BY year) + avg(x) OVER () AS x FROM e),
+b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, sum(y * y) AS tss, count(*) AS n FROM d), s AS (SELECT parent, sum(x * (y - b * x)) AS s, sum((y - b * x) * (y - b * x)) AS rss FROM d, b GROUP BY parent)
+SELECT 'x' AS term, round(any_value(b), 4) AS coef, round(sqrt(count(*) / (count(*) - 1.0) * (any_value(n) - 1) / (any_value(n) - 1) * sum(s * s)) / any_value(sxx), 4) AS se, round(1 - sum(rss) / any_value(tss), 6) AS r2, any_value(n) AS n, count(*) AS clusters,
+  (SELECT count(DISTINCT parent) + count(DISTINCT year) - 1 FROM e) AS degrees FROM s, b""")
+def r1_balanced_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Two-way effects on a balanced panel, where the within transform has a closed form, and the effects' degrees of freedom."""
+    line, s = _t(spark, d, "lineitem"), _t(spark, d, "supplier")
+    p = line.join(s, line.l_suppkey == s.s_suppkey).groupBy(F.col("s_nationkey").alias("parent"), F.year("l_shipdate").alias("year")).agg(F.avg("l_extendedprice").alias("y"), F.avg("l_quantity").alias("x"))
+    p = io.stable(p)
+    whole = p.groupBy("parent").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == p.select("year").distinct().count()).select("parent")
+    p = io.stable(p.join(whole, "parent", "left_semi"))
+    within = regress.residualise_fast(p, ["y", "x"], ["parent"], ["year"])
+    out = regress.result_table(spark, regress.cluster_ols(within, "y", ["x"], "parent", constant=False))
+    return out.select("term", r("coef").alias("coef"), r("se").alias("se"), r("r2", 6).alias("r2"), "n", "clusters", F.lit(regress.effect_degrees(p, ["parent"], ["year"])).cast("long").alias("degrees"))
+
+
 @_query("WITH b AS (SELECT quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.99) AS hi FROM lineitem), w AS (SELECT l_returnflag, least(greatest(l_extendedprice, lo), hi) AS y FROM lineitem, b) SELECT l_returnflag, round(avg(y), 2) AS mean, round(min(y), 2) AS low, round(max(y), 2) AS high FROM w GROUP BY 1")
 def r4_winsorise(spark: SparkSession, d: str) -> DataFrame:
     """Clipping at exact quantiles."""
@@ -107,11 +125,12 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def r11_robustness_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Two-way estimates over named samples, outcomes, indices, plain and winsorised (tested against dummies)."""
+    """Two-way estimates over named samples, outcomes, indices, plain and winsorised (tested against dummies), and the views that each is in."""
     cells = panel.attach(_cells(spark, d), _index(spark, d), ["occ"]).withColumns({"log_n": clean.log_positive(F.col("n_workers")), "log_q": clean.log_positive(F.col("q")), "industry": F.pmod("parent", F.lit(5))})
-    rows = regress.robustness_grid(cells, ["log_q"], "n_workers", ["visibility_composite"], ["log_n"], ["industry"], ["year"], "parent")
+    rows = regress.robustness_grid(cells, ["log_q", "q"], "n_workers", ["visibility_composite", "visibility_group_a"], ["log_n"], ["industry"], ["year"], "parent")
     out = regress.result_table(spark, rows)
-    return out.select("sample", "outcome", "index_name", "winsorised", "term", *(r(c, 6).alias(c) for c in ("coef", "se", "low", "high", "r2")), "n", "clusters")
+    views = (F.when(c, F.lit(name)) for name, c in regress.slice_conditions("n_workers", "visibility_composite").items())
+    return out.withColumn("views", F.concat_ws(",", *views)).select("sample", "outcome", "index_name", "winsorised", "term", "views", *(r(c, 6).alias(c) for c in ("coef", "se", "low", "high", "r2")), "n", "clusters")
 
 
 @_query(f"""WITH {_INDEX}, c AS (SELECT s_nationkey AS parent, p_brand || '|' || p_type AS occ, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n_workers FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL), j AS (SELECT * FROM c LEFT JOIN idx USING (occ))
