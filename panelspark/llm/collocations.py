@@ -19,7 +19,7 @@ from .common import bucketed, load, materialise, partitions, release, released,
 SHARDS = 4
 SUPPORT, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Bytes of texts in one block; bytes of texts to each bucket of phrases and of blocks; Spark writes no more buckets of blocks than ``MOST_BUCKETS``.
-BLOCK, BUCKET, MOST_BUCKETS = 8_000_000, 32_000_000, 100_000
+BLOCK, BUCKET, MOST_BUCKETS = 4_000_000, 16_000_000, 100_000
 NO_LANG = "und"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 #: What each byte does: 0 belongs to a word, 1 parts words, 2 parts pieces.
@@ -46,10 +46,10 @@ def words_of(texts: pa.Array) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     begin[heads] = inside[heads]
     starts = np.nonzero(begin)[0]
     row = np.searchsorted(offsets, starts, side="right") - 1
-    piece = np.cumsum(kind == 2)[starts] if len(starts) else np.zeros(0, np.int64)
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int64)
     same = np.zeros(len(starts), bool)
     same[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
-    kept = np.concatenate([[0], np.cumsum(inside)])
+    kept = np.concatenate([np.zeros(1, np.int32), np.cumsum(inside, dtype=np.int32)])
     bounds = np.concatenate([kept[starts], kept[-1:]]).astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[inside]))
     return words, row, same
@@ -73,7 +73,10 @@ def _pack(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
         lexicon = packer.compress("\n".join(known.dictionary.to_pylist()).encode())
         columns = [[(task << 32) + made], [(task + made) % shards], [langs.dictionary.to_pylist()], [lexicon], [body]]
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "shard", "langs", "words", "body"])
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "shard", "langs", "words", "body"])
+        del words, row, same, known, code, lang, body, lexicon, columns
+        release()
+        yield out
         made += 1
 
 
@@ -140,6 +143,7 @@ def mined(t: pa.Table, support: int) -> pa.Table:
     union = np.unique(np.concatenate(frequent))
     kept = [p[np.isin(p, union, assume_unique=True)].tobytes() for p in parts]
     some = pa.array([i for i, k in enumerate(kept) if k], pa.int64())
+    release()
     return pa.table({"block": t.column("block").take(some), "bucket": t.column("bucket").take(some), "hashes": pa.array([k for k in kept if k], pa.binary())})
 
 
