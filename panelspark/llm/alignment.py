@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 from collections.abc import Callable, Iterator
 
@@ -71,10 +72,12 @@ class _PieceTokens:
             self.held, new = 0, words
         for at in range(0, len(new), 10_000):
             own = new[at : at + 10_000]
-            for w, ids in zip(own, self.model.encode(own, num_threads=1), strict=True):
-                self.led[w] = np.array(ids, "<u4").tobytes()
-                self.held += 4 * len(ids) + len(w) + 150
-        return [self.led[w] for w in words]
+            ids = self.model.encode(own, num_threads=1)
+            ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+            raw = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
+            self.led.update(zip(own, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            self.held += len(raw) + sum(map(len, own)) + 150 * len(own)
+        return list(map(self.led.__getitem__, words))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text), "<u4").tobytes()
@@ -89,24 +92,30 @@ def _tokenizers(a: str, b: str) -> tuple[_ByteTokens, _PieceTokens, pa.Array]:
     return x, y, pa.array([s + str(i) for s in _BEFORE for i in range(n)], pa.large_string())
 
 
-def _token_lists(texts: pa.Array, store, apart: bool) -> pa.LargeListArray:
-    """Ids of a space and each text, one list a text. Texts of plain single spaces are cut there, each new word is encoded once."""
+def _token_lists(texts: pa.Array, stores: list, apart: bool) -> list[pa.LargeListArray]:
+    """Ids of a space and each text by each tokenizer, one list a text.
+
+    Texts of plain single spaces are cut there, once for all tokenizers, and each new word is encoded once; others go whole.
+    """
     odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if apart else np.ones(len(texts), bool)
-    out: list[bytes] = [b""] * len(texts)
-    for i in np.nonzero(odd)[0].tolist():
-        out[i] = store.whole(texts[i].as_py())
-    plain = np.nonzero(~odd)[0]
-    if len(plain):
-        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        known = parts.flatten().dictionary_encode()
-        table = pa.array(store.words(known.dictionary.to_pylist()), pa.large_binary())
-        taken = table.take(known.indices)
-        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()].tolist()
-        raw = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-        for i, s, e in zip(plain.tolist(), ends, ends[1:]):
-            out[i] = raw[s:e]
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int64)
-    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<u4").astype(np.int64)))
+    plain, lists = np.nonzero(~odd)[0], []
+    parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+    offsets = parts.offsets.to_numpy().astype(np.int64) - (parts.offsets[0].as_py() if len(plain) else 0)
+    known = parts.flatten().dictionary_encode()
+    words = known.dictionary.to_pylist()
+    for store in stores:
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.nonzero(odd)[0].tolist():
+            out[i] = store.whole(texts[i].as_py())
+        if len(plain):
+            taken = pa.array(store.words(words), pa.large_binary()).take(known.indices)
+            ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1)[offsets].tolist()
+            raw = memoryview(taken.buffers()[2] or b"")
+            for i, s, e in zip(plain.tolist(), ends, ends[1:]):
+                out[i] = raw[s:e]
+        starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int64)
+        lists.append(pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(out), "<u4").astype(np.int64))))
+    return lists
 
 
 def _spelled(lists: pa.LargeListArray, table: list[bytes], texts: list[bytes]) -> np.ndarray:
@@ -127,7 +136,7 @@ class Aligned:
     def __init__(self, texts: pa.Array, a_path: str, b_path: str):
         a, b, self._names = _tokenizers(a_path, b_path)
         raw = texts.fill_null("")
-        lists = [_token_lists(raw, a, True), _token_lists(raw, b, b.apart)]
+        lists = _token_lists(raw, [a, b], b.apart)
         encoded = raw.cast(pa.binary()).to_pylist()
         good = np.array([bool(t) for t in encoded], bool)
         for side, store in zip(lists, (a, b), strict=True):
