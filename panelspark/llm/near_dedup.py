@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import comb
 
 import numpy as np
@@ -12,24 +13,45 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import among, connected_components, load, materialise, slices, small_batches
+from .common import among, connected_components, load, materialise, released, slices, small_batches
 
-#: A signature has CHUNKS x VALUES minhash values of 16 bits. A pair with up to 2 * CHUNKS - 1 different values has
-#: a chunk with at most one error (pigeonhole), and each chunk is indexed once for every place where that error may be.
-CHUNKS, VALUES = 10, 5
-_K = CHUNKS * VALUES
-#: Chance that a pair right at the similarity bound has more different values than ``signature_distance`` allows.
+#: Chance that a pair right at the similarity bound has more different values than ``Scheme.distance`` allows.
 MISS = 1e-6
-_MULTIPLIERS = np.random.default_rng(2024).integers(1, 2**63, _K, dtype=np.uint64) | np.uint64(1)
+#: Members of a rare shingle's main component that all its other members are compared with, before those still apart are paired.
+CENTRES = 8
+_MULTIPLIERS = np.random.default_rng(2024).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
-def signature_distance(percent: int) -> int:
-    """Most different values of a pair that is still looked at: beyond it is at most ``MISS`` of the pairs at the bound."""
-    p, tail, d = 1 - percent / 100, 0.0, _K
-    while d and (tail := tail + comb(_K, d) * p**d * (1 - p) ** (_K - d)) <= MISS:
-        d -= 1
-    return d
+@dataclass(frozen=True)
+class Scheme:
+    """A signature of ``chunks`` x ``values`` minhash values of 16 bits, and the most different values of a pair that is looked at.
+
+    A pair with up to ``2 * chunks - 1`` different values has a chunk with at most one error (pigeonhole), and each chunk
+    is indexed once for every place where that error may be: all pairs within ``distance`` share a key.
+    """
+
+    chunks: int
+    values: int
+    distance: int
+
+    @property
+    def size(self) -> int:
+        return self.chunks * self.values
+
+
+def scheme(percent: int) -> Scheme:
+    """The scheme with the longest chunks and then the fewest of them whose guarantee reaches the distance that a similarity of ``percent`` asks for."""
+    p = 1 - percent / 100
+    for values in (4, 3, 2):
+        for chunks in range(4, 65 // values):
+            k, tail = chunks * values, 0.0
+            d = k
+            while d and (tail := tail + comb(k, d) * p**d * (1 - p) ** (k - d)) <= MISS:
+                d -= 1
+            if d <= 2 * chunks - 1:
+                return Scheme(chunks, values, d)
+    raise ValueError(f"no signature of 64 values and less for a similarity of {percent} %")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -70,36 +92,36 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _minhashes(s: np.ndarray) -> np.ndarray:
-    low = np.full(_K, np.iinfo(np.uint64).max, np.uint64)
+def _minhashes(s: np.ndarray, size: int) -> np.ndarray:
+    low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 1024):  # long texts in blocks
-        low = np.minimum(low, (s[at : at + 1024, None] * _MULTIPLIERS).min(axis=0))
+        low = np.minimum(low, (s[at : at + 1024, None] * _MULTIPLIERS[:size]).min(axis=0))
     return _mixed(low) >> np.uint64(48)
 
 
-def _keys(values: np.ndarray) -> np.ndarray:
+def _keys(values: np.ndarray, kind: Scheme) -> np.ndarray:
     """One key for each chunk and each place in it that is left out, of each row of signature values."""
-    chunks = values.reshape(-1, CHUNKS, VALUES)
+    chunks = values.reshape(-1, kind.chunks, kind.values)
     out = np.empty(chunks.shape, np.uint64)
-    for j in range(VALUES):
-        packed = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(VALUES) + np.uint64(j + 1) + np.zeros(chunks.shape[:2], np.uint64)
-        for k in range(VALUES):
+    for j in range(kind.values):
+        packed = np.arange(kind.chunks, dtype=np.uint64) * np.uint64(kind.values) + np.uint64(j + 1) + np.zeros(chunks.shape[:2], np.uint64)
+        for k in range(kind.values):
             if k != j:
                 packed = _mixed(packed * np.uint64(0x9E3779B97F4A7C15) ^ chunks[:, :, k])
         out[:, :, j] = packed
-    return out.reshape(len(values), _K).view(np.int64)
+    return out.reshape(len(values), kind.size).view(np.int64)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, kind: Scheme) -> DataFrame:
     """``doc_id, n_shingles, set_hash, keys, sig`` of each document; no keys and a null hash and signature for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             sets = shingle_sets(batch.column(1), width)
             n = np.array([len(s) for s in sets], np.int64)
-            values = np.array([_minhashes(s) for s in sets], np.uint64).reshape(-1, _K)
+            values = np.array([_minhashes(s, kind.size) for s in sets], np.uint64).reshape(-1, kind.size)
             full = n > 0
-            keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * _K)]).astype(np.int32), pa.array(_keys(values)[full].ravel()))
+            keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * kind.size)]).astype(np.int32), pa.array(_keys(values, kind)[full].ravel()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(n), pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), keys,
@@ -114,14 +136,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 def _near(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Those pairs ``a, b`` whose signatures differ in few enough values and whose set sizes allow the similarity."""
-    most = signature_distance(percent)
+    kind = scheme(percent)
     a, b = (signed.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").where(f"{percent} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)").select("a", "b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, _K) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= most))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, kind.size) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= kind.distance))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -157,14 +179,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _sharing_rare(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that share a rare shingle, as all pairs over the similarity bound do.
+def _rare(sets: DataFrame, percent: int) -> DataFrame:
+    """``shingle, doc_id, n, most``: the shingles by which all pairs over the similarity bound can be found.
 
     The shingles of a set are put in order of how many of these sets hold them. Two sets of ``n`` and ``m`` shingles
     over the bound have ``o = ceil(t (n + m) / (1 + t))`` in common, so the first ``n - o + 1`` of the one and the first
     ``m - o + 1`` of the other share one. A shingle's place in its set thus bounds the size of the other set, ``most``.
-    So documents that share a core and differ in more than the bound allows do not meet, whatever their number. Of a
-    shingle that many hold, the members of its most frequent component are not paired with each other.
+    So documents that share a core and differ in more than the bound allows do not meet, whatever their number.
     """
     t = percent
     long = materialise(sets.select("doc_id", "shingles").mapInArrow(_unpacked, "doc_id long, n long, shingle long"))
@@ -173,13 +194,28 @@ def _sharing_rare(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     rank = F.row_number().over(whole.orderBy("df", "shingle")) + F.col("n") - F.count(F.lit(1)).over(whole)
     ranked = long.join(held, "shingle").withColumn("rank", rank)
     most = F.floor((F.col("n") - F.col("rank") + 1) * (100 + t) / t) - F.col("n")
-    first = ranked.select("shingle", "doc_id", "n", most.alias("most")).where(f"100 * most >= {t} * n")
-    first = materialise(first.join(comp, "doc_id"))
+    first = materialise(ranked.select("shingle", "doc_id", "n", most.alias("most")).where(f"100 * most >= {t} * n"))
     bound = first.groupBy("shingle").agg(F.min("n").alias("least"), F.max("most").alias("far"))
-    kept = first.join(bound, "shingle").where("most >= least and n <= far").drop("least", "far")
-    of = kept.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
-    of = of.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1").select("shingle", "main")
-    open_ = kept.join(of, "shingle")
+    return first.join(bound, "shingle").where("most >= least and n <= far").drop("least", "far")
+
+
+def _open(rare: DataFrame, comp: DataFrame) -> DataFrame:
+    """The shingles that members of several components hold, with the component ``main`` that most of them are of and ``CENTRES`` of its members."""
+    kept = materialise(rare.join(comp, "doc_id"))
+    of = kept.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"), *(F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id")).getField("doc_id").alias(f"c{i}") for i in range(CENTRES)))
+    of = of.withColumn("centres", F.array_distinct(F.array(*(f"c{i}" for i in range(CENTRES)))))
+    of = of.groupBy("shingle").agg(F.count(F.lit(1)).alias("comps"), F.max_by(F.struct(F.col("comp").alias("main"), "centres"), F.struct("k", "comp")).alias("x")).where("comps > 1")
+    return kept.join(of.select("shingle", "x.*"), "shingle")
+
+
+def _centred(open_: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of each member outside its shingle's main component with a few members of that, drawn by a hash."""
+    found = open_.where("comp <> main").select(F.col("doc_id").alias("x"), F.explode("centres").alias("y"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _sharing_rare(open_: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different components that share a rare shingle, as all pairs over the similarity bound do; those within the main component are left out."""
     a, b = (open_.select("shingle", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("most").alias(f"most_{x}"), F.col("comp").alias(f"comp_{x}"), "main") for x in "ab")
     found = a.where("comp_a <> main").drop("main").join(b.drop("main"), "shingle").where("comp_a <> comp_b and n_a <= most_b and n_b <= most_a")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -202,39 +238,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     ``width``-word shingles; null and empty texts have none and link with nothing. Equal sets are one class before
     anything is joined, whatever their number. Classes that share a key are held against the key's least class; what is
     linked by then is one component. Where a key has further classes of different components, these are paired only
-    if they also share a rare shingle (``_sharing_rare``), which loses no link. All
+    if they also share a rare shingle (``_rare``), which loses no link: first with a few members of the shingle's main component, so
+    that most of a large group is one component, then all that are still apart (``_sharing_rare``). All
     pairs must have near signatures and are then confirmed on their full sets. Rows of one ``doc_id`` are returned one by
     one, each with the component of its own text; rows without ``doc_id`` link with nothing and have no component. Other
     columns are ignored; an empty table gives an empty result.
     """
-    signed = materialise(signatures(docs, width))
-    classes = materialise(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
-        .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("keys", "sig", "n_shingles"), "doc_id").alias("x")).select("set_hash", "doc_id", "x.*")
-    )
-    keyed = classes.select(F.explode("keys").alias("key"), "doc_id")
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialise(keyed.join(buckets, "key"))
-
-    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        close = materialise(_near(pairs, classes, percent))
-        if sets is None:
-            sets = _sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
-        return materialise(_confirmed(close, sets, percent))
-
-    links = linked(members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
-    #: Of keys of three classes and more those that are not the least are not compared with each other yet.
-    comp = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
-    inner = members.where("size > 2 and doc_id <> low").join(comp, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    inner = materialise(inner)
-    open_keys = inner.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    rest = materialise(inner.join(open_keys, "key").select("doc_id", "comp").distinct())
-    sets = _sets(docs, rest.select("doc_id"), width)
-    more = linked(_sharing_rare(sets, rest, percent), sets)
-    comp = connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "doc_id")
-    moved = classes.select("set_hash", "doc_id").join(comp, "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(moved, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    with released(docs.sparkSession):
+        signed = materialise(signatures(docs, width, scheme(percent)))
+        classes = materialise(
+            signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash")
+            .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("keys", "sig", "n_shingles"), "doc_id").alias("x")).select("set_hash", "doc_id", "x.*")
+        )
+        keyed = classes.select(F.explode("keys").alias("key"), "doc_id")
+        buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = materialise(keyed.join(buckets, "key"))
+
+        def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+            close = materialise(_near(pairs, classes, percent))
+            if sets is None:
+                sets = _sets(docs, close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
+            return materialise(_confirmed(close, sets, percent))
+
+        links = linked(members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
+        #: Of keys of three classes and more those that are not the least are not compared with each other yet.
+        comp = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
+        inner = members.where("size > 2 and doc_id <> low").join(comp, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        inner = materialise(inner)
+        open_keys = inner.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+        rest = materialise(inner.join(open_keys, "key").select("doc_id", "comp").distinct())
+        sets = _sets(docs, rest.select("doc_id"), width)
+        rare = materialise(_rare(sets, percent))
+        links = links.unionByName(linked(_centred(_open(rare, rest)), sets))
+        comp = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
+        rest = materialise(rest.select("doc_id").join(comp, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp")))
+        links = links.unionByName(linked(_sharing_rare(_open(rare, rest)), sets))
+        comp = connected_components(links, "a", "b").withColumnRenamed("node", "doc_id")
+        moved = classes.select("set_hash", "doc_id").join(comp, "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
+        out = signed.select("doc_id", "n_shingles", "set_hash").join(moved, "set_hash", "left")
+        return materialise(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), keep=True)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

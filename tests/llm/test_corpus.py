@@ -96,15 +96,27 @@ def test_signature_recall():
     """Of pairs right at the bound almost none differs in more values than is looked at or shares no key."""
     rng = np.random.default_rng(4)
     for percent in (80, 85):
-        most, met = near_dedup.signature_distance(percent), 0
+        kind, met = near_dedup.scheme(percent), 0
         for _ in range(300):
             common = rng.integers(0, 2**63, 4 * percent, dtype=np.uint64)
             x, y = (np.concatenate([common, rng.integers(0, 2**63, 2 * (100 - percent), dtype=np.uint64)]) for _ in range(2))
-            a, b = near_dedup._minhashes(np.unique(x)), near_dedup._minhashes(np.unique(y))
-            met += (a != b).sum() <= most and bool(set(near_dedup._keys(a[None])[0]) & set(near_dedup._keys(b[None])[0]))
+            a, b = near_dedup._minhashes(np.unique(x), kind.size), near_dedup._minhashes(np.unique(y), kind.size)
+            met += (a != b).sum() <= kind.distance and bool(set(near_dedup._keys(a[None], kind)[0]) & set(near_dedup._keys(b[None], kind)[0]))
         assert met == 300
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 95])
+def test_index_at_the_exact_distance(percent):
+    """Any two signatures with exactly as many different values as are looked at share a key, also where the errors are spread evenly."""
+    kind, rng = near_dedup.scheme(percent), np.random.default_rng(6)
+    assert kind.distance <= 2 * kind.chunks - 1
+    for n in range(200):
+        a = rng.integers(0, 1 << 16, kind.size).astype(np.uint64)
+        b, order = a.copy(), rng.permutation(kind.size) if n % 2 else np.arange(kind.size).reshape(kind.chunks, kind.values).T.ravel()
+        b[order[: kind.distance]] += np.uint64(1 << 16)
+        assert (a != b).sum() == kind.distance and set(near_dedup._keys(a[None], kind)[0]) & set(near_dedup._keys(b[None], kind)[0])
+
+
 def test_suffix_dedup(docs):
     seen, expected = set(), {}
     for i, text, *_ in DOCS:
