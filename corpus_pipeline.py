@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import language_id, near_dedup, packing, suffix_dedup
-from panelspark.llm.common import among, load, materialise
+from panelspark.llm.common import among, load, materialise, released
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +30,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     without ``doc_id`` only where no other is there, then the least by a hash of all columns; rows equal in all are
     interchangeable.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
-    groups = materialise(groups.select(F.col("doc_id").alias("__row"), "component_id"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
-    ordered = rows.select("__row", order.alias("__order")).join(groups, "__row")
-    kept = ordered.groupBy("component_id").agg(F.min("__order").getField("__row").alias("__kept"))
-    gone = materialise(groups.join(kept, "component_id").where("__row <> __kept").select("__row"))
+    with released(spark):  # what grouping the rows wrote goes before the next stage begins
+        rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), keep=True)
+        groups = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+        groups = groups.select(F.col("doc_id").alias("__row"), "component_id")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
+        ordered = rows.select("__row", order.alias("__order")).join(groups, "__row")
+        kept = ordered.groupBy("component_id").agg(F.min("__order").getField("__row").alias("__kept"))
+        gone = materialise(groups.join(kept, "component_id").where("__row <> __kept").select("__row"), keep=True)
     return among(rows, gone, "__row", inside=False).select(*docs.columns)
 
 
@@ -66,8 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again."""
     docs = load(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialise(docs)
+    for _, stage in STAGES:
+        with released(spark):  # frees what a stage wrote besides its result
+            docs = materialise(stage(spark, docs, sf_dir), keep=True)
     return docs
