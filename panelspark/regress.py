@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -227,6 +228,89 @@ def result_slices(results: DataFrame, treatment: str, index: str = "composite",
     return {name: results.where(c) for name, c in slice_conditions(treatment, index, sample).items()}
 
 
+@dataclass(frozen=True)
+class Model:
+    """One least-squares fit: outcome, regressors, whether it has a constant, absorbed dummies, the outcome before demeaning.
+
+    ``scale`` multiplies a regressor, as standardising does; ``names`` gives terms other names than their columns.
+    """
+
+    y: str
+    x: Sequence[str]
+    constant: bool = True
+    extra_k: int = 0
+    raw_y: str | None = None
+    scale: Mapping[str, float] = field(default_factory=dict)
+    names: Mapping[str, str] = field(default_factory=dict)
+
+
+def fit_models(df: DataFrame, models: Sequence[Model], cluster: str) -> list[list[dict]]:
+    """Several ``cluster_ols`` over the same complete rows: one aggregate for all X'X and X'y, one for all clusters' scores, one for their products.
+
+    ``df`` is read twice and should be a written table of doubles.
+    """
+    cell = lambda a, b: F.sum(_col(a) * _col(b))
+    jobs, parts = [], [F.count(F.lit(1))]
+
+    def ask(c) -> int:
+        parts.append(c)
+        return len(parts) - 1
+
+    for m in models:
+        terms, raw = ["__one"] * m.constant + list(m.x), m.raw_y or m.y
+        pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+        jobs.append({
+            "terms": terms, "pairs": pairs, "raw": [ask(c) for c in (F.avg(raw), F.stddev_samp(raw), F.sum(F.col(raw) * F.col(raw)))],
+            "spread": {t: (ask(F.stddev_pop(t)), ask(F.max(F.abs(F.col(t))))) for t in m.x}, "xx": [ask(cell(terms[i], terms[j])) for i, j in pairs], "xy": [ask(cell(t, m.y)) for t in terms],
+        })
+    got = df.agg(*(c.alias(f"c{i}") for i, c in enumerate(parts))).first()
+    n, sums, rows = got[0], [], {}
+    for k, (m, job) in enumerate(zip(models, jobs, strict=True)):
+        own = [i for i, t in enumerate(job["terms"]) if t == "__one" or got[job["spread"][t][0]] and got[job["spread"][t][0]] > 1e-10 * got[job["spread"][t][1]]]
+        xx = np.zeros((len(job["terms"]),) * 2)
+        for (i, j), at in zip(job["pairs"], job["xx"], strict=True):
+            xx[i, j] = xx[j, i] = got[at] or 0.0
+        job["own"], job["inverse"] = own, np.linalg.pinv(xx[np.ix_(own, own)]) if own else np.zeros((0, 0))
+        job["beta"] = job["inverse"] @ np.array([got[job["xy"][i]] or 0.0 for i in own])
+        if not n or not own:
+            continue
+        u = F.col(m.y) - sum((F.lit(float(v)) * _col(job["terms"][i]) for v, i in zip(job["beta"], own, strict=True)), F.lit(0.0))
+        rows |= {f"__u{k}": u}
+        sums += [F.sum(_col(job["terms"][i]) * F.col(f"__u{k}")).alias(f"__s{k}_{i}") for i in own] + [F.sum(F.col(f"__u{k}") * F.col(f"__u{k}")).alias(f"__e{k}")]
+    meats = None
+    if sums:
+        scores = df.withColumns(rows).groupBy(cluster).agg(*sums)
+        products = [F.sum(F.col(f"__s{k}_{i}") * F.col(f"__s{k}_{j}")).alias(f"m{k}_{i}_{j}") for k, job in enumerate(jobs) for i in job["own"] for j in job["own"] if i <= j and f"__u{k}" in rows]
+        meats = scores.agg(F.count(F.lit(1)).alias("g"), *products, *(F.sum(f"__e{k}").alias(f"e{k}") for k in range(len(models)) if f"__u{k}" in rows)).first()
+    return [_estimates(m, job, n, got, meats, k) for k, (m, job) in enumerate(zip(models, jobs, strict=True))]
+
+
+def _col(term: str) -> Column:
+    return F.lit(1.0) if term == "__one" else F.col(term)
+
+
+def _estimates(m: Model, job: dict, n: int, got, meats, k: int) -> list[dict]:
+    """A row for each term of one model from the sums of ``fit_models``."""
+    own, terms, inverse = job["own"], job["terms"], job["inverse"]
+    mean, sd, square = (got[i] for i in job["raw"])
+    blank = {"coef": None, "se": None, "p": None, "low": None, "high": None, "n": n, "clusters": None, "r2": None, "y_mean": mean, "y_sd": sd}
+    found = {}
+    if n and own:
+        meat = np.array([[meats[f"m{k}_{min(i, j)}_{max(i, j)}"] for j in own] for i in own])
+        g, rss, dof = meats["g"], meats[f"e{k}"], n - len(m.x) - m.constant - m.extra_k
+        factor = g / (g - 1) * (n - 1) / dof if g > 1 and dof > 0 else float("nan")
+        se = np.sqrt(np.maximum(np.diag(factor * inverse @ meat @ inverse), 0))
+        tss = (sd or 0.0) ** 2 * (n - 1) if m.constant or m.raw_y else square
+        r2 = 1 - rss / tss if tss else None
+        for i, b, e in zip(own, map(float, job["beta"]), map(float, se), strict=True):
+            unit = m.scale.get(terms[i], 1.0)
+            b, e = b * unit, e * unit
+            p = math.erfc(abs(b / e) / math.sqrt(2)) if e > 0 else None
+            found[i] = {"coef": b, "se": e, "p": p, "low": b - 1.96 * e, "high": b + 1.96 * e, "n": n, "clusters": g, "r2": r2, "y_mean": mean, "y_sd": sd}
+        blank |= {"clusters": g, "r2": r2}
+    return [{"term": "const" if t == "__one" else m.names.get(t, t), **found.get(i, blank)} for i, t in enumerate(terms)]
+
+
 def cluster_ols(df: DataFrame, y: str, x: Sequence[str], cluster: str, constant: bool = True, extra_k: int = 0, raw_y: str | None = None) -> list[dict]:
     """OLS with cluster-robust (CR1) errors: one aggregate for X'X and X'y, one for the clusters' scores.
 
@@ -236,58 +320,41 @@ def cluster_ols(df: DataFrame, y: str, x: Sequence[str], cluster: str, constant:
     """
     raw = raw_y or y
     df = scrub(df.select(cluster, *(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*x, y, raw]))), [*x, y])
-    df = stable(df.withColumn("__one", F.lit(1.0)))
-    spread = df.agg(F.count(F.lit(1)), F.avg(raw), F.stddev_samp(raw), F.sum(F.col(raw) * F.col(raw)), *(c for t in x for c in (F.stddev_pop(t), F.max(F.abs(t))))).first()
-    n, mean, sd = spread[:3]
-    own = [t for i, t in enumerate(x) if spread[4 + 2 * i] and spread[4 + 2 * i] > 1e-10 * spread[5 + 2 * i]]
-    terms = ["__one"] * constant + own
-    k, counted = len(terms), len(x) + constant + extra_k
-    blank = {"coef": None, "se": None, "p": None, "low": None, "high": None, "n": n, "clusters": None, "r2": None, "y_mean": mean, "y_sd": sd}
-    if not n or not k:
-        return [{"term": t, **blank} for t in ["const"] * constant + list(x)]
-    cell = lambda a, b: F.sum(F.col(a) * F.col(b))
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    s = df.agg(*(cell(terms[i], terms[j]) for i, j in pairs), *(cell(t, y) for t in terms)).first()
-    xx = np.zeros((k, k))
-    for (i, j), v in zip(pairs, s[: len(pairs)], strict=True):
-        xx[i, j] = xx[j, i] = v
-    inverse = np.linalg.pinv(xx)
-    beta = inverse @ np.array(s[len(pairs) :])
-    u = F.col(y) - sum((F.lit(float(b)) * F.col(t) for b, t in zip(beta[1:], terms[1:], strict=True)), F.lit(float(beta[0])) * F.col(terms[0]))
-    scores = df.withColumn("__u", u).groupBy(cluster).agg(*(cell(t, "__u").alias(f"__s{i}") for i, t in enumerate(terms)), F.sum(F.col("__u") * F.col("__u")).alias("__rss"))
-    m = scores.agg(*(cell(f"__s{i}", f"__s{j}") for i, j in pairs), F.count(F.lit(1)), F.sum("__rss")).first()
-    meat = np.zeros((k, k))
-    for (i, j), v in zip(pairs, m[: len(pairs)], strict=True):
-        meat[i, j] = meat[j, i] = v
-    g, rss = m[len(pairs) :]
-    dof = n - counted
-    factor = g / (g - 1) * (n - 1) / dof if g > 1 and dof > 0 else float("nan")
-    se = np.sqrt(np.maximum(np.diag(factor * inverse @ meat @ inverse), 0))
-    tss = (sd or 0.0) ** 2 * (n - 1) if constant or raw_y else spread[3]
-    r2 = 1 - rss / tss if tss else None
-    found = {}
-    for t, b, e in zip(terms, map(float, beta), map(float, se), strict=True):
-        p = math.erfc(abs(b / e) / math.sqrt(2)) if e > 0 else None
-        found[t] = {"coef": b, "se": e, "p": p, "low": b - 1.96 * e, "high": b + 1.96 * e, "n": n, "clusters": g, "r2": r2, "y_mean": mean, "y_sd": sd}
-    blank |= {"clusters": g, "r2": r2}
-    return [{"term": "const" if t == "__one" else t, **found.get(t, blank)} for t in ["__one"] * constant + list(x)]
+    return fit_models(stable(df), [Model(y, x, constant, extra_k, raw_y)], cluster)[0]
+
 
+def fe_ols_specs(df: DataFrame, y: str, x: Sequence[str], cluster: str, fe: Sequence[str], specs: Mapping[str, tuple[bool, bool, bool]]) -> dict[str, list[dict]]:
+    """Several specifications of ``fe_ols`` over the same rows: a name and whether it has fixed effects, unit-variance regressors, a winsorised outcome.
 
-def fe_ols(df: DataFrame, y: str, x: Sequence[str], cluster: str, fe: Sequence[str] = (), standardised: Sequence[str] = (), winsorised: bool = False) -> list[dict]:
+    Rows are scrubbed, clipped and demeaned once, in one written table; standardising only scales what is estimated.
+    """
+    df = scrub(df.select(*dict.fromkeys([cluster, *fe]), *(F.col(c).cast("double").alias(c) for c in [y, *x])), [y, *x])
+    own = [y]
+    if any(win for *_, win in specs.values()):
+        df = stable(df)
+        lo, hi = quantiles(df, y, [0.01, 0.99])
+        df, own = df.withColumn("__win", F.least(F.greatest(F.col(y), F.lit(lo)), F.lit(hi)) if lo is not None else F.col(y)), [y, "__win"]
+    groups = 0
+    if any(has for has, *_ in specs.values()):
+        groups = n_groups(df, fe)
+        df = with_means(df, fe, {f"__m_{c}": F.avg(c) for c in [*own, *x]}, groups <= BROADCAST_GROUPS)
+        df = df.withColumns({f"__d_{c}": F.col(c) - F.col(f"__m_{c}") for c in [*own, *x]})
+    df = stable(df)
+    sds = dict(zip(x, df.agg(*(F.stddev_samp(c) for c in x)).first(), strict=True))
+    models = []
+    for has, std, win in specs.values():
+        out, at = "__win" if win else y, "__d_" if has else ""
+        scale = {at + c: sds[c] for c in x if std and sds[c]}
+        models.append(Model(at + out, [at + c for c in x], not has, groups if has else 0, out if has else None, scale, {at + c: c for c in x}))
+    return {name: [r for r in rows if r["term"] != "const"] for name, rows in zip(specs, fit_models(df, models, cluster), strict=True)}
+
+
+def fe_ols(df: DataFrame, y: str, x: Sequence[str], cluster: str, fe: Sequence[str] = (), standardised: bool = False, winsorised: bool = False) -> list[dict]:
     """OLS with or without one-way fixed effects, by exact demeaning; k counts the effects' dummies.
 
     ``standardised`` regressors get unit sample SD over the rows used, ``winsorised`` clips the outcome first.
     """
-    df = scrub(df.select(*dict.fromkeys([cluster, *fe]), *(F.col(c).cast("double").alias(c) for c in [y, *x])), [y, *x])
-    df = winsorise(df, y) if winsorised else df
-    for c in standardised:
-        df = standardise(df, c)
-    if not fe:
-        return [r for r in cluster_ols(df, y, x, cluster) if r["term"] != "const"]
-    df = stable(df.withColumn("__raw", F.col(y)))
-    groups = n_groups(df, fe)
-    within = demean(df, [y, *x], fe, groups <= BROADCAST_GROUPS)
-    return cluster_ols(within, y, x, cluster, constant=False, extra_k=groups, raw_y="__raw")
+    return fe_ols_specs(df, y, x, cluster, fe, {"": (bool(fe), standardised, winsorised)})[""]
 
 
 def result_table(spark, rows: list[dict]) -> DataFrame:

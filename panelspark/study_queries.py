@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,9 @@ _SPECS = (("OLS", False, False, False), ("OLS_FE", True, False, False), ("OLS_FE
 
 
 def _four_models(spark: SparkSession, d: str) -> list[dict]:
-    t = io.stable(_t(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", F.lit(1.0).alias("support_control")).withColumn("brand_year", F.pmod("l_partkey", F.lit(25))))
-    rows = []
-    for model, fe, std, win in _SPECS:
-        found = regress.fe_ols(t, "l_extendedprice", ["l_quantity"], "l_suppkey", ["brand_year"] if fe else [], ["l_quantity"] if std else [], win)
-        rows += [{"model": model, **x} for x in found]
-    return rows
+    t = _t(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", "l_quantity", F.pmod("l_partkey", F.lit(25)).alias("brand_year"))
+    found = regress.fe_ols_specs(t, "l_extendedprice", ["l_quantity"], "l_suppkey", ["brand_year"], {m: own for m, *own in _SPECS})
+    return [{"model": model, **x} for model, rows in found.items() for x in rows]
 
 
 _FOUR = " UNION ALL ".join(_robust_sql(m, "l_extendedprice", "l_quantity", "l_partkey % 25" if fe else None, win, std) for m, fe, std, win in _SPECS)
@@ -360,3 +359,55 @@ def a23_sketches(spark: SparkSession, d: str) -> DataFrame:
         near = [(F.abs(F.col(f"at{q}") - q / 100) <= sketches.RANK_ERROR + 1 / F.col("n")).alias(f"p{q}_ok") for q in (10, 50, 90)]
         out = out.select("level", "key", "n", "n_orders", (F.abs(F.col("orders") - F.col("n_orders")) <= sketches.DISTINCT_ERROR * F.col("n_orders") + 1).alias("distinct_ok"), *near)
         return io.stable(out, keep=True)
+
+
+@_query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(CAST(o_orderdate AS DATE)) AS first_day FROM orders GROUP BY 1")
+def s1_recursive_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A table written below folders of its own, read again with all folders below, dates by the old calendar's rules."""
+    path = f"{io.shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    o = _t(spark, d, "orders")
+    for status in ("F", "O", "P"):  # three folders
+        io.write_parquet(o.where(F.col("o_orderstatus") == status).withColumn("day", F.to_date("o_orderdate")), f"{path}/{status.lower()}/x", 2)
+    rows = io.read_parquet(spark, path, recursive=True, legacy_calendar=True)
+    out = io.stable(rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total"), F.min("day").alias("first_day")))
+    io.delete(spark, path)
+    return out
+
+
+@_query("SELECT p_type, p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size, min(p_name) AS name FROM part GROUP BY ALL")
+def s3_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """A table as tab-separated text with a header, read as strings, cast."""
+    path = f"{io.shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    _t(spark, d, "part").select("p_type", "p_brand", "p_name", "p_size").write.option("sep", "\t").option("header", True).csv(path)
+    rows = clean.cast_if_present(io.read_tsv(spark, path), "p_size", "int")
+    out = io.stable(rows.groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size"), F.min("p_name").alias("name")))
+    io.delete(spark, path)
+    return out
+
+
+@_query("SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1")
+def s5_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A summary as one CSV file, read back."""
+    path = f"{io.shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    io.write_csv(_t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("o_totalprice"), 2).alias("mean")), path)
+    out = io.stable(spark.read.option("header", True).schema("year int, n long, mean double").csv(path))
+    io.delete(spark, path)
+    return out
+
+
+@_query("SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS customers, round(max(o_totalprice), 2) AS most FROM orders")
+def s6_json_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A one-row summary as JSON, read back."""
+    path = f"{io.shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    io.write_json_summary(_t(spark, d, "orders").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("customers"), r(F.max("o_totalprice"), 2).alias("most")), path)
+    out = io.stable(spark.read.schema("n_rows long, customers long, most double").json(path))
+    io.delete(spark, path)
+    return out
+
+
+@_query("WITH t AS (SELECT * FROM (VALUES ('1-URGENT', 3), ('2-HIGH', 2), ('3-MEDIUM', 1)) t(o_orderpriority, weight)) SELECT o_orderstatus, CAST(sum(coalesce(weight, 0)) AS BIGINT) AS weight, count(weight) AS n FROM orders LEFT JOIN t USING (o_orderpriority) GROUP BY 1")
+def s9_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary of the caller's as a table, joined to rows."""
+    weights = io.parameter_table(spark, [("1-URGENT", 3), ("2-HIGH", 2), ("3-MEDIUM", 1)], "o_orderpriority string, weight int")
+    rows = _t(spark, d, "orders").join(F.broadcast(weights), "o_orderpriority", "left")  # three rows
+    return rows.groupBy("o_orderstatus").agg(F.sum(F.coalesce("weight", F.lit(0))).alias("weight"), F.count("weight").alias("n"))

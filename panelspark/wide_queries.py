@@ -150,20 +150,19 @@ def w12_detail_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH {_POSTS}, p AS (SELECT parent, occ, year, count(DISTINCT job_id) AS posting_count, CAST(sum(any_enriched) AS BIGINT) AS pa_count, round(avg(any_enriched), 4) AS pa_share, round(ln(avg(salary)), 6) AS log_pay,
   round(avg(CAST(salary IS NOT NULL AS INT)), 4) AS coverage, round(avg(days), 4) AS days, count(DISTINCT category) AS n_categories, count(DISTINCT city) AS n_cities, min(firm_name) AS first_firm, min(industry) AS industry FROM posting GROUP BY parent, occ, year),
-c AS (SELECT parent, year, count(*) AS n_posts, round(avg(any_study), 4) AS study_share FROM posting GROUP BY parent, year)
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent, year ORDER BY n_posts DESC, firm) AS rn FROM (SELECT parent, year, firm, count(*) AS n_posts, round(avg(any_study), 4) AS study_share FROM posting GROUP BY parent, year, firm)) WHERE rn = 1)
 SELECT p.*, round(ln(1 + posting_count), 4) AS log_count, round(ln(1 + pa_count), 4) AS log_pa_count, round(sqrt(posting_count), 4) AS root_count, n_posts AS ctx_n_posts, study_share AS ctx_study_share,
   CAST(pa_count > 0 AND posting_count >= 3 AND industry IS NOT NULL AS INT) AS in_sample FROM p LEFT JOIN c USING (parent, year)""")
 def a17_posting_parent_occ_year(spark: SparkSession, d: str) -> DataFrame:
-    """Postings by parent, occupation and year, with their parent-year's context, deduplicated by its key, and a sample flag."""
+    """Postings by parent, occupation and year, with the context of their parent-year's largest firm, and a sample flag."""
     posts = _postings(spark, d).withColumns({"one": F.lit(1), "has_salary": clean.flag(F.col("salary").isNotNull())})
     spec = [("posting_count", "job_id", "nunique"), ("pa_count", "any_enriched", "sum"), ("pa_share", "any_enriched", "avg"), ("log_pay", "salary", "avg"), ("coverage", "has_salary", "avg"), ("days", "days", "avg")]
     spec += [("n_categories", "category", "nunique"), ("n_cities", "city", "nunique"), ("first_firm", "firm_name", "first"), ("industry", "industry", "first")]
     out = panel.build_panel(posts, ["parent", "occ", "year"], "one", [Measure(*m) for m in spec])
     out = out.withColumns({"pa_share": r("pa_share"), "log_pay": r(clean.log_positive(F.col("log_pay")), 6), "coverage": r("coverage"), "days": r("days")})
     logs = {"log_count": r(clean.log1p_filled(F.col("posting_count"))), "log_pa_count": r(clean.log1p_filled(F.col("pa_count"))), "root_count": r(clean.root(F.col("posting_count")))}
-    context = posts.groupBy("parent", "year").agg(F.count(F.lit(1)).alias("n_posts"), r(F.avg("any_study")).alias("study_share"))
-    twice = context.unionByName(context.withColumn("n_posts", F.lit(0).cast("long")))  # a right side that repeats its key
-    out = panel.attach(out.withColumns(logs), twice, ["parent", "year"], "ctx_", [F.desc("n_posts"), F.col("study_share")])
+    firms = posts.groupBy("parent", "year", "firm").agg(F.count(F.lit(1)).alias("n_posts"), r(F.avg("any_study")).alias("study_share"))  # several a parent and year
+    out = panel.attach(out.withColumns(logs), firms, ["parent", "year"], "ctx_", [F.desc("n_posts"), F.col("firm")]).drop("ctx_firm")
     return out.withColumn("in_sample", clean.in_sample(F.col("pa_count"), F.col("posting_count"), 3, F.col("industry")))
 
 
