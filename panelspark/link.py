@@ -143,16 +143,43 @@ def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: st
         return stable(best_match(left, sims, left_key, right_key, digits), keep=True)
 
 
-def jaccard(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text") -> DataFrame:
-    """Token-set Jaccard of pairs that share a token."""
-    def tokens(t: DataFrame, key: str, n: str) -> DataFrame:
-        words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
-        return t.select(key, words.alias("w")).select(key, F.size("w").alias(n), F.explode("w").alias("token"))
+def _token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, n, w``: the distinct runs of a-z and 0-9 of the lower-cased text."""
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
+    return df.select(key, words.alias("w")).select(key, F.size("w").alias("n"), "w")
+
 
+def jaccard(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text") -> DataFrame:
+    """Token-set Jaccard of all pairs that share a token: the non-zero cells of the whole matrix."""
+    tokens = lambda t, key, n: _token_sets(t, key, text).select(key, F.col("n").alias(n), F.explode("w").alias("token"))
     both = tokens(left, left_key, "na").join(tokens(right, right_key, "nb"), "token").groupBy(left_key, right_key, "na", "nb").agg(F.count(F.lit(1)).alias("common"))
     return both.select(left_key, right_key, (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("sim"))
 
 
+def jaccard_above(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, text: str = "text") -> DataFrame:
+    """Pairs with a token-set Jaccard of at least ``least``, over 0: ``left_key, right_key, sim``.
+
+    The tokens of a set are put in order from the rarest of both lists to the most common. A pair over the bound has at least
+    ``least * n`` of the ``n`` tokens of either set in common, so both sets' first ``n - ceil(least * n) + 1`` tokens share one; and
+    the sizes are within the bound of each other. Only such pairs are formed, once, and then their whole sets are compared.
+    """
+    with released(left.sparkSession):
+        sets = [stable(_token_sets(df, key, text).select(F.col(key).alias(k), "n", "w").where("n > 0")) for df, key, k in ((left, left_key, "k0"), (right, right_key, "k1"))]
+        held = sets[0].select(F.explode("w").alias("token")).unionAll(sets[1].select(F.explode("w").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        held = stable(held)
+        first = []
+        for s, k in zip(sets, ("k0", "k1"), strict=True):
+            at = F.row_number().over(Window.partitionBy(k, "row").orderBy("df", "token"))
+            rows = s.withColumn("row", F.monotonically_increasing_id()).select(k, "row", F.col("n").alias(f"n_{k}"), F.explode("w").alias("token"))
+            first.append(rows.join(held, "token").withColumn("at", at).where(F.col("at") <= F.col(f"n_{k}") - F.ceil(least * F.col(f"n_{k}") - 1e-9) + 1).select(k, f"n_{k}", "token"))
+        near = (F.col("n_k1") >= least * F.col("n_k0") - 1e-9) & (F.col("n_k0") >= least * F.col("n_k1") - 1e-9)
+        pairs = first[0].join(first[1], "token").where(near).select("k0", "k1").distinct()
+        common = F.size(F.array_intersect("w0", "w1"))
+        sims = pairs.join(sets[0].select("k0", F.col("n").alias("n0"), F.col("w").alias("w0")), "k0").join(sets[1].select("k1", F.col("n").alias("n1"), F.col("w").alias("w1")), "k1")
+        sims = sims.select(F.col("k0").alias(left_key), F.col("k1").alias(right_key), (common / (F.col("n0") + F.col("n1") - common)).alias("sim"))
+        return stable(sims.where(F.col("sim") >= least), keep=True)
+
+
 def above_threshold(sims: DataFrame, n_cells: int, q: float = 0.95, floor: float = 0.05) -> DataFrame:
     """Pairs at least as similar as the ``q`` quantile of the whole matrix, zeros included, and ``floor``.
 

@@ -422,3 +422,10 @@ def j1_entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     entity = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).when(F.col("l_linenumber") % 3 == 0, 1000000 + F.col("l_suppkey") % 30)
     rows = line.select(entity.alias("entity"), "l_quantity").groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
     return panel.attach(rows, lookup, ["entity"]).select("entity", "parent", "name", "parent_name", "n", "q")
+
+
+@_query(f"""WITH a AS ({_words_sql("documents", "doc_id")}), b AS ({_words_sql("benchmark", "item_id")}), x AS (SELECT k, count(*) AS n FROM a GROUP BY k), y AS (SELECT k, count(*) AS n FROM b GROUP BY k),
+j AS (SELECT a.k AS doc_id, b.k AS item_id, count(*) AS common FROM a JOIN b USING (token) GROUP BY ALL), s AS (SELECT doc_id, item_id, common / (x.n + y.n - common) AS sim FROM j JOIN x ON x.k = doc_id JOIN y ON y.k = item_id) SELECT doc_id, item_id, round(sim, 6) AS sim FROM s WHERE sim >= 0.1""")
+def l2_jaccard_above(spark: SparkSession, d: str) -> DataFrame:
+    """L2: pairs of documents and benchmark items with a token-set Jaccard of at least 0.1, by rare tokens first."""
+    return link.jaccard_above(_t(spark, d, "documents"), _t(spark, d, "benchmark"), "doc_id", "item_id", 0.1).withColumn("sim", r("sim", 6))

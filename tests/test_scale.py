@@ -61,6 +61,15 @@ def test_best_matches(lists):
         assert (got[k].j, got[k].matched) == (best, int(best is not None)) and got[k].sim == pytest.approx(s[i].max(), abs=1e-8)
 
 
+@pytest.mark.parametrize("least", [0.05, 0.3, 0.5, 1.0])
+def test_jaccard_above(lists, least):
+    left, right, a, b = lists
+    sets = [[(k, set((t or "").split())) for k, t in rows] for rows in (left, right)]
+    want = {(k, j): len(x & y) / len(x | y) for k, x in sets[0] for j, y in sets[1] if x & y and len(x & y) >= least * len(x | y)}
+    got = {(r.k, r.j): r.sim for r in link.jaccard_above(a, b, "k", "j", least).collect()}
+    assert got == pytest.approx(want) and len(want) > 0
+
+
 def test_no_terms_in_common(spark):
     a, b = spark.createDataFrame([(1, "one"), (2, "")], "k int, text string"), spark.createDataFrame([("x", "two")], "j string, text string")
     assert link.matches_above(a, b, "k", "j", []).count() == 0
