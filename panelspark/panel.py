@@ -175,6 +175,21 @@ def primary_record(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__at = 1").drop("__at")
 
 
+def down(c: Column, date: bool = False) -> Column:
+    """Part of an order for ``least_record``: from the greatest number or date to the least, nulls last."""
+    return F.struct(c.isNull(), -(F.unix_date(c) if date else c))
+
+
+def least_record(df: DataFrame, keys: Sequence[str], order: Sequence[Column], also: Mapping[str, Column] = {}) -> DataFrame:
+    """The first row of each key by a total order, by one aggregate: a task sends one row a key, and no key's rows are gathered or ordered.
+
+    ``order`` are columns, least and null first, or ``down`` of them. ``also`` adds aggregates over all rows of the key.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    out = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"), *(c.alias(n) for n, c in also.items()))
+    return out.select(*keys, "__first.*", *also).select(*df.columns, *also)
+
+
 def shifted(column: str, ids: Sequence[str], year: str, by: int, calendar: bool = False) -> Column:
     """The value ``by`` rows ahead (behind if negative), or ``by`` calendar years with ``calendar``: null over a gap."""
     w = Window.partitionBy(*ids).orderBy(year)

@@ -170,8 +170,8 @@ def w8_adoption(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, year, firm, w, salary FROM k WHERE rn = 1""")
 def w1_primary_position(spark: SparkSession, d: str) -> DataFrame:
     """The primary spell of each user and year by a total order."""
-    order = [F.desc("w"), F.desc_nulls_last("start"), F.col("firm"), F.col("line"), F.col("salary"), F.col("role"), F.col("end")]
-    out = panel.primary_record(panel.expand_to_years(_spells(spark, d)), ["user_id", "year"], order)
+    order = [panel.down(F.col("w")), panel.down(F.col("start"), date=True), *(F.col(c) for c in ("firm", "line", "salary", "role", "end"))]
+    out = panel.least_record(panel.expand_to_years(_spells(spark, d)), ["user_id", "year"], order)
     return out.select("user_id", "year", "firm", "w", "salary")
 
 
@@ -181,8 +181,7 @@ SELECT user_id, year, firm AS primary_firm, w, CAST(firms > 1 AS INT) AS multi_f
 def w2_primary_firm(spark: SparkSession, d: str) -> DataFrame:
     """The primary firm of each user and year, and whether there were several."""
     a = panel.expand_to_years(_spells(spark, d)).groupBy("user_id", "year", "firm").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    a = a.withColumn("firms", F.count(F.lit(1)).over(Window.partitionBy("user_id", "year")))
-    out = panel.primary_record(a, ["user_id", "year"], [F.desc("w"), F.desc("n"), F.col("firm")])
+    out = panel.least_record(a, ["user_id", "year"], [panel.down(F.col("w")), panel.down(F.col("n")), F.col("firm")], {"firms": F.count(F.lit(1))})
     return out.select("user_id", "year", F.col("firm").alias("primary_firm"), "w", clean.flag(F.col("firms") > 1).alias("multi_firm"))
 
 

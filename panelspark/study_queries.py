@@ -353,7 +353,7 @@ def a23_sketches(spark: SparkSession, d: str) -> DataFrame:
         cells = F.array(*(F.struct(F.lit(n).alias("level"), c.alias("key")) for n, c in levels.items()))
         coarse = sketches.merge(fine.select("*", F.inline(cells)), ["level", "key"], ["orders"], ["price"])
         coarse = io.stable(sketches.estimates(coarse, ["orders"], {"price": (0.1, 0.5, 0.9)}))
-        exact = rows.select("l_orderkey", "l_extendedprice", F.inline(cells)).join(F.broadcast(coarse), ["level", "key"])
+        exact = rows.select("l_orderkey", "l_extendedprice", F.inline(cells)).join(coarse, ["level", "key"])
         below = lambda c: F.avg(F.when(F.col("l_extendedprice") <= F.col(c), 1.0).otherwise(0.0))
         out = exact.groupBy("level", "key", "orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_orders"), *(below(f"price_p{q}").alias(f"at{q}") for q in (10, 50, 90)))
         near = [(F.abs(F.col(f"at{q}") - q / 100) <= sketches.RANK_ERROR + 1 / F.col("n")).alias(f"p{q}_ok") for q in (10, 50, 90)]

@@ -116,6 +116,17 @@ def test_stocks_are_those_of_expanded_spells(spark):
     assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
 
 
+def test_least_record_is_the_windows_first(spark):
+    rng = random.Random(3)
+    day = lambda: rng.choice([None, "2001-02-03", "1999-12-31", "2010-01-01"])
+    rows = [(rng.choice("abc"), rng.choice([None, 1.0, 2.0, -3.0]), day(), i) for i in range(200)] + [(None, None, None, 900)]
+    df = spark.createDataFrame(rows, "k string, w double, d string, i int").withColumn("d", F.to_date("d")).repartition(5)
+    want = panel.primary_record(df, ["k"], [F.desc_nulls_last("w"), F.desc_nulls_last("d"), F.col("i")])
+    got = panel.least_record(df, ["k"], [panel.down(F.col("w")), panel.down(F.col("d"), date=True), F.col("i")], {"n": F.count(F.lit(1))})
+    assert {tuple(r)[:4] for r in got.collect()} == {tuple(r) for r in want.collect()} and sum(r.n for r in got.collect()) == 201
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
 def test_exact_samples(spark):
     df = spark.createDataFrame([(i, i % 7, i % 90) for i in range(900)], "k long, g long, e long")
     picks = [{r.k for r in io.exact_sample(df.repartition(n), ["k"], 25).collect()} for n in (1, 5)]
