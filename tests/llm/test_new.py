@@ -177,3 +177,24 @@ def test_quality_sample_is_bounded(spark):
     model = quality.train(frame(spark, rows), labels, rows=40, total_bytes=9_000, text_bytes=100_000)
     got = {r.doc_id: r.predicted for r in quality.score(frame(spark, rows), model).collect()}
     assert np.mean([got[i] == i % 2 for i in range(400)]) > 0.99
+
+
+def test_scratch_is_freed(spark):
+    """Only the result of an operator stays in the shared folder, and nothing of one that fails."""
+    from pathlib import Path
+
+    from panelspark.llm import common, near_dedup
+
+    tables = Path(common.scratch(spark).removeprefix("file:")) / "tables"
+    there = lambda: {p.name for p in tables.iterdir()} if tables.exists() else set()
+    docs = frame(spark, [(i, f"some words of text {i % 3} " * 9, "en") for i in range(12)], 2)
+    for run in (lambda: collocations.collocations(docs, 3), lambda: near_dedup.near_duplicates(docs)):
+        before, catalogue = there(), len(spark.catalog.listTables())
+        out = run()
+        assert len(there() - before) == 1 and len(spark.catalog.listTables()) == catalogue and out.count() > 0
+    before = there()
+    with pytest.raises(ZeroDivisionError), common.released(spark):
+        common.materialise(docs)
+        kept = common.materialise(docs, keep=True)
+        raise ZeroDivisionError
+    assert len(there() - before) == 1 and kept.count() == 12
