@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import language_id, near_dedup, packing, suffix_dedup
-from panelspark.llm.common import among, load, materialise, released
+from panelspark.llm.common import among, load, materialise, release, released
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ``doc_id``. A table with rows but none to learn a language from is an error.
     """
     model = language_id.train(docs)
+    release()  # what the driver's Python trained on
     if model.langs == [language_id.UNKNOWN] and not docs.isEmpty():
         raise ValueError("no document to learn a language from: none outside the held-out fold has both text and lang")
     found = language_id.identify(docs, model)
