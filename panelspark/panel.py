@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,14 +58,60 @@ class Measure:
         return (F.sum(x * wt) if self.how == "wsum" else simple[self.how](x)).alias(self.name)
 
 
-def build_panel(df: DataFrame, keys: Sequence[str], weight: str, measures: Sequence[Measure]) -> DataFrame:
+    def within(self, w: str, kind: str) -> Column:
+        """The same where a group's distinct values can be held in one set."""
+        if self.how == "nunique":
+            return F.size(F.collect_set(_text(self.column, kind))).cast("long").alias(self.name)
+        return self.expression(w)
+
+
+def _text(c: str, kind: str) -> Column:
+    """The value as text; -0.0 is 0.0."""
+    return (F.col(c) + F.lit(0.0).cast(kind) if kind in ("double", "float") else F.col(c)).cast("string")
+
+
+#: Rows of a group up to which its distinct values are held in sets, and rows of a task that reads groups whole.
+GROUP_ROWS, TASK_ROWS = 200_000, 250_000
+#: Rows of a narrow table that is sent to all executors at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A lookup table for a join: sent to all executors up to ``BROADCAST_ROWS``, joined as Spark sees fit beyond."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def dealt(df: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """Rows of a key in one task, with as many tasks as keep each at ``TASK_ROWS`` rows on average."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // TASK_ROWS))
+    return df.repartition(n, key)
+
+
+def by_size(sizes: DataFrame, key: str, make: Callable[[DataFrame | None, str, bool], DataFrame], most: int | None = None) -> DataFrame:
+    """``make`` over groups of up to ``most`` rows and, where there are any, over larger ones, united.
+
+    ``sizes``: ``key, n``. ``make(large, how, whole)`` gets the keys of the large groups or None where there are none, the kind of join with
+    them (``left_anti`` or ``left_semi``) that keeps its rows, and whether a group's rows may be read by one task.
+    """
+    large = sizes.where(F.col("n") > (GROUP_ROWS if most is None else most)).select(key)
+    if large.isEmpty():
+        return make(None, "", True)
+    return make(large, "left_anti", True).unionByName(make(large, "left_semi", False))
+
+
+def build_panel(df: DataFrame, keys: Sequence[str], weight: str, measures: Sequence[Measure], whole: bool = False) -> DataFrame:
     """All measures of each key: one plain aggregate of numbers, whose partial sums leave the map side.
 
+    With ``whole`` rows are dealt by (some of) the keys already and no group is large: then all measures ride in one aggregate
+    where the rows are, distinct values in a set for each group.
+
     Several distinct counts in one aggregate would send a wide copy of each row for each of them. They, and least or greatest
     texts, for which rows would be sorted, go through one narrow table ``keys, column, value``, deduplicated once
     (``distinct_values``) and joined to the plain part. A group without any value has a distinct count of 0.
     """
     kinds = dict(df.dtypes)
+    if whole:
+        return df.groupBy(*keys).agg(*(m.within(weight, kinds[m.column]) for m in measures))
     texts = [m for m in measures if m.how in ("first", "min", "max") and kinds[m.column] == "string"]
     counts = [m for m in measures if m.how == "nunique"]
     apart = [*counts, *texts] if len(counts) > 1 or texts else []
@@ -90,8 +136,7 @@ def distinct_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     spread over tasks by its values. Nulls do not count; -0.0 is 0.0.
     """
     kinds = dict(df.dtypes)
-    text = lambda c: (F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(c)).cast("string")
-    pairs = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("__c"), text(c).alias("__v")) for i, c in enumerate(columns)))
+    pairs = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("__c"), _text(c, kinds[c]).alias("__v")) for i, c in enumerate(columns)))
     long = df.select(*keys, F.inline(pairs)).where("__v is not null").groupBy(*keys, "__c", "__v").agg(F.lit(1).alias("__one"))
     stats = {"n": F.count(F.lit(1))} | ({"low": F.min("__v"), "high": F.max("__v")} if bounds else {})
     rows = long.groupBy(*keys, "__c").agg(*(x.alias(n) for n, x in stats.items()))

@@ -49,14 +49,29 @@ def _measure_sql(name: str, c: str, how: str, denom: str, digits: int | str | No
     return f"{e if how in ('nunique', 'first') or name == 'n_rows' else f'round({e}, {digits})'} AS {name}"
 
 
-def _flagged(spark: SparkSession, d: str) -> DataFrame:
-    """Yearly position rows with all attributes and 0/1 columns."""
-    line, orders, part = _t(spark, d, "lineitem"), _t(spark, d, "orders"), _t(spark, d, "part")
-    supplier, customer = _t(spark, d, "supplier"), _t(spark, d, "customer")
-    rows = (
-        line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
-        .join(supplier, line.l_suppkey == supplier.s_suppkey).join(customer, orders.o_custkey == customer.c_custkey)
-    )
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their customer, before any line is joined: lines are not dealt by customer for it."""
+    orders, customer = _t(spark, d, "orders"), _t(spark, d, "customer")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey)
+
+
+def _kept(line: DataFrame, key: str, large: DataFrame | None, how: str) -> DataFrame:
+    return line if large is None else line.join(large, key, how)
+
+
+def _firm_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by firm; all their years are at most a few times as many rows."""
+    return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _flagged(spark: SparkSession, d: str, by: str | None = None, large: DataFrame | None = None, how: str = "") -> DataFrame:
+    """Yearly position rows with all attributes and 0/1 columns; with ``by`` (``l_suppkey``, ``o_custkey``) dealt by it, without or with ``large`` ones alone."""
+    line, part, ordered = _t(spark, d, "lineitem"), _t(spark, d, "part"), _ordered(spark, d)
+    n, supplier = line.count(), panel.small(_t(spark, d, "supplier"))
+    line, ordered = (_kept(line, by, large, how), ordered) if by == "l_suppkey" else (line, _kept(ordered, by, large, how))
+    rows = line.join(part, line.l_partkey == part.p_partkey).join(ordered, line.l_orderkey == ordered.o_orderkey)
+    rows = panel.dealt(rows, by, n) if by else rows
+    rows = rows.join(supplier, line.l_suppkey == supplier.s_suppkey)
     tenths = lambda c: F.nullif(F.round(F.col(c) * 100), F.lit(0.0))
     rows = rows.select(
         F.col("o_custkey").alias("user_id"), F.col("l_suppkey").alias("firm"), F.col("s_nationkey").alias("parent"), F.col("s_name").alias("name"), F.col("p_type").alias("role"),
@@ -71,8 +86,8 @@ def _flagged(spark: SparkSession, d: str) -> DataFrame:
     return years.withColumns(hot | {"is_new": clean.flag(F.col("start_year") == F.col("end_year")), "is_large": clean.flag(F.col("w") > 25)})
 
 
-def _panel(df: DataFrame, keys: list[str], spec: list[tuple]) -> DataFrame:
-    out = panel.build_panel(df, keys, "w", [Measure(n, c, how, denom or "observed") for n, c, how, denom, _ in spec])
+def _panel(df: DataFrame, keys: list[str], spec: list[tuple], whole: bool = False) -> DataFrame:
+    out = panel.build_panel(df, keys, "w", [Measure(n, c, how, denom or "observed") for n, c, how, denom, _ in spec], whole)
     return out.withColumns({n: r(F.log(n), 6) if k == "ln" else r(n, k) for n, _, how, _, k in spec if how not in ("nunique", "first") and n != "n_rows"})
 
 
@@ -80,7 +95,8 @@ def _panel(df: DataFrame, keys: list[str], spec: list[tuple]) -> DataFrame:
 SELECT *, round(hires_w / nullif(workers, 0), 4) AS hire_rate, round(exits_w / nullif(workers, 0), 4) AS exit_rate, round(is_new_w / nullif(workers, 0), 4) AS new_rate FROM p""")
 def a4_firm_year_wide(spark: SparkSession, d: str) -> DataFrame:
     """The wide firm-year panel, 55 measures and three rates in one aggregate."""
-    out = _panel(_flagged(spark, d), ["firm", "year"], _FIRM_MEASURES)
+    rows = lambda large, how, whole: _flagged(spark, d, "l_suppkey", large, how)
+    out = panel.by_size(_firm_sizes(spark, d), "l_suppkey", lambda *a: _panel(rows(*a), ["firm", "year"], _FIRM_MEASURES, a[2]))
     rates = {"hire_rate": "hires_w", "exit_rate": "exits_w", "new_rate": "is_new_w"}
     return out.withColumns({n: r(clean.safe_divide(F.col(c), F.col("workers"))) for n, c in rates.items()})
 
