@@ -118,18 +118,23 @@ _POSTS = f"""posts AS (
 _KINDS = [f"{t}_{n}" for n in ("study", "enriched") for t in ("title", "description", "any")]
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    """Postings with text flags: order date to ship date, the supplier as firm, its nation as parent, its region as industry."""
-    line, orders, part, supplier = (_t(spark, d, t) for t in ("lineitem", "orders", "part", "supplier"))
-    customer, nation = _t(spark, d, "customer"), _t(spark, d, "nation")
-    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
-    rows = rows.join(customer, orders.o_custkey == customer.c_custkey).join(nation, supplier.s_nationkey == nation.n_nationkey)
+def _postings(spark: SparkSession, d: str, by: str | None = None, large: DataFrame | None = None, how: str = "") -> DataFrame:
+    """Postings with text flags: order date to ship date, the supplier as firm, its nation as parent, its region as industry.
+
+    Texts are flagged once a part, not once a posting. ``by``: as for ``_flagged``.
+    """
+    line, part, ordered = _t(spark, d, "lineitem"), _t(spark, d, "part"), _ordered(spark, d)
+    supplier, nation = _t(spark, d, "supplier"), _t(spark, d, "nation")
     flags = clean.text_flags({"title": F.col("p_name"), "description": F.concat_ws(" ", "p_brand", "p_type")}, {"study": _STUDY, "enriched": _ENRICHED})
+    part = part.select("p_partkey", "p_brand", "p_type", *(c.alias(n) for n, c in flags.items()))
+    rows = (line if by is None else _kept(line, by, large, how)).join(part, line.l_partkey == part.p_partkey).join(ordered, line.l_orderkey == ordered.o_orderkey)
+    rows = panel.dealt(rows, by, line.count()) if by else rows
+    rows = rows.join(panel.small(supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)), line.l_suppkey == supplier.s_suppkey)
     return rows.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("job_id"), F.col("l_suppkey").alias("firm"), F.col("s_name").alias("firm_name"), F.col("s_nationkey").alias("parent"),
         F.col("n_regionkey").alias("industry"), F.col("p_type").alias("occ"), F.col("p_brand").alias("mapped_role"), F.col("o_orderpriority").alias("category"), F.to_date("o_orderdate").alias("post_date"),
         F.year("o_orderdate").alias("year"), clean.duration_days(F.to_date("o_orderdate"), F.to_date("l_shipdate")).alias("days"), F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice")).alias("salary"),
-        F.col("l_linestatus").alias("state"), F.col("c_mktsegment").alias("city"), *(c.alias(n) for n, c in flags.items()),
+        F.col("l_linestatus").alias("state"), F.col("c_mktsegment").alias("city"), *flags,
     )
 
 
@@ -140,19 +145,23 @@ f AS (SELECT firm, {", ".join(f"min(CASE WHEN {k} = 1 THEN post_date END) AS fir
 SELECT p.*, round(with_salary / posting_count, 4) AS coverage, {", ".join(f"round({k} / posting_count, 4) AS {k}_share" for k in _KINDS)}, f.* EXCLUDE (firm) FROM p LEFT JOIN f USING (firm)""")
 def a5_posting_firm_year(spark: SparkSession, d: str) -> DataFrame:
     """Postings by firm and year: counts, means, distinct values, shares, and the firm's first flagged dates."""
-    posts = _postings(spark, d)
     one = Measure
     shares = {f"cat_{k}_share": clean.flag(F.col("category").startswith(k)) for k in _PRIORITIES}
-    posts = posts.withColumns(shares | {"one": F.lit(1), "has_salary": clean.flag(F.col("salary").isNotNull())})
+    dates = {f"first_{k}": F.when(F.col(k) == 1, F.col("post_date")) for k in _KINDS}
+    extra = shares | dates | {"one": F.lit(1), "has_salary": clean.flag(F.col("salary").isNotNull())}
     measures = [
         one("firm_name", "firm_name", "first"), one("parent", "parent", "first"), one("posting_count", "one", "sum"), one("with_salary", "has_salary", "sum"), one("log_pay", "salary", "avg"), one("days", "days", "avg"),
         *(one(n, c, "nunique") for n, c in (("n_states", "state"), ("n_cities", "city"), ("n_categories", "category"), ("n_roles", "mapped_role"), ("n_occ", "occ"))),
-        one("first_post", "post_date", "min"), *(one(k, k, "sum") for k in _KINDS), *(one(k, k, "avg") for k in shares),
+        one("first_post", "post_date", "min"), *(one(k, k, "sum") for k in _KINDS), *(one(k, k, "avg") for k in shares), *(one(k, k, "min") for k in dates),
     ]
-    out = panel.build_panel(posts, ["firm", "year"], "one", measures)
+
+    def make(large: DataFrame | None, how: str, whole: bool) -> DataFrame:
+        out = panel.build_panel(_postings(spark, d, "l_suppkey", large, how).withColumns(extra), ["firm", "year"], "one", measures, whole)
+        return out.withColumns({k: F.min(k).over(Window.partitionBy("firm")) for k in dates})  # a row a year
+
+    out = panel.by_size(_firm_sizes(spark, d), "l_suppkey", make)
     out = out.withColumns({"log_pay": r(clean.log_positive(F.col("log_pay")), 6), "days": r("days")} | {k: r(k) for k in shares})
-    out = out.withColumns({"coverage": r(F.col("with_salary") / F.col("posting_count"))} | {f"{k}_share": r(clean.safe_divide(F.col(k), F.col("posting_count"))) for k in _KINDS})
-    return out.join(panel.first_events(posts, "firm", "post_date", {f"first_{k}": F.col(k) == 1 for k in _KINDS}), "firm", "left")
+    return out.withColumns({"coverage": r(F.col("with_salary") / F.col("posting_count"))} | {f"{k}_share": r(clean.safe_divide(F.col(k), F.col("posting_count"))) for k in _KINDS})
 
 
 @_query(f"WITH {_POSTS} SELECT job_id, firm, firm_name, parent, post_date, mapped_role, category, {', '.join(_KINDS)} FROM posting WHERE any_enriched = 1")
