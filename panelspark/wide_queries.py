@@ -64,6 +64,12 @@ def _firm_sizes(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _user_sizes(spark: SparkSession, d: str) -> DataFrame:
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).groupBy("o_custkey").agg(F.sum("n").alias("n"))
+
+
 def _flagged(spark: SparkSession, d: str, by: str | None = None, large: DataFrame | None = None, how: str = "") -> DataFrame:
     """Yearly position rows with all attributes and 0/1 columns; with ``by`` (``l_suppkey``, ``o_custkey``) dealt by it, without or with ``large`` ones alone."""
     line, part, ordered = _t(spark, d, "lineitem"), _t(spark, d, "part"), _ordered(spark, d)
@@ -104,7 +110,8 @@ def a4_firm_year_wide(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {_WIDE} SELECT user_id, year, {', '.join(_measure_sql(*m) for m in _USER_MEASURES)} FROM flagged GROUP BY user_id, year")
 def a6_worker_year(spark: SparkSession, d: str) -> DataFrame:
     """A worker-year's portfolio of positions, weighted, with distinct firms, parents and places."""
-    return _panel(_flagged(spark, d), ["user_id", "year"], _USER_MEASURES)
+    rows = lambda large, how, whole: _flagged(spark, d, "o_custkey", large, how)
+    return panel.by_size(_user_sizes(spark, d), "o_custkey", lambda *a: _panel(rows(*a), ["user_id", "year"], _USER_MEASURES, a[2]))
 
 
 _STUDY, _ENRICHED = "(?i)ring|econ", "(?i)ring|small|econ|brand#2"
