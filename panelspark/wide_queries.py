@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import clean, link, panel
+from .io import released, stable
 from .panel import Measure
 from .queries import _query, _t, r
 
@@ -187,15 +188,17 @@ SELECT p.*, round(ln(1 + posting_count), 4) AS log_count, round(ln(1 + pa_count)
   CAST(pa_count > 0 AND posting_count >= 3 AND industry IS NOT NULL AS INT) AS in_sample FROM p LEFT JOIN c USING (parent, year)""")
 def a17_posting_parent_occ_year(spark: SparkSession, d: str) -> DataFrame:
     """Postings by parent, occupation and year, with the context of their parent-year's largest firm, and a sample flag."""
-    posts = _postings(spark, d).withColumns({"one": F.lit(1), "has_salary": clean.flag(F.col("salary").isNotNull())})
     spec = [("posting_count", "job_id", "nunique"), ("pa_count", "any_enriched", "sum"), ("pa_share", "any_enriched", "avg"), ("log_pay", "salary", "avg"), ("coverage", "has_salary", "avg"), ("days", "days", "avg")]
     spec += [("n_categories", "category", "nunique"), ("n_cities", "city", "nunique"), ("first_firm", "firm_name", "first"), ("industry", "industry", "first")]
-    out = panel.build_panel(posts, ["parent", "occ", "year"], "one", [Measure(*m) for m in spec])
-    out = out.withColumns({"pa_share": r("pa_share"), "log_pay": r(clean.log_positive(F.col("log_pay")), 6), "coverage": r("coverage"), "days": r("days")})
-    logs = {"log_count": r(clean.log1p_filled(F.col("posting_count"))), "log_pa_count": r(clean.log1p_filled(F.col("pa_count"))), "root_count": r(clean.root(F.col("posting_count")))}
-    firms = posts.groupBy("parent", "year", "firm").agg(F.count(F.lit(1)).alias("n_posts"), r(F.avg("any_study")).alias("study_share"))  # several a parent and year
-    out = panel.attach(out.withColumns(logs), firms, ["parent", "year"], "ctx_", [F.desc("n_posts"), F.col("firm")]).drop("ctx_firm")
-    return out.withColumn("in_sample", clean.in_sample(F.col("pa_count"), F.col("posting_count"), 3, F.col("industry")))
+    with released(spark):  # the joined postings are read three times
+        posts = _postings(spark, d).withColumns({"one": F.lit(1), "has_salary": clean.flag(F.col("salary").isNotNull())})
+        posts = stable(posts.select("parent", "occ", "year", "firm", "one", "any_study", *dict.fromkeys(c for _, c, _ in spec)))
+        out = panel.build_panel(posts, ["parent", "occ", "year"], "one", [Measure(*m) for m in spec])
+        out = out.withColumns({"pa_share": r("pa_share"), "log_pay": r(clean.log_positive(F.col("log_pay")), 6), "coverage": r("coverage"), "days": r("days")})
+        logs = {"log_count": r(clean.log1p_filled(F.col("posting_count"))), "log_pa_count": r(clean.log1p_filled(F.col("pa_count"))), "root_count": r(clean.root(F.col("posting_count")))}
+        firms = posts.groupBy("parent", "year", "firm").agg(F.count(F.lit(1)).alias("n_posts"), r(F.avg("any_study")).alias("study_share"))  # several a parent and year
+        out = panel.attach(out.withColumns(logs), firms, ["parent", "year"], "ctx_", [F.desc("n_posts"), F.col("firm")]).drop("ctx_firm")
+        return stable(out.withColumn("in_sample", clean.in_sample(F.col("pa_count"), F.col("posting_count"), 3, F.col("industry"))), keep=True)
 
 
 _DEGREES = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Doctor of Arts' WHEN '2' THEN 'MBA' WHEN '3' THEN 'Bachelor' WHEN '4' THEN 'Associate' END"
