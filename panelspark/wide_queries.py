@@ -274,12 +274,14 @@ SELECT u.user_id, u.firm, u.year, u.w, n_users AS employer_n_users, log_pay AS e
 FROM u LEFT JOIN f ON u.firm = f.firm AND u.year = f.year LEFT JOIN supplier ON s_suppkey = u.firm""")
 def j7_employer_context(spark: SparkSession, d: str) -> DataFrame:
     """A user's firms with their firm-year's context under a prefix, coworkers, static attributes and age."""
-    rows = _flagged(spark, d)
-    firms = rows.groupBy("firm", "year").agg(F.count_distinct("user_id").alias("n_users"), r(F.log(Measure("p", "salary", denom="all").expression("w")), 6).alias("log_pay"))
-    users = rows.groupBy("user_id", "firm", "year").agg(F.sum("w").alias("w"))
     static = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("firm"), F.col("s_name").alias("firm_name"), (1996 + F.col("s_suppkey") % 5).alias("founded"))
-    out = panel.attach(panel.attach(users, firms, ["firm", "year"], "employer_"), static, ["firm"])
-    return out.withColumns({"coworkers": F.greatest(F.col("employer_n_users") - 1, F.lit(0)), "firm_age": panel.age(F.col("year"), F.col("founded"))}).drop("founded")
+    pay = F.sum(F.col("salary") * F.col("w"))
+    with released(spark):  # firms are summed from their users, so that lines are joined once
+        users = stable(_flagged(spark, d).groupBy("user_id", "firm", "year").agg(F.sum("w").alias("w"), pay.alias("pay")))
+        firms = users.groupBy("firm", "year").agg(F.count("user_id").alias("n_users"), r(F.log(F.try_divide(F.sum("pay"), F.sum("w"))), 6).alias("log_pay"))
+        out = panel.attach(panel.attach(users.drop("pay"), firms, ["firm", "year"], "employer_"), panel.small(static), ["firm"])
+        out = out.withColumns({"coworkers": F.greatest(F.col("employer_n_users") - 1, F.lit(0)), "firm_age": panel.age(F.col("year"), F.col("founded"))}).drop("founded")
+        return stable(out, keep=True)
 
 
 _XI = """t AS (SELECT s_nationkey AS parent, p_brand AS task, sum(l_quantity) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
