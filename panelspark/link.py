@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import clean
 from .io import released, stable
+from .panel import BROADCAST_ROWS, small
 from .regress import quantiles
 
 #: The columns that name a term: 128 bits of hash, which sort and join faster than texts.
@@ -39,18 +40,40 @@ def tfidf_postings(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     Smooth IDF is fitted on both lists. Norms are sums over all terms; only the shared ones are kept.
     """
-    lists = ((left, left_key), (right, right_key))
-    counted = [terms(df, key, text, stop_words, bigrams).select(F.lit(side).alias("side"), F.col(key).alias("key"), *TERM, "tf") for side, (df, key) in enumerate(lists)]
-    kinds = [c.schema["key"].dataType for c in counted]
-    same = kinds[0] == kinds[1]
-    both = counted[0].unionAll(counted[1]) if same else counted[0].withColumn("key", F.col("key").cast("string")).unionAll(counted[1].withColumn("key", F.col("key").cast("string")))
-    both = stable(both)
+    counted = [terms(df, key, text, stop_words, bigrams).select(F.col(key).alias(f"k{side}"), *TERM, "tf") for side, (df, key) in enumerate(((left, left_key), (right, right_key)))]
     n = left.count() + right.count()
-    idf = both.groupBy(*TERM).agg((F.log((1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"), (F.max("side") > F.min("side")).alias("shared"))
-    opened = stable(both.join(idf, list(TERM)).select("side", "key", *TERM, "shared", (F.col("tf") * F.col("idf")).alias("w")))
-    norms = opened.groupBy("side", "key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rows = stable(opened.where("shared").join(norms, ["side", "key"]).select("side", "key", *TERM, (F.col("w") / F.col("norm")).alias("w")))
-    return tuple(rows.where(F.col("side") == s).select(F.col("key").cast(kinds[s]).alias(f"k{s}"), *TERM, "w") for s in (0, 1))
+    both = counted[0].select(F.lit(0).alias("side"), *TERM).unionAll(counted[1].select(F.lit(1).alias("side"), *TERM))
+    found = F.count(F.lit(1))
+    idf = both.groupBy(*TERM).agg((F.log((1.0 + n) / (1 + found)) + 1).alias("idf"), F.floor(F.log2(found)).cast("int").alias("size"), (F.max("side") > F.min("side")).alias("shared"))
+    idf = stable(idf)
+    at = _frequent(idf)
+    hot = F.col("shared") | (F.col("size") >= at)
+    known, rest = idf.where(hot), idf.where(~hot)
+    known = small(known.select(*TERM, "idf", "shared"))
+    some = not rest.isEmpty()
+    return tuple(stable(_unit(c, f"k{side}", known, rest if some else None)) for side, c in enumerate(counted))
+
+
+def _frequent(idf: DataFrame) -> int:
+    """The least size, a power of two, from which on terms are few enough to be sent to all executors beside the shared ones."""
+    sizes = dict(idf.where("not shared").groupBy("size").count().collect())  # at most 64 rows
+    left = BROADCAST_ROWS - idf.where("shared").count()
+    for at in sorted(sizes, reverse=True):
+        left -= sizes[at]
+        if left < 0:
+            return at + 1
+    return 0
+
+
+def _unit(counted: DataFrame, key: str, known: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """``key, t1, t2, w`` of the shared terms. ``known`` terms are looked up where the texts are cut; only those of ``rest`` are shuffled, for their part of the norm."""
+    w = F.col("tf") * F.col("idf")
+    own = F.collect_list(F.when(F.col("shared"), F.struct(*TERM, w.alias("w")))).alias("own")
+    rows = counted.join(known, list(TERM), "left").groupBy(key).agg(F.coalesce(F.sum(w * w), F.lit(0.0)).alias("q"), own)
+    if rest is not None:
+        more = counted.join(known.select(*TERM), list(TERM), "left_anti").join(rest.select(*TERM, "idf"), list(TERM)).groupBy(key).agg(F.sum(w * w).alias("more"))
+        rows = rows.where(F.size("own") > 0).join(more, key, "left").withColumn("q", F.col("q") + F.coalesce("more", F.lit(0.0)))
+    return rows.select(key, F.sqrt("q").alias("norm"), F.inline("own")).select(key, *TERM, (F.col("w") / F.col("norm")).alias("w"))
 
 
 def tfidf_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> DataFrame:
