@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import clean
 from .io import released, stable
-from .panel import BROADCAST_ROWS, small
+from .panel import BROADCAST_ROWS, TASK_ROWS, small
 from .regress import quantiles
 
 #: The columns that name a term: 128 bits of hash, which sort and join faster than texts.
@@ -166,6 +166,10 @@ def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: st
         return stable(best_match(left, sims, left_key, right_key, digits), keep=True)
 
 
+#: Pairs of a task for each of its ``TASK_ROWS``.
+PAIRS = 4
+
+
 def _token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, n, w``: the distinct runs of a-z and 0-9 of the lower-cased text."""
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
@@ -175,26 +179,34 @@ def _token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 def jaccard(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str = "text") -> DataFrame:
     """Token-set Jaccard of all pairs that share a token: the non-zero cells of the whole matrix."""
     tokens = lambda t, key, n: _token_sets(t, key, text).select(key, F.col("n").alias(n), F.explode("w").alias("token"))
-    both = tokens(left, left_key, "na").join(tokens(right, right_key, "nb"), "token").groupBy(left_key, right_key, "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-left.count() * right.count() // (PAIRS * TASK_ROWS)))
+    dealt = left.select(left_key, text).repartition(n, left_key)  # a row's pairs are counted where it is
+    both = tokens(dealt, left_key, "na").join(small(tokens(right, right_key, "nb")), "token").groupBy(left_key, right_key, "na", "nb").agg(F.count(F.lit(1)).alias("common"))
     return both.select(left_key, right_key, (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("sim"))
 
 
 def jaccard_above(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float, text: str = "text") -> DataFrame:
     """Pairs with a token-set Jaccard of at least ``least``, over 0: ``left_key, right_key, sim``.
 
-    The tokens of a set are put in order from the rarest of both lists to the most common. A pair over the bound has at least
-    ``least * n`` of the ``n`` tokens of either set in common, so both sets' first ``n - ceil(least * n) + 1`` tokens share one; and
-    the sizes are within the bound of each other. Only such pairs are formed, once, and then their whole sets are compared.
+    The tokens of a set are put in order: those that the right list lacks, then from the rarest to the most common. A pair over
+    the bound has at least ``least * n`` of the ``n`` tokens of either set in common, so both sets' first ``n - ceil(least * n) + 1``
+    tokens share one; and the sizes are within the bound of each other. A left set's tokens that the right list lacks come first but
+    make no pair, so they are only counted. Only such pairs are formed, once, and then compared by all tokens that both lists have.
     """
     with released(left.sparkSession):
-        sets = [stable(_token_sets(df, key, text).select(F.col(key).alias(k), "n", "w").where("n > 0")) for df, key, k in ((left, left_key, "k0"), (right, right_key, "k1"))]
+        whole = stable(_token_sets(right, right_key, text).select(F.col(right_key).alias("k1"), "n", "w").where("n > 0"))
+        words = stable(whole.select(F.explode("w").alias("token")).distinct())
+        rows = _token_sets(left, left_key, text).withColumn("row", F.monotonically_increasing_id()).select(F.col(left_key).alias("k0"), "row", "n", F.explode("w").alias("token"))
+        rows = rows.join(small(words), "token").groupBy("k0", "row", "n").agg(F.collect_list("token").alias("w"))
+        need = lambda n: F.ceil(least * n - 1e-9)
+        sets = [stable(rows.where(F.size("w") >= need(F.col("n")))), whole.withColumn("row", F.monotonically_increasing_id())]
         held = sets[0].select(F.explode("w").alias("token")).unionAll(sets[1].select(F.explode("w").alias("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        held = stable(held)
+        held = small(stable(held))
         first = []
         for s, k in zip(sets, ("k0", "k1"), strict=True):
             at = F.row_number().over(Window.partitionBy(k, "row").orderBy("df", "token"))
-            rows = s.withColumn("row", F.monotonically_increasing_id()).select(k, "row", F.col("n").alias(f"n_{k}"), F.explode("w").alias("token"))
-            first.append(rows.join(held, "token").withColumn("at", at).where(F.col("at") <= F.col(f"n_{k}") - F.ceil(least * F.col(f"n_{k}") - 1e-9) + 1).select(k, f"n_{k}", "token"))
+            own = s.select(k, "row", F.col("n").alias(f"n_{k}"), F.size("w").alias("m"), F.explode("w").alias("token"))
+            first.append(own.join(held, "token").withColumn("at", at).where(F.col("at") <= F.col("m") - need(F.col(f"n_{k}")) + 1).select(k, f"n_{k}", "token"))
         near = (F.col("n_k1") >= least * F.col("n_k0") - 1e-9) & (F.col("n_k0") >= least * F.col("n_k1") - 1e-9)
         pairs = first[0].join(first[1], "token").where(near).select("k0", "k1").distinct()
         common = F.size(F.array_intersect("w0", "w1"))
