@@ -236,6 +236,7 @@ def _skills(spark: SparkSession, d: str) -> DataFrame:
     line, o, part = _t(spark, d, "lineitem"), _t(spark, d, "orders"), _t(spark, d, "part")
     rows = line.join(o, line.l_orderkey == o.o_orderkey).join(part, line.l_partkey == part.p_partkey)
     rows = rows.select(F.col("o_custkey").alias("user_id"), F.coalesce(clean.nullify_blank(F.col("p_name")), "p_brand").alias("skill"), (F.col("p_size") > 25).cast("double").alias("predicted"), "p_partkey")
+    rows = panel.dealt(rows, "user_id", line.count())
     rows = panel.least_record(rows.where("skill is not null"), ["user_id", "skill"], [F.col("p_partkey")]).withColumns(clean.regex_flags(F.lower("skill"), _SKILL_WORDS))
     return rows.groupBy("user_id").agg(F.count_distinct("skill").alias("distinct_skills"), r(F.avg("predicted")).alias("predicted_share"), *(F.max(n).alias(n) for n in _SKILL_WORDS))
 
