@@ -99,6 +99,21 @@ def by_size(sizes: DataFrame, key: str, make: Callable[[DataFrame | None, str, b
     return make(large, "left_anti", True).unionByName(make(large, "left_semi", False))
 
 
+def distinct_by_level(df: DataFrame, entity: str, levels: Mapping[str, str], n_rows: int) -> DataFrame:
+    """``level, key, n``: the distinct entities at each value (as text) of each level's column, and of all rows at ``all, all``.
+
+    Rows are dealt by entity once for all levels, and an entity's values are held in one set a level where its rows are: beyond
+    that only counts are shuffled. A null value is a key of its own; a null entity does not count.
+    """
+    rows = df.where(F.col(entity).isNotNull()).select(entity, *levels.values())
+    sets = [x for c in levels.values() for x in (F.collect_set(c).alias(c), F.bool_or(F.col(c).isNull()).alias(f"__{c}"))]
+    held = dealt(rows, entity, n_rows).groupBy(entity).agg(*sets)
+    values = lambda c: F.when(F.col(f"__{c}"), F.array_append(c, F.lit(None))).otherwise(F.col(c))
+    keys = {"all": F.array(F.lit("all"))} | {level: values(c).cast("array<string>") for level, c in levels.items()}
+    keys = F.array(*(F.struct(F.lit(level).alias("level"), x.alias("keys")) for level, x in keys.items()))
+    return held.select(F.inline(keys)).select("level", F.explode("keys").alias("key")).groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def build_panel(df: DataFrame, keys: Sequence[str], weight: str, measures: Sequence[Measure], whole: bool = False) -> DataFrame:
     """All measures of each key: one plain aggregate of numbers, whose partial sums leave the map side.
 

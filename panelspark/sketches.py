@@ -31,7 +31,8 @@ def merge(panel: DataFrame, keys: Sequence[str], distinct: Sequence[str] = (), q
 
 
 def estimates(panel: DataFrame, distinct: Sequence[str] = (), quantiles: Mapping[str, Sequence[float]] = {}) -> DataFrame:
-    """Sketch columns replaced by what they say: a count under the same name, quantiles as ``<name>_p<percent>``."""
+    """Sketch columns replaced by what they say: a count under the same name, quantiles as ``<name>_p<percent>``, null where there was no number."""
     d = {c: F.hll_sketch_estimate(c) for c in distinct}
-    q = {f"{c}_p{round(100 * at):02d}": F.kll_sketch_get_quantile_double(c, F.lit(float(at))) for c, ats in quantiles.items() for at in ats}
+    at_rank = lambda c, at: F.when(F.kll_sketch_get_n_double(c) > 0, F.kll_sketch_get_quantile_double(c, F.lit(float(at))))
+    q = {f"{c}_p{round(100 * at):02d}": at_rank(c, at) for c, ats in quantiles.items() for at in ats}
     return panel.withColumns(d | q).drop(*quantiles)

@@ -345,18 +345,40 @@ _CELLS = "SELECT 'parent' AS level, CAST(s_nationkey AS VARCHAR) AS key, l_order
 SELECT level, key, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, true AS distinct_ok, true AS p10_ok, true AS p50_ok, true AS p90_ok FROM c GROUP BY level, key""")
 def a23_sketches(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of firm-years merged to parents, years and all, held against exact counts and ranks: whether they keep their stated errors."""
-    line, s = _t(spark, d, "lineitem"), _t(spark, d, "supplier")
-    rows = line.join(s, line.l_suppkey == s.s_suppkey).select("l_suppkey", "s_nationkey", F.year("l_shipdate").alias("year"), "l_orderkey", "l_extendedprice")
+    line = _t(spark, d, "lineitem").select("l_suppkey", F.year("l_shipdate").alias("year"), "l_orderkey", "l_extendedprice")
+    n_rows, supplier = line.count(), panel.small(_t(spark, d, "supplier").select("s_suppkey", "s_nationkey"))
+    rows = lambda lines: lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
+
+    def firm_years(large: DataFrame | None, how: str, whole: bool) -> DataFrame:
+        lines = line if large is None else line.join(large, "l_suppkey", how)
+        lines = panel.dealt(lines, "l_suppkey", n_rows) if whole else lines  # a large firm's sketches are merged from those of many tasks
+        return sketches.sketch_panel(rows(lines), ["l_suppkey", "s_nationkey", "year"], {"orders": "l_orderkey"}, {"price": "l_extendedprice"})
+
+    columns, deciles = {"parent": "s_nationkey", "year": "year"}, (10, 50, 90)
+    levels = {n: F.col(c).cast("string") for n, c in columns.items()} | {"all": F.lit("all")}
+    cells = F.array(*(F.struct(F.lit(n).alias("level"), c.alias("key")) for n, c in levels.items()))
+    same = lambda a, b: (a["level"] == b["level"]) & a["key"].eqNullSafe(b["key"])
     with io.released(spark):
-        fine = io.stable(sketches.sketch_panel(rows, ["l_suppkey", "s_nationkey", "year"], {"orders": "l_orderkey"}, {"price": "l_extendedprice"}))
-        levels = {"parent": F.col("s_nationkey").cast("string"), "year": F.col("year").cast("string"), "all": F.lit("all")}
-        cells = F.array(*(F.struct(F.lit(n).alias("level"), c.alias("key")) for n, c in levels.items()))
+        fine = io.stable(panel.by_size(line.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), "l_suppkey", firm_years))
         coarse = sketches.merge(fine.select("*", F.inline(cells)), ["level", "key"], ["orders"], ["price"])
-        coarse = io.stable(sketches.estimates(coarse, ["orders"], {"price": (0.1, 0.5, 0.9)}))
-        exact = rows.select("l_orderkey", "l_extendedprice", F.inline(cells)).join(coarse, ["level", "key"])
-        below = lambda c: F.avg(F.when(F.col("l_extendedprice") <= F.col(c), 1.0).otherwise(0.0))
-        out = exact.groupBy("level", "key", "orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_orders"), *(below(f"price_p{q}").alias(f"at{q}") for q in (10, 50, 90)))
-        near = [(F.abs(F.col(f"at{q}") - q / 100) <= sketches.RANK_ERROR + 1 / F.col("n")).alias(f"p{q}_ok") for q in (10, 50, 90)]
+        coarse = io.stable(sketches.estimates(coarse, ["orders"], {"price": [q / 100 for q in deciles]}).drop("n"))
+        # prices are ranked in one pass over the finest cells of all levels, whose counts are then summed
+        marks = fine.select(F.col("s_nationkey").alias("__parent"), F.col("year").alias("__year")).distinct()
+        for level in levels:
+            own = coarse.where(F.col("level") == level).select(F.col("key").alias("__key"), *(F.col(f"price_p{q}").alias(f"{level}{q}") for q in deciles))
+            marks = marks.join(own, F.lit(True) if level == "all" else F.col(f"__{level}").cast("string").eqNullSafe(F.col("__key"))).drop("__key")
+        x = F.nanvl("l_extendedprice", F.lit(None).cast("double"))
+        sides = {"under": lambda c: x < F.col(c), "to": lambda c: x <= F.col(c)}
+        counts = [F.count_if(side(f"{level}{q}")).alias(f"{n}_{level}{q}") for level in levels for q in deciles for n, side in sides.items()]
+        ranked = rows(line).join(F.broadcast(marks), F.col("s_nationkey").eqNullSafe(F.col("__parent")) & F.col("year").eqNullSafe(F.col("__year")))
+        ranked = ranked.groupBy("s_nationkey", "year").agg(F.count(F.lit(1)).alias("n"), F.count(x).alias("n_x"), *counts)
+        own = [F.struct(F.lit(level).alias("level"), c.alias("key"), *(F.col(f"{n}_{level}{q}").alias(f"{n}{q}") for n in sides for q in deciles)) for level, c in levels.items()]
+        ranks = ranked.select("n", "n_x", F.inline(F.array(*own))).groupBy("level", "key").agg(*(F.sum(c).alias(c) for c in ("n", "n_x", *(f"{n}{q}" for n in sides for q in deciles))))
+        found = panel.distinct_by_level(rows(line), "l_orderkey", columns, n_rows).withColumnRenamed("n", "found")
+        out = ranks.join(coarse, same(ranks, coarse)).join(found, same(ranks, found), "left").select(*(ranks[c] for c in ranks.columns), "orders", F.coalesce("found", F.lit(0).cast("long")).alias("n_orders"))
+        # the ranks of a value reach from the share under it to the share up to it; a cell without prices has none to be wrong
+        at, error = lambda c: F.try_divide(F.col(c), F.col("n_x")), F.try_divide(F.lit(1), F.col("n_x")) + sketches.RANK_ERROR
+        near = [F.coalesce(F.lit(q / 100).between(at(f"under{q}") - error, at(f"to{q}") + error), F.lit(True)).alias(f"p{q}_ok") for q in deciles]
         out = out.select("level", "key", "n", "n_orders", (F.abs(F.col("orders") - F.col("n_orders")) <= sketches.DISTINCT_ERROR * F.col("n_orders") + 1).alias("distinct_ok"), *near)
         return io.stable(out, keep=True)
 
