@@ -7,15 +7,18 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialise
+from .common import connected_components, load, materialise, released
 
-#: Vectors that codebooks are fitted on at most, subspaces, codes in each, and rows of one block of a list.
-SAMPLE, SUBSPACES, CODES, BLOCK = 12_000, 8, 64, 2048
-#: Rows that a list of the largest label should have: a query is sent to each list that it probes, so lists are few and
-#: full. Eight sampled vectors a list are the least that centroids are fitted on; beyond that lists grow, in blocks.
+#: Vectors that codebooks are fitted on at most, subspaces, codes in each, and rows and bytes of a block of lists, or of queries, at most.
+SAMPLE, SUBSPACES, CODES, BLOCK, BLOCK_BYTES = 12_000, 8, 64, 16_384, 16_000_000
+#: Queries that a block of lists is compared with at a time.
+STEP = 1024
+#: Rows of a layout that is sent to all executors at most.
+LAYOUT_ROWS = 500_000
+#: Rows that a list of the largest label should have. Eight sampled vectors a list are the least that centroids are fitted on; beyond that lists grow.
 CELL = 512
 
 
@@ -31,6 +34,11 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray
     return c
 
 
+def _compact(c: np.ndarray) -> np.ndarray:
+    """Centroids in an order in which near ones follow each other, so that a block of lists in turn lies in one place."""
+    return c[np.argsort(_nearest(c, _kmeans(c, math.isqrt(len(c)) or 1))[0], kind="stable")]
+
+
 def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
     return d.argmin(1), d
@@ -40,32 +48,44 @@ class Index:
     """Coarse centroids and residual codebooks; all distances are between unit vectors."""
 
     def __init__(self, sample: np.ndarray, n_lists: int):
-        self.coarse = _kmeans(sample, n_lists)
+        self.coarse = _compact(_kmeans(sample, n_lists))
         rest = sample - self.coarse[_nearest(sample, self.coarse)[0]]
         parts = np.split(rest, SUBSPACES, axis=1)
         self.books = [_kmeans(p, CODES, seed=i + 1) for i, p in enumerate(parts)]
         self.between = np.sqrt(_nearest(self.coarse, self.coarse)[1])
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes, distance to the decoded vector, and squared distances to all centroids."""
-        near, d = _nearest(x, self.coarse)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, codes and distance to the decoded vector."""
+        near = _nearest(x, self.coarse)[0]
         rest = x - self.coarse[near]
         codes = np.stack([_nearest(p, b)[0] for p, b in zip(np.split(rest, SUBSPACES, axis=1), self.books, strict=True)], axis=1)
-        decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
-        return near, codes.astype(np.uint8), np.linalg.norm(rest - decoded, axis=1), d
+        return near, codes.astype(np.uint8), np.linalg.norm(rest - self._decoded(codes), axis=1)
+
+    def _decoded(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
 
-    def probes(self, near: np.ndarray, d: np.ndarray, radius: float) -> np.ndarray:
-        """Which lists can hold a vector within ``radius``: those whose bounding plane is not farther than that."""
+    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which lists can hold a vector within ``radius``: those whose bounding plane is not farther than that; and squared distances to all centroids."""
+        near, d = _nearest(x, self.coarse)
         own = d[np.arange(len(near)), near][:, None]
-        gap = self.between[near]
-        return (d - own) <= 2 * gap * (radius + 1e-9)
+        return (d - own) <= 2 * self.between[near] * (radius + 1e-9) + 1e-9, d
+
+    def own_part(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What a coded vector adds to its squared distance from any query, besides the centroid's and the looked up products."""
+        decoded = self._decoded(codes)
+        return 2 * np.einsum("ij,ij->i", self.coarse[lists], decoded) + (decoded * decoded).sum(1)
+
+    def products(self, q: np.ndarray) -> list[np.ndarray]:
+        """Products of queries, as columns, with each code of each subspace: the tables that distances are looked up in."""
+        return [(b @ p.T).astype(np.float32) for p, b in zip(np.split(q, SUBSPACES, axis=1), self.books, strict=True)]
 
-    def asymmetric(self, q: np.ndarray, codes: np.ndarray, cell: int) -> np.ndarray:
-        """Distances of queries to the coded vectors of one list, by table lookup."""
-        out = np.zeros((len(q), len(codes)))
-        for i, (p, b) in enumerate(zip(np.split(q - self.coarse[cell], SUBSPACES, axis=1), self.books, strict=True)):
-            out += _nearest(p, b)[1][:, codes[:, i]]
-        return np.sqrt(out)
+
+def _lookup(tables: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """Products of the coded vectors' rests, as rows, with queries: a sum over subspaces."""
+    out = tables[0][codes[:, 0]]
+    for i, t in enumerate(tables[1:], 1):
+        out += t[codes[:, i]]
+    return out
 
 
 def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | None = None) -> DataFrame:
@@ -75,10 +95,15 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
     nothing. Vectors of different lengths are never compared. Equal vectors of a label are one class with a count.
     Centroids and codebooks are fitted on a bounded sample (``SAMPLE``); every class is indexed, each is a query, and
     it probes every list that can hold a link. Lookup distances less the coding error bound the true ones, so no link
-    is lost; what remains is compared by exact cosine. A large list is dealt to blocks of ``BLOCK`` rows, and links
-    leave a block as counts and a spanning star, never as all pairs.
+    is lost; what remains is compared by exact cosine. A label's lists are dealt in turn to blocks of ``BLOCK`` rows, a
+    query goes once to each block that holds a list it probes, and links leave a block as counts and a spanning star,
+    never as all pairs. Rows that are shuffled are those of a label times its number of blocks.
     """
-    spark = vectors.sparkSession
+    with released(vectors.sparkSession):
+        return materialise(_links(vectors, threshold, n_lists), keep=True)
+
+
+def _links(vectors: DataFrame, threshold: float, n_lists: int | None) -> DataFrame:
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     def unit(batches):
@@ -123,41 +148,67 @@ def vector_links(vectors: DataFrame, threshold: float = 0.93, n_lists: int | Non
 
     def indexed(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near, codes, error, d = index.encode(matrix(batch.column(4)))
-            probes = [np.nonzero(p)[0].astype(np.int32) for p in index.probes(near, d, radius)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error), pa.array(probes, pa.list_(pa.int32()))],
-                [*batch.schema.names, "list", "codes", "error", "probes"],
-            )
-
-    schema = "label string, dim int, rep long, m long, vec binary, list int, codes binary, error double, probes array<int>"
+            if batch.num_rows:
+                near, codes, error = index.encode(matrix(batch.column(4)))
+                more = [pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes]), pa.array(error)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "list", "codes", "error"])
+
+    def probing(batches):
+        for batch in batches:
+            if batch.num_rows:
+                probes = [np.nonzero(p)[0].astype(np.int32) for p in index.probes(matrix(batch.column(3)), radius)[0]]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probes, pa.list_(pa.int32()))], [*batch.schema.names, "probes"])
+
+    schema = "label string, dim int, rep long, m long, vec binary, list int, codes binary, error double"
     coded = materialise(classes.select("label", "dim", "rep", "m", "vec").mapInArrow(indexed, schema))
-    cell = ["label", "dim", "list"]
-    asked = coded.select("label", "dim", F.explode("probes").alias("list"), "rep", "vec")
-    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sizes = coded.groupBy(*cell).agg(F.count(F.lit(1)).alias("nb")).join(asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("nq")), cell)
-    sizes = sizes.select(*cell, parts("nb").alias("nb"), parts("nq").alias("nq"))
-    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    of = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
-    base = coded.drop("probes").join(sizes, cell).withColumn("bs", of("nb")).withColumn("qs", spread("nq")).drop("nb", "nq")
-    asking = asked.join(sizes, cell).withColumn("qs", of("nq")).withColumn("bs", spread("nb")).drop("nb", "nq")
-    asking = asking.select(*(F.col(c).alias(c) for c in asking.columns))  # other columns than base's, for the cogroup
-    keys = [*cell, "bs", "qs"]
+    cell, of = ["label", "dim", "list"], ["label", "dim"]
+    block = max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
+    in_turn = Window.partitionBy(*of).orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
+    cells = coded.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(in_turn), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy(*of)))
+    cells = materialise(cells.withColumn("blocks", F.ceil(F.col("total") / block).cast("int")))
+    at = lambda place: F.floor(place * F.col("blocks") / F.col("total")).cast("int")
+    spans = cells.select(*of, "list", "blocks", F.explode(F.sequence(at(F.col("before")), at(F.col("before") + F.col("n") - 1))).alias("bs"))
+    blocks = materialise(spans.groupBy(*of, "bs").agg(F.min("list").alias("low"), F.max("list").alias("high"), F.max("blocks").alias("blocks")))
+    sent = lambda t: F.broadcast(t) if t.count() <= LAYOUT_ROWS else t
+    base = coded.join(sent(cells), cell).withColumn("bs", at(F.col("before") + F.pmod(F.xxhash64("rep"), F.col("n")))).withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    base = base.drop("n", "before", "total", "blocks")
+    asked = coded.select("label", "dim", "rep", "vec").mapInArrow(probing, "label string, dim int, rep long, vec binary, probes array<int>")
+    asking = asked.join(sent(blocks), of).where(F.exists("probes", lambda p: p.between(F.col("low"), F.col("high")))).withColumn("qs", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    keys = ["label", "dim", "bs", "qs"]
+    asking = asking.select(*(F.col(c).alias(c) for c in [*keys, "rep", "vec"]))  # other columns than base's, for the cogroup
+
+    def pairs(qv: np.ndarray, bv: np.ndarray, lists: np.ndarray, codes: np.ndarray, reach: np.ndarray):
+        """Places of queries and of rows whose cosine reaches the threshold; ``lists`` is in order."""
+        own = index.own_part(lists, codes) - reach
+        ends = [*np.nonzero(np.diff(lists, prepend=-1))[0].tolist(), len(lists)]
+        for s in range(0, len(qv), STEP):
+            q = qv[s : s + STEP]
+            probes, d = index.probes(q, radius)
+            tables = index.products(q)
+            for a, b in zip(ends, ends[1:]):
+                some = np.nonzero(probes[:, lists[a]])[0]
+                few = [t[:, some] for t in tables]
+                far = d[some, lists[a]]
+                for c in range(a, b, STEP):
+                    rows = slice(c, min(b, c + STEP))
+                    bi, qi = np.nonzero(2 * _lookup(few, codes[rows]) >= (own[rows, None] + far).astype(np.float32) - np.float32(1e-5))
+                    bi, qi = bi + c, some[qi] + s
+                    for e in range(0, len(qi), 65536):
+                        x, y = qi[e : e + 65536], bi[e : e + 65536]
+                        good = np.einsum("ij,ij->i", qv[x], bv[y]) >= threshold
+                        yield x[good], y[good]
 
     def link(q: pa.Table, b: pa.Table) -> pa.Table:
         kind, left, right = [], [], []
         if q.num_rows and b.num_rows:
+            b = b.sort_by("list")
             qv, bv = matrix(q.column("vec")), matrix(b.column("vec"))
             qid, bid, m = (t.column(c).to_numpy() for t, c in ((q, "rep"), (b, "rep"), (b, "m")))
             codes = np.frombuffer(b"".join(c.as_py() for c in b.column("codes")), np.uint8).reshape(-1, SUBSPACES)
-            maybe = index.asymmetric(qv, codes, b.column("list")[0].as_py()) - b.column("error").to_numpy() <= radius + 1e-6
-            maybe &= qid[:, None] != bid
-            qi, bi = np.nonzero(maybe)
-            cosine = np.concatenate([np.einsum("ij,ij->i", qv[qi[s : s + 65536]], bv[bi[s : s + 65536]]) for s in range(0, len(qi), 65536)] or [np.zeros(0)])
-            good = cosine >= threshold
-            qi, bi = qi[good], bi[good]
+            found = list(pairs(qv, bv, b.column("list").to_numpy(), codes, (radius + 1e-6 + b.column("error").to_numpy()) ** 2))
+            qi, bi = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            other = qid[qi] != bid[bi]
+            qi, bi = qi[other], bi[other]
             if len(qi):
                 found = np.bincount(qi, weights=m[bi], minlength=len(qid)).astype(np.int64)
                 asked_by = np.nonzero(found)[0]
