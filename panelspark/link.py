@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,64 +20,148 @@ from .regress import quantiles
 TERM = ("t1", "t2")
 #: Levels of how common a term is: half octaves of the product of its frequencies in both lists, which fits 63 bits.
 LEVELS = 128
+#: Bytes of texts that one task cuts at a time.
+BLOCK_BYTES = 4_000_000
+#: Postings that meet by term for each left posting, up to which all pairs are summed; beyond that pairs are pruned.
+PRODUCTS = 16
+#: Pairs of a task for each of its ``TASK_ROWS``.
+PAIRS = 4
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits for each pair of hashed words, in order."""
+    x = a * _MIX[0] + (b ^ (b >> np.uint64(29)))
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def _cut(rows: pa.Table, stop_words: Sequence[str], bigrams: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's keys and terms (both halves of their names, in order of the first), and its postings: term, key, frequency. Rows of a key are one."""
+    keys = rows.column("key").combine_chunks().dictionary_encode("encode")
+    words = pc.split_pattern_regex(rows.column("text").combine_chunks(), r"[^\p{L}\p{N}_]+")
+    row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    words = words.flatten().dictionary_encode()
+    known = words.dictionary
+    names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known.cast(pa.binary()).to_pylist())), np.uint64).reshape(-1, 2)
+    wanted = pc.greater_equal(pc.utf8_length(known), 2).to_numpy(zero_copy_only=False) & ~pc.is_in(known, pa.array(list(stop_words), known.type)).to_numpy(zero_copy_only=False)
+    word = words.indices.to_numpy()
+    kept = wanted[word]
+    word, row = word[kept], row[kept]
+    key = keys.indices.to_numpy()[row]
+    halves = [names[word, i] for i in (0, 1)]
+    if bigrams:
+        follows = np.nonzero(row[1:] == row[:-1])[0]
+        halves = [np.concatenate([h, _pair(h[follows], h[follows + 1])]) for h in halves]
+        key = np.concatenate([key, key[follows]])
+    t1, first, term = np.unique(halves[0], return_index=True, return_inverse=True)
+    posting, tf = np.unique(term * np.int64(max(1, len(keys.dictionary))) + key, return_counts=True)
+    term, key = np.divmod(posting, max(1, len(keys.dictionary)))
+    return keys.dictionary, t1, halves[1][first], term, key, tf
+
+
+def _part(t1: np.ndarray, parts: int) -> np.ndarray:
+    """The part of all terms that a term is in: ranges of the top 31 bits, so that terms in order have their parts in order."""
+    return ((t1 >> np.uint64(33)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
+
+
+def _blobs(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+
+
+def _weighed(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str, bigrams: bool) -> tuple[DataFrame, DataFrame, tuple[int, int, int]]:
+    """``k0, t1, t2, w`` and ``k1, t1, t2, w``, a row for each key with a term that both lists have and arrays of those; and how many postings they make, left and right, and how many meet.
+
+    Texts are dealt by key to blocks of ``BLOCK_BYTES``. A block sends the terms it has, once each, and how many keys have them, to the parts of all terms,
+    and gets the sums back in the same order; so neither terms nor postings are shuffled as rows. Frequencies are counted by the first half of a
+    term's name, 64 bits: a billion terms have 0.03 clashes on average.
+    """
+    spark = left.sparkSession
+    lists = [df.select(F.col(k).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")) for df, k in ((left, left_key), (right, right_key))]
+    (n0, size), (n1, more) = (df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first() for df in lists)
+    n, least = n0 + n1, spark.sparkContext.defaultParallelism
+    blocks = [max(least, -(-x // BLOCK_BYTES)) for x in (size, more)]
+    parts = max(least, sum(blocks) // 4)
+    lists = [df.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(b)).cast("int")) for df, b in zip(lists, blocks, strict=True)]
+    stop_words = list(stop_words)
+
+    def found(side: int):
+        def count(rows: pa.Table) -> pa.Table:
+            _, t1, _, term, _, _ = _cut(rows, stop_words, bigrams)
+            own, starts = np.unique(_part(t1, parts), return_index=True)
+            ends = [*starts.tolist(), len(t1)]
+            held = np.bincount(term, minlength=len(t1)).astype(np.uint32)
+            same = [pa.array(np.full(len(own), x, np.int32)) for x in (side, rows.column("block")[0].as_py())]
+            return pa.table([*same, pa.array(own.astype(np.int32)), _blobs(t1, ends), _blobs(held, ends)], ["side", "block", "part", "terms", "held"])
+
+        return lists[side].groupBy("block").applyInArrow(count, "side int, block int, part int, terms binary, held binary")
+
+    def total(rows: pa.Table) -> pa.Table:
+        terms, held = (rows.column(c).to_pylist() for c in ("terms", "held"))
+        ends = np.cumsum([0, *(len(x) // 8 for x in terms)])
+        side = np.repeat(rows.column("side").to_numpy(), np.diff(ends))
+        held = np.frombuffer(b"".join(held), np.uint32)
+        t1, term = np.unique(np.frombuffer(b"".join(terms), np.uint64), return_inverse=True)
+        each = [np.bincount(term, weights=held * (side == s), minlength=len(t1)) for s in (0, 1)]
+        shared = (each[0] > 0) & (each[1] > 0)
+        sums = [int(x[shared].sum()) for x in (each[0], each[1], each[0] * each[1])]
+        sums = [pa.array([x] + [0] * (rows.num_rows - 1), pa.int64()) for x in sums]
+        df = np.where(shared, -1, 1) * (each[0] + each[1]).astype(np.int64)  # those of shared terms are negative
+        return pa.table([rows.column("side"), rows.column("block"), rows.column("part"), _blobs(df.astype(np.int32)[term], ends), *sums], ["side", "block", "part", "df", "s0", "s1", "s2"])
+
+    both = found(0).unionAll(found(1)).groupBy("part").applyInArrow(total, "side int, block int, part int, df binary, s0 long, s1 long, s2 long")
+    both = stable(both)
+    sums = tuple(int(x) for x in both.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("s0", "s1", "s2"))).first())
+
+    def weigh(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        keys, t1, t2, term, key, tf = _cut(rows, stop_words, bigrams)
+        df = np.frombuffer(b"".join(counts.sort_by("part").column("df").to_pylist()), np.int32).astype(np.int64)
+        w = tf * (np.log((1.0 + n) / (1 + np.abs(df))) + 1)[term]
+        norm = np.sqrt(np.bincount(key, weights=w * w, minlength=len(keys)))
+        kept = np.nonzero(df[term] < 0)[0]
+        kept = kept[np.argsort(key[kept], kind="stable")]
+        term, key, w = term[kept], key[kept], w[kept] / norm[key[kept]]
+        own, starts = np.unique(key, return_index=True)
+        ends = pa.array([*starts.tolist(), len(key)], pa.int32())
+        columns = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t1[term].view(np.int64), t2[term].view(np.int64), w)]
+        return pa.table([keys.take(pa.array(own)), *columns], ["key", *TERM, "w"])
+
+    out = []
+    for side, df in enumerate(lists):
+        kind = df.schema["key"].dataType.simpleString()
+        counts = both.where(F.col("side") == side).select("block", "part", "df")
+        own = df.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(weigh, f"key {kind}, t1 array<long>, t2 array<long>, w array<double>")
+        out.append(own.withColumnRenamed("key", f"k{side}"))
+    return out[0], out[1], sums
+
+
+def _postings(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.inline(F.arrays_zip(*TERM, "w")))
 
 
-def terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
-    """``key, t1, t2, tf``: words of two letters or digits and more without stop words, and pairs of neighbours, by ``TERM``.
+def tfidf_postings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``k0, t1, t2, w`` and ``k1, t1, t2, w``: the terms that both lists have, with weights of unit length over all of a row's terms.
 
-    Texts are dealt by their key before they are cut, so that their terms are counted where they are.
+    Terms are words of two letters or digits and more without stop words, and pairs of neighbours, by ``TERM``. Smooth IDF is fitted on both lists. Norms are sums over all terms; only the shared ones are kept.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    words = F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
-    df = df.select(key, text).repartition(n, key).select(key, words.alias("w"))
-    rest = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
-    all_terms = F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))) if bigrams else F.col("w")
-    named = df.select(key, F.explode(all_terms).alias("term")).select(key, F.xxhash64("term").alias("t1"), F.xxhash64(F.lit(7), "term").alias("t2"))
-    return named.groupBy(key, *TERM).agg(F.count(F.lit(1)).alias("tf"))
+    a, b, _ = _weighed(left, right, left_key, right_key, stop_words, text, bigrams)
+    return stable(_postings(a, "k0")), stable(_postings(b, "k1"))
 
 
-def tfidf_postings(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``k0, t1, t2, w`` and ``k1, t1, t2, w``: the terms that both lists have, with weights of unit length over all of a row's terms.
+def _pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str, least) -> DataFrame:
+    """``k0, k1, sim`` of at least all pairs that reach ``least``, a number or a function from both lists' postings to each left row's (``similar_pairs``).
 
-    Smooth IDF is fitted on both lists. Norms are sums over all terms; only the shared ones are kept.
+    Where the right list's postings go to all tasks and not many meet a left one, a left row's pairs are summed where it is.
     """
-    counted = [terms(df, key, text, stop_words, bigrams).select(F.col(key).alias(f"k{side}"), *TERM, "tf") for side, (df, key) in enumerate(((left, left_key), (right, right_key)))]
-    n = left.count() + right.count()
-    both = counted[0].select(F.lit(0).alias("side"), *TERM).unionAll(counted[1].select(F.lit(1).alias("side"), *TERM))
-    found = F.count(F.lit(1))
-    idf = both.groupBy(*TERM).agg((F.log((1.0 + n) / (1 + found)) + 1).alias("idf"), F.floor(F.log2(found)).cast("int").alias("size"), (F.max("side") > F.min("side")).alias("shared"))
-    idf = stable(idf)
-    at = _frequent(idf)
-    hot = F.col("shared") | (F.col("size") >= at)
-    known, rest = idf.where(hot), idf.where(~hot)
-    known = small(known.select(*TERM, "idf", "shared"))
-    some = not rest.isEmpty()
-    return tuple(stable(_unit(c, f"k{side}", known, rest if some else None)) for side, c in enumerate(counted))
-
-
-def _frequent(idf: DataFrame) -> int:
-    """The least size, a power of two, from which on terms are few enough to be sent to all executors beside the shared ones."""
-    sizes = dict(idf.where("not shared").groupBy("size").count().collect())  # at most 64 rows
-    left = BROADCAST_ROWS - idf.where("shared").count()
-    for at in sorted(sizes, reverse=True):
-        left -= sizes[at]
-        if left < 0:
-            return at + 1
-    return 0
-
-
-def _unit(counted: DataFrame, key: str, known: DataFrame, rest: DataFrame | None) -> DataFrame:
-    """``key, t1, t2, w`` of the shared terms. ``known`` terms are looked up where the texts are cut; only those of ``rest`` are shuffled, for their part of the norm."""
-    w = F.col("tf") * F.col("idf")
-    own = F.collect_list(F.when(F.col("shared"), F.struct(*TERM, w.alias("w")))).alias("own")
-    rows = counted.join(known, list(TERM), "left").groupBy(key).agg(F.coalesce(F.sum(w * w), F.lit(0.0)).alias("q"), own)
-    if rest is not None:
-        more = counted.join(known.select(*TERM), list(TERM), "left_anti").join(rest.select(*TERM, "idf"), list(TERM)).groupBy(key).agg(F.sum(w * w).alias("more"))
-        rows = rows.where(F.size("own") > 0).join(more, key, "left").withColumn("q", F.col("q") + F.coalesce("more", F.lit(0.0)))
-    return rows.select(key, F.sqrt("q").alias("norm"), F.inline("own")).select(key, *TERM, (F.col("w") / F.col("norm")).alias("w"))
+    a, b, (n0, n1, met) = _weighed(left, right, left_key, right_key, stop_words, text, True)
+    b = stable(_postings(b.where("k1 is not null"), "k1"))
+    if n1 <= BROADCAST_ROWS and met <= PRODUCTS * n0:
+        n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // (PAIRS * TASK_ROWS)))
+        a = _postings(a.where("k0 is not null").repartition(n, "k0"), "k0")
+        return a.join(F.broadcast(b.withColumnRenamed("w", "w1")), list(TERM)).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("sim"))
+    a = stable(_postings(a, "k0"))
+    return similar_pairs(a, b, least(a, b) if callable(least) else least)
 
 
 def tfidf_similarity(left: DataFrame, right: DataFrame, left_key: str, right_key: str, stop_words: Sequence[str], text: str = "text", bigrams: bool = True) -> DataFrame:
@@ -145,7 +233,7 @@ def matches_above(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     """
     with released(left.sparkSession):
         n_cells = left.count() * right.count()
-        s = stable(similar_pairs(*tfidf_postings(left, right, left_key, right_key, stop_words, text), floor).where(F.col("sim") >= floor))
+        s = stable(_pairs(left, right, left_key, right_key, stop_words, text, floor).where(F.col("sim") >= floor))
         k = s.count()
         at = q * (n_cells - 1) - (n_cells - k)
         tau = quantiles(s, "sim", [min(1.0, at / max(1, k - 1))])[0] if at >= 0 and k else floor
@@ -160,16 +248,11 @@ def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     reaches; only pairs that can reach it are formed.
     """
     with released(left.sparkSession):
-        a, b = tfidf_postings(left, right, left_key, right_key, stop_words, text)
-        least = stable(_champions(a, b).withColumn("least", F.col("least") - 2 * 10.0**-digits))
-        sims = similar_pairs(a, b, least).withColumnsRenamed({"k0": left_key, "k1": right_key})
+        least = lambda a, b: stable(_champions(a, b).withColumn("least", F.col("least") - 2 * 10.0**-digits))
+        sims = _pairs(left, right, left_key, right_key, stop_words, text, least).withColumnsRenamed({"k0": left_key, "k1": right_key})
         return stable(best_match(left, sims, left_key, right_key, digits), keep=True)
 
 
-#: Pairs of a task for each of its ``TASK_ROWS``.
-PAIRS = 4
-
-
 def _token_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, n, w``: the distinct runs of a-z and 0-9 of the lower-cased text."""
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
