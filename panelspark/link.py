@@ -347,6 +347,11 @@ def exposure(cells: DataFrame, tasks: DataFrame, totals: DataFrame, entity: Sequ
     twin = "xi_sim" if "xi_sim" in tasks.columns else "xi"
     w, x = F.col("omega"), F.col("xi")
     met = tasks.join(weights, task).groupBy(*entity, occupation).agg(F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"), F.sum(w * F.col(twin)).alias("twin"))
+    return _averages(cells, met, totals, entity, weights, occupation)
+
+
+def _averages(cells: DataFrame, met: DataFrame, totals: DataFrame, entity: Sequence[str], weights: DataFrame, occupation: str) -> DataFrame:
+    """``exposure`` from each entity's and occupation's sums over tasks: weighted exposures, their squares, and the twin."""
     whole = weights.groupBy(occupation).agg(F.sum("omega").alias("sw"))
     out = cells.join(whole, occupation, "left").join(met, [*entity, occupation], "left").join(totals, list(entity), "left")
     out = clean.fill(out, {"s1": 0.0, "s2": 0.0, "twin": 0.0, "sw": 0.0, "total": 0.0})
@@ -355,18 +360,54 @@ def exposure(cells: DataFrame, tasks: DataFrame, totals: DataFrame, entity: Sequ
     return out.withColumns({f"{c}_scaled": F.col(c) * F.log1p("total") for c in ("average", "concentration", "twin_average")})
 
 
-def text_exposure(cells: DataFrame, counts: DataFrame, bridge: DataFrame, crosswalk: DataFrame, weights: DataFrame, entity: Sequence[str], category: str, task: str, occupation: str, code: str) -> DataFrame:
+def _met_by_category(counts: DataFrame, bridge: DataFrame, totals: DataFrame, weights: DataFrame, entity: Sequence[str], category: str, task: str, occupation: str) -> DataFrame:
+    """``s1, s2, twin`` of each entity and occupation (``_averages``) without a row for each entity and task.
+
+    An exposure is a sum over categories of the entity's share, so weighted sums over tasks are formed once for all entities: of each
+    category, and for the squares of each two categories that a task has; shares come to these sums only.
+    """
+    own = bridge.groupBy(task).agg(F.collect_list(F.struct(F.col(category).alias("c"), "sim")).alias("has"))
+    linked = own.join(weights.select(occupation, task, "omega"), task).select(occupation, "omega", "has", F.explode("has").alias("x"))
+    linked = linked.select(occupation, "omega", "x.c", F.col("x.sim").alias("sim"), F.filter("has", lambda y: y["c"] >= F.col("x.c"))["c"].alias("with"))
+    one = linked.groupBy(occupation, "c").agg(F.sum("omega").alias("u"), F.sum(F.col("omega") * F.col("sim")).alias("v"))
+    two = linked.select(occupation, "omega", "c", F.explode("with").alias("d")).groupBy(occupation, "c", "d").agg(F.sum(F.col("omega") * F.when(F.col("c") == F.col("d"), 1).otherwise(2)).alias("m"))
+    share = stable(counts.groupBy(*entity, F.col(category).alias("c")).agg(F.sum("n").alias("n")).join(totals, list(entity)).select(*entity, "c", F.try_divide("n", "total").alias("share")))
+    share = small(share)
+    firsts = one.join(share, "c").groupBy(*entity, occupation).agg(F.sum(F.col("u") * F.col("share")).alias("s1"), F.sum(F.col("v") * F.col("share")).alias("twin"))
+    again = share.select(*entity, F.col("c").alias("d"), F.col("share").alias("share_d"))
+    squares = two.join(share, "c").join(again, [*entity, "d"]).groupBy(*entity, occupation).agg(F.sum(F.col("m") * F.col("share") * F.col("share_d")).alias("s2"))
+    return firsts.join(squares, [*entity, occupation])
+
+
+def _fewer_by_category(bridge: DataFrame, totals: DataFrame, weights: DataFrame, category: str, task: str, occupation: str) -> bool:
+    """Whether ``_met_by_category`` meets fewer rows than each entity's exposure of each task."""
+    n, two = bridge.groupBy(task).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") + 1) / 2)).first()
+    n_categories, n_entities, n_occupations = bridge.select(category).distinct().count(), totals.count(), weights.select(occupation).distinct().count()
+    return bool(n) and two + min(two, n_occupations * n_categories * (n_categories + 1) / 2) * n_entities < n * n_entities
+
+
+def text_exposure(
+    cells: DataFrame, counts: DataFrame, bridge: DataFrame, crosswalk: DataFrame, weights: DataFrame, entity: Sequence[str], category: str, task: str, occupation: str, code: str, by_category: bool | None = None
+) -> DataFrame:
     """The exposure chain over linked texts: categories to tasks by ``bridge``, occupations to codes by ``crosswalk``, codes to tasks by ``weights``.
 
     ``cells``: entity, occupation; ``counts``: entity, category, n; ``bridge``: category, task, sim (``matches_above``);
     ``crosswalk``: occupation, code, sim (``best_matches``); ``weights``: code, task, omega. Exposure is computed once for
     each entity and code and goes to all occupations of the code by an equi-join; an occupation without a code has none.
+    ``by_category``: form sums over tasks for all entities at once (``_met_by_category``); by default, where that meets fewer rows.
     """
-    tasks, totals = task_exposure(counts, bridge.withColumn("exposed", F.lit(1)), entity, category, task)
-    coded = cells.join(crosswalk.select(occupation, code, F.col("sim").alias("match_sim")), occupation, "left")
-    found = exposure(coded.where(F.col(code).isNotNull()).select(*entity, code).distinct(), tasks, totals, entity, weights, code, task)
-    out = coded.join(found.drop("total"), [*entity, code], "left").join(totals, list(entity), "left")
-    return clean.fill(out, {c: 0.0 for c in [*found.columns, "total", "match_sim"] if c not in (*entity, code)})
+    with released(cells.sparkSession):
+        counts = stable(counts)
+        coded = stable(cells.join(crosswalk.select(occupation, code, F.col("sim").alias("match_sim")), occupation, "left"))
+        asked = coded.where(F.col(code).isNotNull()).select(*entity, code).distinct()
+        totals = counts.groupBy(*entity).agg(F.sum("n").alias("total"))
+        if _fewer_by_category(bridge, totals, weights, category, task, code) if by_category is None else by_category:
+            found = _averages(asked, _met_by_category(counts, bridge, totals, weights, entity, category, task, code), totals, entity, weights, code)
+        else:
+            tasks, totals = task_exposure(counts, bridge.withColumn("exposed", F.lit(1)), entity, category, task)
+            found = exposure(asked, tasks, totals, entity, weights, code, task)
+        out = coded.join(found.drop("total"), [*entity, code], "left").join(totals, list(entity), "left")
+        return stable(clean.fill(out, {c: 0.0 for c in [*found.columns, "total", "match_sim"] if c not in (*entity, code)}), keep=True)
 
 
 def match_diagnostics(matches: DataFrame) -> DataFrame:
