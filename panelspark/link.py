@@ -55,10 +55,12 @@ def _cut(rows: pa.Table, stop_words: Sequence[str], bigrams: bool) -> tuple[pa.A
         follows = np.nonzero(row[1:] == row[:-1])[0]
         halves = [np.concatenate([h, _pair(h[follows], h[follows + 1])]) for h in halves]
         key = np.concatenate([key, key[follows]])
-    t1, first, term = np.unique(halves[0], return_index=True, return_inverse=True)
+    t1, term = np.unique(halves[0], return_inverse=True)
+    t2 = np.empty_like(t1)
+    t2[term] = halves[1]
     posting, tf = np.unique(term * np.int64(max(1, len(keys.dictionary))) + key, return_counts=True)
     term, key = np.divmod(posting, max(1, len(keys.dictionary)))
-    return keys.dictionary, t1, halves[1][first], term, key, tf
+    return keys.dictionary, t1, t2, term, key, tf
 
 
 def _part(t1: np.ndarray, parts: int) -> np.ndarray:
@@ -79,7 +81,7 @@ def _weighed(left: DataFrame, right: DataFrame, left_key: str, right_key: str, s
     """
     spark = left.sparkSession
     lists = [df.select(F.col(k).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")) for df, k in ((left, left_key), (right, right_key))]
-    (n0, size), (n1, more) = (df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first() for df in lists)
+    (n0, size), (n1, more) = (df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first() for df in (left, right))
     n, least = n0 + n1, spark.sparkContext.defaultParallelism
     blocks = [max(least, -(-x // BLOCK_BYTES)) for x in (size, more)]
     parts = max(least, sum(blocks) // 4)
