@@ -157,10 +157,10 @@ def _pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, sto
     Where the right list's postings go to all tasks and not many meet a left one, a left row's pairs are summed where it is.
     """
     a, b, (n0, n1, met) = _weighed(left, right, left_key, right_key, stop_words, text, True)
-    b = stable(_postings(b.where("k1 is not null"), "k1"))
+    a, b = a.where("k0 is not null"), stable(_postings(b.where("k1 is not null"), "k1"))
     if n1 <= BROADCAST_ROWS and met <= PRODUCTS * n0:
         n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // (PAIRS * TASK_ROWS)))
-        a = _postings(a.where("k0 is not null").repartition(n, "k0"), "k0")
+        a = _postings(a.repartition(n, "k0"), "k0")
         return a.join(F.broadcast(b.withColumnRenamed("w", "w1")), list(TERM)).groupBy("k0", "k1").agg(F.sum(F.col("w") * F.col("w1")).alias("sim"))
     a = stable(_postings(a, "k0"))
     return similar_pairs(a, b, least(a, b) if callable(least) else least)
